@@ -1,59 +1,23 @@
-"""Date parsing with explicit ordered formats."""
+"""Date parsing: recognise the layout, rewrite it in ISO order, cast once.
 
-from __future__ import annotations
+No formatter is tried and failed row by row; a text that fits no layout costs a few regex tests.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Bill date formats, tried in this order.
-BILL_DATE_FORMATS = [
-    "d/M/yyyy", "d MMM yyyy", "d MMMM yyyy", "d.M.yyyy", "yyyy-M-d", "d-M-yyyy",
-    "d/M/yy", "d-M-yy", "d.M.yy", "d MMM yy", "d MMMM yy",
-]
-
-# Spreadsheet timestamps: every format with and without a time of day.
-_TIMES = ["", " H:mm", " H:mm:ss"]
-ISO_FORMATS = [f"yyyy-M-d{t}" for t in _TIMES] + [
-    "yyyy-M-d'T'H:mm", "yyyy-M-d'T'H:mm:ss", "yyyy/M/d", "yyyy/M/d H:mm", "yyyy/M/d H:mm:ss",
-]
-DAY_FIRST_FORMATS = [
-    f"{d}{t}" for d in ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy", "d/M/yy", "d-M-yy")
-    for t in _TIMES
-]
-MONTH_FIRST_FORMATS = [f"{d}{t}" for d in ("M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "M/d/yy", "M-d-yy") for t in _TIMES]
-
-
-_SHAPES = [("yyyy", r"\d{4}"), ("yy", r"\d{2}"), ("MMMM", "[A-Za-z]+"), ("MMM", "[A-Za-z]{3}"),
-           ("mm", r"\d{2}"), ("ss", r"\d{2}"), ("M", r"\d{1,2}"), ("d", r"\d{1,2}"), ("H", r"\d{1,2}")]
-
-
-def shape_of(fmt: str) -> str:
-    """Regex of the strings a format can accept, so that only likely formats reach the parser."""
-    out, rest = "", fmt
-    while rest:
-        token = next(((t, r) for t, r in _SHAPES if rest.startswith(t)), None)
-        if token:
-            out, rest = out + token[1], rest[len(token[0]):]
-        elif rest.startswith("'T'"):
-            out, rest = out + "T", rest[3:]
-        else:
-            out, rest = out + ("\\." if rest[0] == "." else rest[0]), rest[1:]
-    return f"^{out}$"
-
+from wattmill.constants import MONTH_NAMES
 
-def _parse_one(text: Column, fmt: str) -> Column:
-    parsed = F.try_to_timestamp(text, F.lit(fmt))
-    if "yy" in fmt and "yyyy" not in fmt:
-        # Two-digit years 69 to 99 belong to the 1900s.
-        parsed = F.when(F.year(parsed) >= 2069, parsed - F.expr("INTERVAL 100 YEARS")).otherwise(parsed)
-    return F.when(text.rlike(shape_of(fmt)), parsed)
-
-
-def first_parse(text: Column, formats: list[str]) -> Column:
-    """First format that parses; formats are only tried when the earlier ones gave null."""
-    return F.coalesce(*[_parse_one(text, f) for f in formats])
+_TIME = r"(\d{1,2}:\d{2}(?::\d{2})?)"
+_OPTIONAL_TIME = rf"(?:[ T]{_TIME})?"
+_NUMERIC_4 = r"^(\d{1,2})([/.\-])(\d{1,2})\2(\d{4})"
+_NUMERIC_2 = r"^(\d{1,2})([/.\-])(\d{1,2})\2(\d{2})"
+_WORDED = r"^(\d{1,2}) ([A-Za-z]+) (\d{4}|\d{2})"
+_ISO_DASH = r"^(\d{4})-(\d{1,2})-(\d{1,2})"
+_ISO_ANY = r"^(\d{4})[/\-](\d{1,2})[/\-](\d{1,2})"
+CENTURY_PIVOT = 69
 
 
 def squeeze(text: Column) -> Column:
@@ -61,23 +25,69 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def _month_number(word: Column) -> Column:
+    """1 to 12 for a full or three-letter English month name in any case, else null."""
+    entries = []
+    for number, name in enumerate(MONTH_NAMES, 1):
+        for key in dict.fromkeys((name.lower(), name[:3].lower())):
+            entries += [F.lit(key), F.lit(str(number))]
+    return F.try_element_at(F.create_map(*entries), F.lower(word))
+
+
+def _full_year(year: Column) -> Column:
+    """Two digits 69 to 99 belong to the 1900s, the rest to the 2000s."""
+    return F.when(F.length(year) == 4, year).otherwise(
+        F.concat(F.when(year.cast("int") >= CENTURY_PIVOT, "19").otherwise("20"), year)
+    )
+
+
+def _iso_text(text: Column, time: str, iso: str, day_first: bool) -> Column:
+    day, month = (1, 3) if day_first else (3, 1)
+    numeric_4, numeric_2, worded = _NUMERIC_4 + time + "$", _NUMERIC_2 + time + "$", _WORDED + time + "$"
+    short = F.regexp_extract(text, numeric_2, 4)
+    rewritten = F.when(
+        text.rlike(numeric_4), F.regexp_replace(text, numeric_4, f"$4-${month}-${day} $5")
+    ).when(
+        text.rlike(numeric_2),
+        F.concat(_full_year(short), F.regexp_replace(text, numeric_2, f"-${month}-${day} $5")),
+    )
+    if day_first:
+        rewritten = rewritten.when(text.rlike(iso + time + "$"), F.regexp_replace(text, iso + time + "$", "$1-$2-$3 $4"))
+        rewritten = rewritten.when(
+            text.rlike(worded),
+            F.concat(
+                _full_year(F.regexp_extract(text, worded, 3)), F.lit("-"),
+                _month_number(F.regexp_extract(text, worded, 2)),
+                F.regexp_replace(text, worded, "-$1 $4"),
+            ),
+        )
+    return rewritten
+
+
 def parse_bill_date(text: Column) -> Column:
-    """DATE from a bill date string, null when nothing fits or the text is blank."""
-    return first_parse(squeeze(text), BILL_DATE_FORMATS).cast("date")
+    """DATE from a bill date: d/m/y, d-m-y, d.m.y, day month-name year (2 or 4 digit years), or y-m-d."""
+    # The empty group keeps the group numbers of layouts with a time of day.
+    return _iso_text(squeeze(text), "()", _ISO_DASH, True).try_cast("date")
 
 
 def parse_day_first(text: Column) -> Column:
-    return first_parse(squeeze(text), ISO_FORMATS + DAY_FIRST_FORMATS).cast("timestamp_ntz")
+    """Local timestamp of a spreadsheet cell, day before month, with or without a time of day."""
+    return _iso_text(squeeze(text), _OPTIONAL_TIME, _ISO_ANY, True).try_cast("timestamp_ntz")
 
 
 def parse_month_first(text: Column) -> Column:
-    return first_parse(squeeze(text), MONTH_FIRST_FORMATS).cast("timestamp_ntz")
+    return _iso_text(squeeze(text), _OPTIONAL_TIME, _ISO_ANY, False).try_cast("timestamp_ntz")
 
 
-def overlap_days(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    """Days shared by two periods, both ends exclusive of the last day, never negative."""
-    return F.greatest(F.lit(0), F.datediff(F.least(a_end, b_end), F.greatest(a_start, b_start)))
+def parse_read_time(text: Column) -> Column:
+    """Local wall time of a meter read: dd-MM-yyyy HH:mm or dd/MM/yyyy HH:mm."""
+    layout = r"^(\d{1,2})([/\-])(\d{1,2})\2(\d{4}) (\d{1,2}:\d{2})$"
+    trimmed = F.trim(text)
+    return F.when(
+        trimmed.rlike(layout), F.regexp_replace(trimmed, layout, "$4-$3-$1 $5").try_cast("timestamp_ntz")
+    )
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x & y, conditions)
+def overlap_days(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """Days shared by two periods whose last day does not count, never negative."""
+    return F.greatest(F.lit(0), F.datediff(F.least(a_end, b_end), F.greatest(a_start, b_start)))

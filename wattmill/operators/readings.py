@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattmill import constants as C
 from wattmill.functions import calendar as cal
-from wattmill.functions.dates import first_parse, squeeze
+from wattmill.functions.dates import parse_read_time
 from wattmill.functions.numbers import to_number
 
-READ_TIME_FORMATS = ["d-M-yyyy H:mm", "d/M/yyyy H:mm"]
-
-
-def parse_read_time(text: Column) -> Column:
-    """Local wall time of a read, dash or slash dates."""
-    return first_parse(squeeze(text), READ_TIME_FORMATS).cast("timestamp_ntz")
-
-
 def localise(df: DataFrame, wall: str = "datetime") -> DataFrame:
     """Add `datetime_utc` and put the wall time on the Dublin clock (moves the missing spring hour)."""
     return df.withColumn("datetime_utc", cal.dublin_wall_to_utc(F.col(wall))).withColumn(

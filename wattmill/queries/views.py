@@ -99,3 +99,95 @@ readings AS (
     SELECT '10' || lpad(CAST(o_custkey // 25 AS VARCHAR), 9, '0') AS mprn, o_orderdate AS datetime,
            round(sum(o_totalprice) / 10000, 6) AS import_kwh, 0.0::DOUBLE AS export_kwh
     FROM orders GROUP BY o_custkey // 25, o_orderdate))"""
+
+
+# ---------------------------------------------------------------- client spreadsheets from orders
+# One file per hundred customers, in three layouts: known headers, similar headers, headers that say nothing.
+
+SHEET_HEADERS = {
+    0: ["Date/Time", "Usage (kWh)", "Export", "MPRN", "Cost (€)"],
+    1: ["Reading Date Time", "Units Consumed kWh", "Meter Ref No", "Total Cost EUR"],
+    2: ["Col A", "Col B", "Col C", "Col D", "Col E"],
+}
+
+
+def sheets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, headers) of messy files: mixed date formats, currency signs, blanks, negatives, repeats."""
+    key, cents = F.col("o_orderkey"), F.round(F.col("o_totalprice") / 10).cast("bigint")
+    day = F.col("o_orderdate")
+    date_text = (
+        F.when(key % 23 == 0, F.lit(None))
+        .when(key % 19 == 0, "n.a.")
+        .when(key % 17 == 0, F.date_format(day, "MM/dd/yyyy"))
+        .when(key % 3 == 0, F.concat(F.date_format(day, "dd-MM-yyyy "), F.lpad((key % 24).cast("string"), 2, "0"),
+                                     F.lit(":30")))
+        .when(key % 3 == 1, F.date_format(day, "dd/MM/yyyy"))
+        .otherwise(F.date_format(day, "yyyy-MM-dd HH:mm:ss"))
+    )
+    whole, part = F.expr("c div 100"), F.lpad((F.col("c") % 100).cast("string"), 2, "0")
+    plain = F.concat(whole.cast("string"), F.lit("."), part)
+    usage = (
+        F.when(key % 46 == 0, F.lit(None))
+        .when(key % 29 == 0, F.concat(F.lit("-"), plain))
+        .when(key % 31 == 0, "err")
+        .when(key % 7 == 0, F.concat(F.lit("€ 1,"), F.lpad((whole % 1000).cast("string"), 3, "0"), F.lit("."), part))
+        .otherwise(plain)
+    )
+    mprn = F.concat(F.lit("10"), F.lpad(F.expr("o_custkey div 25").cast("string"), 9, "0"),
+                    F.when(key % 5 == 0, "  ").otherwise(""))
+    cost = F.concat(F.lit("€"), plain)
+    base = table(spark, sf, "orders").withColumn("c", cents).withColumn("kind", F.expr("(o_custkey div 100) % 3"))
+    d, use, m, cst = (x.cast("string") for x in (date_text, usage, mprn, cost))
+    export = F.when(key % 4 == 0, "0.5").cast("string")
+    note = F.concat(F.lit("note "), key.cast("string"))
+    rows = base.select(
+        F.concat(F.lit("sheet_"), F.expr("o_custkey div 100").cast("string")).alias("file_id"),
+        key.alias("row_idx"),
+        F.when(F.col("kind") == 0, F.array(d, use, export, m, cst))
+        .when(F.col("kind") == 1, F.array(d, use, m, cst))
+        .otherwise(F.array(m, d, use, note, cst))
+        .alias("cells"),
+    )
+    names = [F.array(*[F.lit(h) for h in SHEET_HEADERS[k]]) for k in (0, 1, 2)]
+    files = base.groupBy(F.expr("o_custkey div 100").alias("n")).agg(F.first("kind").alias("kind"))
+    headers = files.select(
+        F.concat(F.lit("sheet_"), F.col("n").cast("string")).alias("file_id"),
+        F.posexplode(F.when(F.col("kind") == 0, names[0]).when(F.col("kind") == 1, names[1]).otherwise(names[2]))
+        .alias("col_idx", "column_name"),
+    )
+    return rows, headers
+
+
+SHEET_CELLS_SQL = """
+raw AS (
+  SELECT 'sheet_' || (o_custkey // 100) AS file_id, o_orderkey AS row_idx, (o_custkey // 100) % 3 AS kind,
+         o_orderkey AS key, CAST(round(o_totalprice / 10) AS BIGINT) AS c, o_orderdate AS day, o_custkey FROM orders),
+texts AS (
+  SELECT file_id, row_idx, kind, key, c,
+         CASE WHEN key % 23 = 0 THEN NULL WHEN key % 19 = 0 THEN 'n.a.'
+              WHEN key % 17 = 0 THEN strftime(day, '%m/%d/%Y')
+              WHEN key % 3 = 0 THEN strftime(day, '%d-%m-%Y ') || lpad(CAST(key % 24 AS VARCHAR), 2, '0') || ':30'
+              WHEN key % 3 = 1 THEN strftime(day, '%d/%m/%Y') ELSE strftime(day, '%Y-%m-%d %H:%M:%S') END AS d,
+         CASE WHEN key % 46 = 0 THEN NULL WHEN key % 29 = 0 THEN '-' || (c // 100) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0')
+              WHEN key % 31 = 0 THEN 'err'
+              WHEN key % 7 = 0 THEN '€ 1,' || lpad(CAST((c // 100) % 1000 AS VARCHAR), 3, '0') || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0')
+              ELSE (c // 100) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') END AS use,
+         '10' || lpad(CAST(o_custkey // 25 AS VARCHAR), 9, '0') || CASE WHEN key % 5 = 0 THEN '  ' ELSE '' END AS m,
+         CASE WHEN key % 4 = 0 THEN '0.5' END AS ex,
+         '€' || (c // 100) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS cost
+  FROM raw)"""
+
+SHEET_PARSED_SQL = SHEET_CELLS_SQL + """,
+parsed AS (
+  SELECT file_id, row_idx, kind, d IS NULL AND use IS NULL AS is_empty, d, trim(m) AS mprn,
+         coalesce(day_first, month_first) AS datetime, day_first IS NULL AND month_first IS NOT NULL AS swapped, raw,
+         CASE WHEN kind = 0 THEN abs(raw) ELSE CASE WHEN raw < 0 THEN 0.0 ELSE raw END END AS import_kwh,
+         CASE WHEN kind = 0 THEN TRY_CAST(ex AS DOUBLE)
+              ELSE coalesce(CASE WHEN raw < 0 THEN -raw ELSE CASE WHEN raw IS NULL THEN NULL ELSE 0.0 END END, 0.0) END AS export_kwh,
+         TRY_CAST(regexp_replace(cost, '[€$£,\\s]', '', 'g') AS DOUBLE) AS cost
+  FROM (SELECT *, coalesce(try_strptime(d, '%Y-%m-%d %H:%M:%S'), try_strptime(d, '%d/%m/%Y'), try_strptime(d, '%d-%m-%Y %H:%M')) AS day_first,
+               try_strptime(d, '%m/%d/%Y') AS month_first,
+               TRY_CAST(regexp_replace(use, '[€$£,\\s]', '', 'g') AS DOUBLE) AS raw FROM texts)),
+clean AS (
+  SELECT file_id, mprn, datetime, import_kwh, export_kwh, cost FROM parsed WHERE NOT is_empty AND datetime IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY file_id, mprn, datetime ORDER BY row_idx) = 1)"""
