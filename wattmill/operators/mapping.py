@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from wattmill.constants import FIELD_ORDER, KNOWN_COLUMNS
 from wattmill.functions.dates import parse_day_first
 from wattmill.functions.numbers import to_number
-from wattmill.reference_tables import known_columns
 
 FUZZY_THRESHOLD = 80.0
 SAMPLE_ROWS, HIT_RATE, NUMERIC_SHARE = 50, 0.8, 0.5
@@ -26,24 +25,7 @@ def normalise_header(name: Column) -> Column:
     return F.translate(F.lower(F.trim(name)), "_-", "  ")
 
 
-# ---------------------------------------------------------------- tier 1: exact
-
-
-def exact_matches(headers: DataFrame) -> DataFrame:
-    """Best synonym per field; of headers that read alike the last one counts."""
-    synonyms = known_columns(headers.sparkSession).withColumn("normal", normalise_header(F.col("synonym")))
-    hits = headers.withColumn("normal", normalise_header(F.col("column_name"))).join(F.broadcast(synonyms), "normal")
-    best = F.min_by(
-        F.struct("col_idx", "column_name", "synonym"), F.struct("priority", (-F.col("col_idx")).alias("later"))
-    )
-    return hits.groupBy("file_id", "field").agg(best.alias("b")).select(
-        "file_id", "field", F.col("b.col_idx").alias("col_idx"), F.col("b.column_name").alias("column_name"),
-        F.lit(1).alias("tier"), F.lit(1.0).alias("confidence"),
-        F.concat(F.lit("exact match: "), F.col("b.synonym")).alias("reason"),
-    )
-
-
-# ---------------------------------------------------------------- tier 2: fuzzy
+# ---------------------------------------------------------------- header similarity
 
 
 def _common_subsequence(a: str, b: str) -> int:
@@ -66,61 +48,129 @@ def token_sort_ratio(a: str, b: str) -> float:
     return 200.0 * _common_subsequence(a, b) / total if total else 100.0
 
 
+def _plain(name: str) -> str:
+    return name.strip().lower().replace("_", " ").replace("-", " ")
+
+
 _SCORES = T.ArrayType(
     T.StructType()
     .add("score", T.DoubleType())
     .add("rank", T.IntegerType())
     .add("field", T.StringType())
     .add("synonym", T.StringType())
+    .add("exact", T.IntegerType())
 )
 
 
 @F.pandas_udf(_SCORES)
 def _field_scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Best synonym of every field for a normalised header; `rank` is larger for earlier fields."""
-    names = {f: [(s, " ".join(s.strip().lower().replace("_", " ").replace("-", " ").split())) for s in syn]
-             for f, syn in KNOWN_COLUMNS.items()}
+    """For a normalised header and each field: the most similar synonym, and the position of an equal one.
+
+    `rank` is larger for earlier fields.  Headers repeat across files, so each text is scored once per task.
+    """
+    names = {field: [_plain(s) for s in synonyms] for field, synonyms in KNOWN_COLUMNS.items()}
+    seen: dict[str, list[dict]] = {}
 
     def score(header: str) -> list[dict]:
-        out = []
-        for rank, field in enumerate(FIELD_ORDER):
-            ratios = [(token_sort_ratio(header, normal), -i, s) for i, (s, normal) in enumerate(names[field])]
-            best = max(ratios)
-            out.append({"score": best[0], "rank": -rank, "field": field, "synonym": best[2]})
-        return out
+        if header not in seen:
+            out = []
+            for rank, field in enumerate(FIELD_ORDER):
+                best = max((token_sort_ratio(header, n), -i) for i, n in enumerate(names[field]))
+                out.append({
+                    "score": best[0], "rank": -rank, "field": field, "synonym": KNOWN_COLUMNS[field][-best[1]],
+                    "exact": names[field].index(header) if header in names[field] else None,
+                })
+            seen[header] = out
+        return seen[header]
 
     for batch in batches:
         yield batch.map(score)
 
 
-def fuzzy_matches(headers: DataFrame, exact: DataFrame) -> DataFrame:
-    """Greedy by column order: each unmatched header takes its most similar field not taken so far.
+def _no_candidates() -> Column:
+    return F.array().cast(f"array<{CANDIDATE}>")
 
-    Only distinct header texts reach Python; the choice itself folds over a file's header array.
-    """
-    rest = headers.join(exact.select("file_id", "column_name"), ["file_id", "column_name"], "left_anti").withColumn(
-        "normal", normalise_header(F.col("column_name"))
+
+def _candidate(field: Column, column: Column, tier: int, confidence: Column, reason: Column) -> Column:
+    return F.struct(
+        field.alias("field"), column["col_idx"].alias("col_idx"), column["column_name"].alias("column_name"),
+        F.lit(tier).alias("tier"), confidence.alias("confidence"), reason.alias("reason"),
+    ).cast(CANDIDATE)
+
+
+def _fields_of(candidates: Column) -> Column:
+    return F.transform(candidates, lambda c: c["field"])
+
+
+def _names_of(candidates: Column) -> Column:
+    return F.transform(candidates, lambda c: c["column_name"])
+
+
+def _profile(headers: DataFrame) -> DataFrame:
+    """One row per file: its columns in order with their scores.  A file has few columns."""
+    scored = headers.withColumn("scores", _field_scores(normalise_header(F.col("column_name"))))
+    return scored.groupBy("file_id").agg(
+        F.array_sort(F.collect_list(F.struct("col_idx", "column_name", "scores"))).alias("columns")
     )
-    scored = rest.select("normal").distinct().withColumn("scores", _field_scores("normal"))
-    per_file = (
-        rest.join(scored, "normal")
-        .groupBy("file_id")
-        .agg(F.array_sort(F.collect_list(F.struct("col_idx", "column_name", "scores"))).alias("columns"))
+
+
+# ---------------------------------------------------------------- tier 1: exact
+
+
+def _exact_rank(position: int) -> Callable[[Column], Column]:
+    return lambda c: F.struct(
+        c["scores"][position]["exact"].alias("exact"), (-c["col_idx"]).alias("later"), c["column_name"]
     )
 
+
+def _exact(columns: Column) -> Column:
+    """Per field the first synonym in list order that equals a header; of equal headers the last column."""
+    picks = []
+    for position, field in enumerate(FIELD_ORDER):
+        ranked = F.transform(columns, _exact_rank(position))
+        best = F.array_min(F.filter(ranked, lambda r: r["exact"].isNotNull()))
+        column = F.struct((-best["later"]).alias("col_idx"), best["column_name"].alias("column_name"))
+        found = _candidate(F.lit(field), column, 1, F.lit(1.0), F.concat(F.lit("exact match: "), best["column_name"]))
+        picks.append(F.when(best.isNotNull(), found))
+    return F.filter(F.array(*picks), lambda c: c.isNotNull())
+
+
+# ---------------------------------------------------------------- tier 2: fuzzy
+
+
+def _fuzzy(columns: Column, exact: Column) -> Column:
+    """Greedy by column order: each header not claimed exactly takes its most similar field not taken so far."""
+    rest = F.filter(columns, lambda c: ~F.array_contains(_names_of(exact), c["column_name"]))
+
     def step(taken: Column, column: Column) -> Column:
-        free = F.filter(column["scores"], lambda s: ~F.exists(taken, lambda t: t["field"] == s["field"]))
-        best = F.array_max(free)
-        pick = F.struct(
-            best["field"].alias("field"), column["col_idx"].alias("col_idx"),
-            column["column_name"].alias("column_name"), F.lit(2).alias("tier"),
-            (best["score"] / 100).alias("confidence"),
-            F.concat(F.lit("similar to: "), best["synonym"]).alias("reason"),
-        ).cast(CANDIDATE)
+        best = F.array_max(F.filter(column["scores"], lambda s: ~F.array_contains(_fields_of(taken), s["field"])))
+        pick = _candidate(best["field"], column, 2, best["score"] / 100,
+                          F.concat(F.lit("similar to: "), best["synonym"]))
         return F.when(best["score"] >= FUZZY_THRESHOLD, F.concat(taken, F.array(pick))).otherwise(taken)
 
-    empty = F.array().cast(f"array<{CANDIDATE}>")
-    return per_file.select("file_id", F.inline(F.aggregate("columns", empty, step)))
+    return F.aggregate(rest, _no_candidates(), step)
+
+
+def _new_fields(found: Column, earlier: Column) -> Column:
+    return F.filter(found, lambda c: ~F.array_contains(_fields_of(earlier), c["field"]))
+
+
+def name_matches(headers: DataFrame) -> DataFrame:
+    """(file_id, columns, exact, fuzzy, named): tiers 1 and 2; `named` keeps tier 2 only for new fields."""
+    return (
+        _profile(headers)
+        .withColumn("exact", _exact(F.col("columns")))
+        .withColumn("fuzzy", _fuzzy(F.col("columns"), F.col("exact")))
+        .withColumn("named", F.concat("exact", _new_fields(F.col("fuzzy"), F.col("exact"))))
+    )
+
+
+def exact_matches(headers: DataFrame) -> DataFrame:
+    return name_matches(headers).select("file_id", F.inline("exact"))
+
+
+def fuzzy_matches(headers: DataFrame) -> DataFrame:
+    return name_matches(headers).select("file_id", F.inline("fuzzy"))
 
 
 # ---------------------------------------------------------------- tier 3: content
@@ -149,12 +199,11 @@ def looks_like_cost(value: Column) -> Column:
     return _in_range(to_number(F.regexp_replace(value, "[€$£,]", "")), COST_MAX)
 
 
-def content_flags(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """What the first 50 filled cells of each listed column (file_id, col_idx, column_name) look like.
+def content_flags(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What the first 50 filled cells of each wanted column look like; wanted(file_id, wanted ARRAY<INT>).
 
     The rank limit is applied before the shuffle, so a file that owns most rows sends 50 cells per column and task.
     """
-    wanted = columns.groupBy("file_id").agg(F.collect_set("col_idx").alias("wanted"))
     cells = (
         rows.join(wanted, "file_id")
         .select("file_id", "row_idx", "wanted", F.posexplode("cells").alias("col_idx", "value"))
@@ -164,74 +213,84 @@ def content_flags(rows: DataFrame, columns: DataFrame) -> DataFrame:
     first = Window.partitionBy("file_id", "col_idx").orderBy("row_idx")
     sample = cells.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= SAMPLE_ROWS)
     value = F.col("value")
-    flags = sample.groupBy("file_id", "col_idx").agg(
+    return sample.groupBy("file_id", "col_idx").agg(
         looks_like_datetime(value).alias("datetime"),
         looks_like_mprn(value).alias("mprn"),
         looks_like_kwh(value).alias("import_kwh"),
         looks_like_cost(value).alias("cost"),
     )
-    return columns.join(flags, ["file_id", "col_idx"])
-
 
-def content_matches(rows: DataFrame, headers: DataFrame, matched: DataFrame) -> DataFrame:
-    """Greedy by column order over columns no earlier tier claimed.
 
-    A field is also closed when a claimed column carries the field's own name.
+def _content(flagged: Column, columns: Column, named: Column) -> Column:
+    """Greedy by column order over columns no name claimed; a field is also closed when a claimed column
+    carries the field's own name.
     """
-    rest = headers.join(matched.select("file_id", "column_name"), ["file_id", "column_name"], "left_anti")
-    flags = content_flags(rows, rest)
-    names = matched.groupBy("file_id").agg(F.collect_set("column_name").alias("claimed"))
-    per_file = (
-        flags.groupBy("file_id")
-        .agg(F.array_sort(F.collect_list(F.struct("col_idx", "column_name", *CONTENT_CONFIDENCE))).alias("columns"))
-        .join(names, "file_id", "left")
-        .withColumn("claimed", F.coalesce("claimed", F.array().cast("array<string>")))
-    )
-
-    def step(taken: Column, column: Column) -> Column:
-        def candidate(field: str, confidence: float) -> Column:
-            return F.struct(
-                F.lit(field).alias("field"), column["col_idx"].alias("col_idx"),
-                column["column_name"].alias("column_name"), F.lit(3).alias("tier"),
-                F.lit(confidence).alias("confidence"), F.lit(f"contents look like {field}").alias("reason"),
-            ).cast(CANDIDATE)
-
+    closed = _names_of(named)
+
+    def step(taken: Column, flags: Column) -> Column:
+        column = F.struct(
+            flags["col_idx"].alias("col_idx"),
+            F.get(F.filter(columns, lambda c: c["col_idx"] == flags["col_idx"]), F.lit(0))["column_name"]
+            .alias("column_name"),
+        )
         pick = F.lit(None).cast(CANDIDATE)
-        fields = F.transform(taken, lambda t: t["field"])
         for field, confidence in reversed(CONTENT_CONFIDENCE.items()):
-            free = ~F.array_contains(fields, field) & ~F.array_contains("claimed", field)
-            pick = F.when(column[field] & free, candidate(field, confidence)).otherwise(pick)
+            free = ~F.array_contains(_fields_of(taken), field) & ~F.array_contains(closed, field)
+            found = _candidate(F.lit(field), column, 3, F.lit(confidence), F.lit(f"contents look like {field}"))
+            pick = F.when(flags[field] & free, found).otherwise(pick)
         return F.when(pick.isNotNull(), F.concat(taken, F.array(pick))).otherwise(taken)
 
-    empty = F.array().cast(f"array<{CANDIDATE}>")
-    return per_file.select("file_id", F.inline(F.aggregate("columns", empty, step)))
+    return F.aggregate(flagged, _no_candidates(), step)
 
 
 # ---------------------------------------------------------------- all tiers
 
 
-def _new_fields(found: DataFrame, earlier: DataFrame) -> DataFrame:
-    return found.join(earlier.select("file_id", "field"), ["file_id", "field"], "left_anti")
+def detect_columns(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """(file_id, candidates): one candidate per field, earlier tiers win.
+
+    Cells are only looked at for files that still miss a field, and there only for columns no name claimed.
+    """
+    names = name_matches(headers)
+    unclaimed = F.transform(
+        F.filter("columns", lambda c: ~F.array_contains(_names_of(F.col("named")), c["column_name"])),
+        lambda c: c["col_idx"],
+    )
+    missing = F.size(F.array_except(F.array(*[F.lit(f) for f in CONTENT_CONFIDENCE]), _fields_of(F.col("named"))))
+    wanted = names.select("file_id", unclaimed.alias("wanted"), missing.alias("missing")).filter(
+        (F.col("missing") > 0) & (F.size("wanted") > 0)
+    )
+    flags = content_flags(rows, wanted.drop("missing")).groupBy("file_id").agg(
+        F.array_sort(F.collect_list(F.struct("col_idx", *CONTENT_CONFIDENCE))).alias("flagged")
+    )
+    joined = names.join(flags, "file_id", "left").withColumn(
+        "content", F.when(F.col("flagged").isNotNull(), _content(F.col("flagged"), F.col("columns"), F.col("named")))
+        .otherwise(_no_candidates())
+    )
+    return joined.select(
+        "file_id", F.concat("named", _new_fields(F.col("content"), F.col("named"))).alias("candidates")
+    )
 
 
-def detect_columns(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """Candidates (file_id, field, col_idx, column_name, tier, confidence, reason): earlier tiers win per field."""
-    exact = exact_matches(headers)
-    named = exact.unionByName(_new_fields(fuzzy_matches(headers, exact), exact))
-    return named.unionByName(_new_fields(content_matches(rows, headers, named), named))
+def candidate_rows(detected: DataFrame) -> DataFrame:
+    """(file_id, field, col_idx, column_name, tier, confidence, reason)."""
+    return detected.select("file_id", F.inline("candidates"))
 
 
-def build_mapping(candidates: DataFrame, headers: DataFrame) -> DataFrame:
+def build_mapping(detected: DataFrame) -> DataFrame:
     """One row per file: the column chosen for each field, the highest tier used and the mean confidence."""
-    chosen = [
-        F.max(F.when(F.col("field") == f, F.col("column_name"))).alias(f"{f}_col") for f in FIELD_ORDER
-    ]
-    positions = [F.max(F.when(F.col("field") == f, F.col("col_idx"))).alias(f"{f}_idx") for f in FIELD_ORDER]
-    summary = candidates.groupBy("file_id").agg(
-        *chosen, *positions, F.max("tier").alias("detection_tier"), F.avg("confidence").alias("confidence")
-    )
-    return headers.select("file_id").distinct().join(summary, "file_id", "left").fillna(
-        {"detection_tier": 0, "confidence": 0.0}
+    found = F.col("candidates")
+
+    def of(field: str) -> Column:
+        return F.get(F.filter(found, lambda c: c["field"] == field), F.lit(0))
+
+    total = F.aggregate(found, F.lit(0.0), lambda acc, c: acc + c["confidence"])
+    return detected.select(
+        "file_id",
+        *[of(f)["column_name"].alias(f"{f}_col") for f in FIELD_ORDER],
+        *[of(f)["col_idx"].alias(f"{f}_idx") for f in FIELD_ORDER],
+        F.coalesce(F.array_max(F.transform(found, lambda c: c["tier"])), F.lit(0)).alias("detection_tier"),
+        F.coalesce(F.try_divide(total, F.size(found)), F.lit(0.0)).alias("confidence"),
     )
 
 

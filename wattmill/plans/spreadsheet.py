@@ -32,10 +32,11 @@ def parse_sheets(
     `edited_mapping` has the `*_col` names per file and replaces detection.
     """
     if edited_mapping is None:
-        chosen = mapping.build_mapping(mapping.detect_columns(rows, headers), headers)
+        chosen = mapping.build_mapping(mapping.detect_columns(rows, headers))
     else:
         chosen = mapping.locate_columns(edited_mapping, headers)
-    validated = mapping.validate_mapping(chosen, headers)
+    # One small row per file, used by every branch below.
+    validated = mapping.validate_mapping(chosen, headers).persist()
     parsed = cleaning.parse_rows(cleaning.rename_columns(rows, validated))
     deduped = cleaning.drop_duplicates(parsed)
     counts = cleaning.row_counts(parsed, deduped)
