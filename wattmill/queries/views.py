@@ -191,3 +191,94 @@ parsed AS (
 clean AS (
   SELECT file_id, mprn, datetime, import_kwh, export_kwh, cost FROM parsed WHERE NOT is_empty AND datetime IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY file_id, mprn, datetime ORDER BY row_idx) = 1)"""
+
+
+# ---------------------------------------------------------------- bills from orders and lineitem
+
+
+def bills(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat bills, one per order; a client is a customer.  Dates come as text in four layouts."""
+    units = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        *[F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))).alias(n)
+          for f, n in (("A", "day_units_kwh"), ("N", "night_units_kwh"), ("R", "peak_units_kwh"))]
+    )
+    key, start = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    end = F.date_add(start, (F.col("o_orderkey") % 71 + 20).cast("int"))
+
+    def as_text(day):
+        return (
+            F.when(key % 4 == 0, F.date_format(day, "dd/MM/yyyy")).when(key % 4 == 1, F.date_format(day, "d MMM yyyy"))
+            .when(key % 4 == 2, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "dd.MM.yy"))
+        )
+
+    cost = F.when(key % 17 == 0, F.lit(None)).when(key % 43 == 0, 0.0).otherwise(F.round(F.col("o_totalprice") / 1000, 2))
+    split = ["day_units_kwh", "night_units_kwh", "peak_units_kwh"]
+    total = F.when(F.coalesce(*split).isNotNull(), sum((F.coalesce(c, F.lit(0.0)) for c in split), F.lit(0.0)))
+    suppliers = ["Electric Ireland", "Energia", "SSE Airtricity", "Bord Gais Energy", "Flogas", "Unlisted"]
+    named = F.get(F.array(*[F.lit(s) for s in suppliers]), (key % 6).cast("int"))
+    return table(spark, sf, "orders").join(units, "o_orderkey", "left").withColumn("c", cost).select(
+        key.alias("bill_idx"),
+        F.concat(F.lit("bill_"), key.cast("string"), F.lit(".pdf")).alias("filename"),
+        F.col("o_custkey").alias("client_id"),
+        F.when(key % 37 == 0, "error").when(key % 41 == 0, "manual").otherwise("success").alias("status"),
+        F.when(key % 53 == 0, "").otherwise(named).alias("supplier"),
+        F.when(key % 11 == 0, F.when(key % 2 == 0, "  ")).otherwise(
+            F.concat(F.lit("10"), F.lpad((F.col("o_custkey") * 3 + key % 2).cast("string"), 9, "0"))).alias("mprn"),
+        F.when(key % 5 != 0, as_text(F.date_add(end, 5))).alias("bill_date"),
+        F.when(key % 13 != 0, as_text(start)).alias("billing_period_start"),
+        F.when(key % 29 == 0, "TBC").otherwise(as_text(end)).alias("billing_period_end"),
+        *split, total.alias("total_units_kwh"),
+        (F.lit(0.25) + key % 10 / 100).alias("day_rate"), (F.lit(0.15) + key % 7 / 100).alias("night_rate"),
+        F.when(key % 3 == 0, 0.35).alias("peak_rate"),
+        (key % 50 + 10).cast("double").alias("standing_charge_total"),
+        (F.lit(0.5) + key % 5 / 10).alias("standing_charge_rate"),
+        F.round(F.col("c") / 1.09, 2).alias("subtotal_before_vat"),
+        F.round(F.col("c") - F.round(F.col("c") / 1.09, 2), 2).alias("vat_amount"),
+        F.col("c").alias("total_this_period"), F.col("c").alias("amount_due"),
+        (key % 100 / 100).alias("confidence_score"),
+        F.lit(None).cast("string").alias("fuel_type"),
+    )
+
+
+def _text_sql(day: str) -> str:
+    return (f"CASE key % 4 WHEN 0 THEN strftime({day}, '%d/%m/%Y') WHEN 1 THEN strftime({day}, '%-d %b %Y') "
+            f"WHEN 2 THEN strftime({day}, '%Y-%m-%d') ELSE strftime({day}, '%d.%m.%y') END")
+
+
+BILLS_SQL = f"""
+units AS (
+  SELECT l_orderkey AS key, sum(l_quantity) FILTER (WHERE l_returnflag = 'A') AS day_kwh,
+         sum(l_quantity) FILTER (WHERE l_returnflag = 'N') AS night_kwh,
+         sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS peak_kwh FROM lineitem GROUP BY 1),
+base AS (
+  SELECT o_orderkey AS key, o_custkey AS client_id, o_orderdate::DATE AS s,
+         (o_orderdate::DATE + CAST(o_orderkey % 71 + 20 AS INTEGER)) AS e,
+         CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 43 = 0 THEN 0.0
+              ELSE round(o_totalprice / 1000, 2) END::DOUBLE AS total_cost FROM orders),
+rows AS (
+  SELECT *, total_cost / nullif(nullif(total_cost, 0), NULL) AS one FROM (
+  SELECT key AS bill_idx, 'bill_' || key || '.pdf' AS filename, client_id,
+         CASE WHEN key % 37 = 0 THEN 'error' WHEN key % 41 = 0 THEN 'manual' ELSE 'success' END AS status,
+         CASE WHEN key % 53 = 0 THEN 'Unknown' ELSE ['Electric Ireland', 'Energia', 'SSE Airtricity', 'Bord Gais Energy',
+              'Flogas', 'Unlisted'][key % 6 + 1] END AS supplier,
+         CASE WHEN key % 11 = 0 THEN CASE WHEN key % 2 = 0 THEN '  ' ELSE '' END
+              ELSE '10' || lpad(CAST(client_id * 3 + key % 2 AS VARCHAR), 9, '0') END AS mprn,
+         CASE WHEN key % 5 <> 0 THEN {_text_sql('e + 5')} ELSE '' END AS bill_date,
+         CASE WHEN key % 5 <> 0 THEN e + 5 END AS parsed_bill_date,
+         CASE WHEN key % 13 <> 0 THEN s END AS period_start, CASE WHEN key % 29 <> 0 THEN e END AS period_end,
+         CASE WHEN key % 13 <> 0 AND key % 29 <> 0 THEN e - s END AS billing_days,
+         coalesce(CASE WHEN key % 13 <> 0 THEN s END, CASE WHEN key % 5 <> 0 THEN e + 5 END) AS sort_date,
+         day_kwh, night_kwh, peak_kwh,
+         CASE WHEN coalesce(day_kwh, night_kwh, peak_kwh) IS NOT NULL
+              THEN coalesce(day_kwh, 0) + coalesce(night_kwh, 0) + coalesce(peak_kwh, 0) END AS total_kwh,
+         0.25::DOUBLE + key % 10 / 100 AS day_rate, 0.15::DOUBLE + key % 7 / 100 AS night_rate,
+         CASE WHEN key % 3 = 0 THEN 0.35 END::DOUBLE AS peak_rate, (key % 50 + 10)::DOUBLE AS standing_charge,
+         0.5::DOUBLE + key % 5 / 10 AS standing_charge_rate, round(total_cost / 1.09, 2)::DOUBLE AS subtotal,
+         round(total_cost - round(total_cost / 1.09, 2), 2)::DOUBLE AS vat, total_cost, total_cost AS amount_due,
+         (key % 100 / 100)::DOUBLE AS confidence
+  FROM base LEFT JOIN units USING (key))),
+compared AS (
+  SELECT * EXCLUDE (one), nullif(total_cost, 0) / nullif(billing_days, 0) AS cost_per_day,
+         nullif(total_kwh, 0) / nullif(billing_days, 0) AS kwh_per_day,
+         nullif(total_cost, 0) / nullif(total_kwh, 0) AS effective_rate,
+         nullif(total_cost, 0) / nullif(billing_days, 0) * 365 AS annualised_cost FROM rows)"""
