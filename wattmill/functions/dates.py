@@ -5,78 +5,58 @@ No formatter is tried and failed row by row; a text that fits no layout costs a
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattmill.constants import MONTH_NAMES
 
-_TIME = r"(\d{1,2}:\d{2}(?::\d{2})?)"
-_OPTIONAL_TIME = rf"(?:[ T]{_TIME})?"
-_NUMERIC_4 = r"^(\d{1,2})([/.\-])(\d{1,2})\2(\d{4})"
-_NUMERIC_2 = r"^(\d{1,2})([/.\-])(\d{1,2})\2(\d{2})"
-_WORDED = r"^(\d{1,2}) ([A-Za-z]+) (\d{4}|\d{2})"
-_ISO_DASH = r"^(\d{4})-(\d{1,2})-(\d{1,2})"
-_ISO_ANY = r"^(\d{4})[/\-](\d{1,2})[/\-](\d{1,2})"
 CENTURY_PIVOT = 69
 
+# One pattern per kind of text.  Groups that take no part in a match come out empty, so every layout is
+# rewritten to `#year~month~day~time` by the same replacement.
+_MONTH_WORD = "(?:" + "|".join(f"{n[:3]}(?:{n[3:]})?" if len(n) > 3 else n for n in MONTH_NAMES) + ")"
+_SEPARATED = r"(\d{1,2})(?:/(\d{1,2})/|-(\d{1,2})-|\.(\d{1,2})\.)(\d{4}|\d{2})"
+_WORDED = rf"(\d{{1,2}}) (?=(?i:{_MONTH_WORD}) )([A-Za-z]{{3}})[A-Za-z]* (\d{{4}}|\d{{2}})"
+_TIME = r"(?:[ T](\d{1,2}:\d{2}(?::\d{2})?))?"
+LAYOUTS = {
+    # d/m/y, d-m-y, d.m.y, day month-name year (2 or 4 digit years), or y-m-d
+    "bill": (rf"^(?:{_SEPARATED}|{_WORDED}|(\d{{4}})-(\d{{1,2}})-(\d{{1,2}}))$", "#$5$8$9~$2$3$4$7$10~$1$6$11~"),
+    # the same with an optional time of day, and y/m/d
+    "day_first": (
+        rf"^(?:{_SEPARATED}|{_WORDED}|(\d{{4}})[/\-](\d{{1,2}})[/\-](\d{{1,2}})){_TIME}$",
+        "#$5$8$9~$2$3$4$7$10~$1$6$11~$12",
+    ),
+    "month_first": (rf"^{_SEPARATED}{_TIME}$", "#$5~$1~$2$3$4~$6"),
+}
+
 
 def squeeze(text: Column) -> Column:
     """Trim, and make every run of blanks one space."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def _month_number(word: Column) -> Column:
-    """1 to 12 for a full or three-letter English month name in any case, else null."""
-    entries = []
-    for number, name in enumerate(MONTH_NAMES, 1):
-        for key in dict.fromkeys((name.lower(), name[:3].lower())):
-            entries += [F.lit(key), F.lit(str(number))]
-    return F.try_element_at(F.create_map(*entries), F.lower(word))
-
-
-def _full_year(year: Column) -> Column:
-    """Two digits 69 to 99 belong to the 1900s, the rest to the 2000s."""
-    return F.when(F.length(year) == 4, year).otherwise(
-        F.concat(F.when(year.cast("int") >= CENTURY_PIVOT, "19").otherwise("20"), year)
-    )
-
-
-def _iso_text(text: Column, time: str, iso: str, day_first: bool) -> Column:
-    day, month = (1, 3) if day_first else (3, 1)
-    numeric_4, numeric_2, worded = _NUMERIC_4 + time + "$", _NUMERIC_2 + time + "$", _WORDED + time + "$"
-    short = F.regexp_extract(text, numeric_2, 4)
-    rewritten = F.when(
-        text.rlike(numeric_4), F.regexp_replace(text, numeric_4, f"$4-${month}-${day} $5")
-    ).when(
-        text.rlike(numeric_2),
-        F.concat(_full_year(short), F.regexp_replace(text, numeric_2, f"-${month}-${day} $5")),
-    )
-    if day_first:
-        rewritten = rewritten.when(text.rlike(iso + time + "$"), F.regexp_replace(text, iso + time + "$", "$1-$2-$3 $4"))
-        rewritten = rewritten.when(
-            text.rlike(worded),
-            F.concat(
-                _full_year(F.regexp_extract(text, worded, 3)), F.lit("-"),
-                _month_number(F.regexp_extract(text, worded, 2)),
-                F.regexp_replace(text, worded, "-$1 $4"),
-            ),
+def with_dates(df: DataFrame, dates: dict[str, str], layout: str = "bill") -> DataFrame:
+    """Add a parsed column per entry of `dates` (new name to text column), null where nothing fits.
+
+    "bill" gives DATE, the other layouts TIMESTAMP_NTZ.  The parts are a column of their own, so each text
+    is matched once however often its parts are used.
+    """
+    pattern, rewrite = LAYOUTS[layout]
+    months = F.create_map(*[F.lit(x) for i, n in enumerate(MONTH_NAMES, 1) for x in (n[:3].lower(), str(i))])
+    out = df.withColumns({
+        f"_{new}": F.split(F.regexp_replace(squeeze(F.col(text)), pattern, rewrite), "[#~]") for new, text in dates.items()
+    })
+
+    def assemble(parts: Column) -> Column:
+        year, month = F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+        century = F.when(F.length(year) == 4, "").when(year >= str(CENTURY_PIVOT), "19").otherwise("20")
+        text = F.concat(
+            century, year, F.lit("-"), F.coalesce(F.try_element_at(months, F.lower(month)), month), F.lit("-"),
+            F.get(parts, F.lit(3)), F.lit(" "), F.get(parts, F.lit(4)),
         )
-    return rewritten
-
-
-def parse_bill_date(text: Column) -> Column:
-    """DATE from a bill date: d/m/y, d-m-y, d.m.y, day month-name year (2 or 4 digit years), or y-m-d."""
-    # The empty group keeps the group numbers of layouts with a time of day.
-    return _iso_text(squeeze(text), "()", _ISO_DASH, True).try_cast("date")
-
-
-def parse_day_first(text: Column) -> Column:
-    """Local timestamp of a spreadsheet cell, day before month, with or without a time of day."""
-    return _iso_text(squeeze(text), _OPTIONAL_TIME, _ISO_ANY, True).try_cast("timestamp_ntz")
-
+        return text.try_cast("date" if layout == "bill" else "timestamp_ntz")
 
-def parse_month_first(text: Column) -> Column:
-    return _iso_text(squeeze(text), _OPTIONAL_TIME, _ISO_ANY, False).try_cast("timestamp_ntz")
+    return out.withColumns({new: assemble(F.col(f"_{new}")) for new in dates}).drop(*[f"_{new}" for new in dates])
 
 
 def parse_read_time(text: Column) -> Column:

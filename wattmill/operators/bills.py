@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattmill.functions.dates import parse_bill_date
+from wattmill.functions.dates import with_dates
 from wattmill.functions.numbers import ratio
 from wattmill.operators.ranking import number_rows
 
@@ -36,8 +36,10 @@ BILL_METADATA = ["extraction_method", "confidence_score", "warnings"]
 HIGH_PCT, PARTIAL_PCT = 80, 60
 
 
-def billing_days(start_text: Column, end_text: Column) -> Column:
-    return F.datediff(parse_bill_date(end_text), parse_bill_date(start_text))
+def billing_days(bills: DataFrame) -> DataFrame:
+    """Add parsed period ends and the days between them."""
+    dated = with_dates(bills, {"period_start": "billing_period_start", "period_end": "billing_period_end"})
+    return dated.withColumn("billing_days", F.datediff("period_end", "period_start"))
 
 
 def overlay_edits(bills: DataFrame, edits: DataFrame) -> DataFrame:
@@ -63,9 +65,7 @@ def comparison_rows(bills: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     Zero amounts count as missing in the derived figures.
     """
     start_text, end_text = F.col("billing_period_start"), F.col("billing_period_end")
-    dated = bills.withColumn("period_start", parse_bill_date(start_text)).withColumn(
-        "period_end", parse_bill_date(end_text)
-    ).withColumn("parsed_bill_date", parse_bill_date(F.col("bill_date")))
+    dated = with_dates(billing_days(bills), {"parsed_bill_date": "bill_date"})
     rows = dated.select(
         "bill_idx", "filename", *keep,
         F.when(F.col("supplier") != "", F.col("supplier")).otherwise("Unknown").alias("supplier"),
@@ -74,8 +74,7 @@ def comparison_rows(bills: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         F.when((start_text != "") & (end_text != ""), F.concat_ws(" — ", start_text, end_text)).otherwise("")
         .alias("billing_period"),
         F.coalesce("period_start", "parsed_bill_date").alias("sort_date"),
-        "period_start", "period_end", "parsed_bill_date",
-        F.datediff("period_end", "period_start").alias("billing_days"),
+        "period_start", "period_end", "parsed_bill_date", "billing_days",
         F.col("total_units_kwh").alias("total_kwh"),
         F.col("day_units_kwh").alias("day_kwh"),
         F.col("night_units_kwh").alias("night_kwh"),

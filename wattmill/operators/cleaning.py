@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattmill.constants import FIELD_ORDER
-from wattmill.functions.dates import parse_day_first, parse_month_first
+from wattmill.functions.dates import with_dates
 from wattmill.functions.numbers import clean_amount
 
 UNKNOWN_MPRN = "Unknown"
@@ -32,10 +32,13 @@ def parse_rows(renamed: DataFrame) -> DataFrame:
     """Typed values and one flag per repair; no row is dropped here."""
     empty = _blank(F.col("datetime")) & _blank(F.col("import_kwh"))
     filled = F.when(~_blank(F.col("datetime")), F.col("datetime"))
-    first = parse_day_first(filled)
-    staged = renamed.withColumn("is_empty", empty).withColumn("text", filled).withColumn("day_first", first)
-    # The month-first formats are only tried on what the day-first formats rejected.
-    staged = staged.withColumn("at", F.coalesce("day_first", parse_month_first(F.col("text"))))
+    staged = renamed.withColumn("is_empty", empty).withColumn("text", filled)
+    staged = with_dates(staged, {"day_first": "text"}, "day_first")
+    # Month-first is only tried on what day-first rejected.
+    staged = staged.withColumn("rest", F.when(F.col("day_first").isNull(), F.col("text")))
+    staged = with_dates(staged, {"month_first": "rest"}, "month_first").withColumn(
+        "at", F.coalesce("day_first", "month_first")
+    )
     imported = clean_amount(F.col("import_kwh"))
     exported = clean_amount(F.col("export_kwh"))
     typed = staged.withColumn("raw_import", imported).withColumn("raw_export", exported)

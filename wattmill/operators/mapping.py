@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattmill.constants import FIELD_ORDER, KNOWN_COLUMNS
-from wattmill.functions.dates import parse_day_first
+from wattmill.functions.dates import with_dates
 from wattmill.functions.numbers import to_number
 
 FUZZY_THRESHOLD = 80.0
@@ -176,8 +176,8 @@ def fuzzy_matches(headers: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- tier 3: content
 
 
-def looks_like_datetime(value: Column) -> Column:
-    return F.avg(parse_day_first(value).isNotNull().cast("int")) > HIT_RATE
+def looks_like_datetime(parsed: Column) -> Column:
+    return F.avg(parsed.isNotNull().cast("int")) > HIT_RATE
 
 
 def looks_like_mprn(value: Column) -> Column:
@@ -213,8 +213,8 @@ def content_flags(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     first = Window.partitionBy("file_id", "col_idx").orderBy("row_idx")
     sample = cells.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= SAMPLE_ROWS)
     value = F.col("value")
-    return sample.groupBy("file_id", "col_idx").agg(
-        looks_like_datetime(value).alias("datetime"),
+    return with_dates(sample, {"parsed": "value"}, "day_first").groupBy("file_id", "col_idx").agg(
+        looks_like_datetime(F.col("parsed")).alias("datetime"),
         looks_like_mprn(value).alias("mprn"),
         looks_like_kwh(value).alias("import_kwh"),
         looks_like_cost(value).alias("cost"),
