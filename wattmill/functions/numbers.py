@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PLAIN_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+PLAIN_NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
 
 
 def to_number(text: Column) -> Column:
     """DOUBLE from a plain decimal string, null otherwise (rejects '1.5d', '0x10', 'NaN')."""
-    return F.when(text.rlike(PLAIN_NUMBER), F.trim(text).try_cast("double"))
+    return F.regexp_extract(text, PLAIN_NUMBER, 1).try_cast("double")
 
 
 def clean_amount(text: Column) -> Column:

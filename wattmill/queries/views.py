@@ -137,15 +137,16 @@ def sheets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
                     F.when(key % 5 == 0, "  ").otherwise(""))
     cost = F.concat(F.lit("€"), plain)
     base = table(spark, sf, "orders").withColumn("c", cents).withColumn("kind", F.expr("(o_custkey div 100) % 3"))
-    d, use, m, cst = (x.cast("string") for x in (date_text, usage, mprn, cost))
-    export = F.when(key % 4 == 0, "0.5").cast("string")
-    note = F.concat(F.lit("note "), key.cast("string"))
+    base = base.withColumns({
+        "d": date_text.cast("string"), "use": usage.cast("string"), "m": mprn, "cost": cost,
+        "export": F.when(key % 4 == 0, "0.5").cast("string"), "note": F.concat(F.lit("note "), key.cast("string")),
+    })
     rows = base.select(
         F.concat(F.lit("sheet_"), F.expr("o_custkey div 100").cast("string")).alias("file_id"),
         key.alias("row_idx"),
-        F.when(F.col("kind") == 0, F.array(d, use, export, m, cst))
-        .when(F.col("kind") == 1, F.array(d, use, m, cst))
-        .otherwise(F.array(m, d, use, note, cst))
+        F.when(F.col("kind") == 0, F.array("d", "use", "export", "m", "cost"))
+        .when(F.col("kind") == 1, F.array("d", "use", "m", "cost"))
+        .otherwise(F.array("m", "d", "use", "note", "cost"))
         .alias("cells"),
     )
     names = [F.array(*[F.lit(h) for h in SHEET_HEADERS[k]]) for k in (0, 1, 2)]
@@ -282,3 +283,146 @@ compared AS (
          nullif(total_kwh, 0) / nullif(billing_days, 0) AS kwh_per_day,
          nullif(total_cost, 0) / nullif(total_kwh, 0) AS effective_rate,
          nullif(total_cost, 0) / nullif(billing_days, 0) * 365 AS annualised_cost FROM rows)"""
+
+
+# ---------------------------------------------------------------- bill texts from orders
+# Seven layouts: six providers with rules of their own and one the engine does not know.
+
+LAYOUTS = ["Energia", "Electric Ireland", "SSE Airtricity", "unknown", "Kerry Petroleum", "ESB Networks", "Go Power"]
+
+
+def bill_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The true values behind each bill text, as printable strings."""
+    key = F.col("o_orderkey")
+
+    def euros(cents):
+        return F.concat((F.floor(cents / 100)).cast("bigint").cast("string"), F.lit("."),
+                        F.lpad((cents % 100).cast("string"), 2, "0"))
+
+    def rate(units):
+        return F.concat(F.lit("0."), F.lpad(units.cast("string"), 4, "0"))
+
+    base = table(spark, sf, "orders").select(
+        key.alias("bill_id"), (key % 7).cast("int").alias("layout"),
+        F.concat(F.lit("10"), F.lpad(key.cast("string"), 9, "0")).alias("mprn"),
+        (F.lit(7000000) + key).cast("string").alias("account"),
+        (key % 900 + 100).alias("dk"), (key % 300 + 50).alias("nk"),
+        (key % 10 * 100 + 2500).alias("dr"), (key % 7 * 100 + 1500).alias("nr"),
+        F.col("o_orderdate").cast("date").alias("start"),
+        F.date_add(F.col("o_orderdate").cast("date"), 59).alias("end"),
+        (key % 6 == 0).alias("bad_vat"), (key % 10 == 3).alias("no_total"), (key % 9 == 0).alias("scanned"),
+    )
+    base = base.withColumn("dc", F.expr("(dk * dr + 50) div 100")).withColumn("nc", F.expr("(nk * nr + 50) div 100"))
+    base = base.withColumn("net", F.col("dc") + F.col("nc") + 1650 + 201)
+    base = base.withColumn("vat", F.expr("(net * 9 + 50) div 100"))
+    base = base.withColumn("printed_vat", F.when(F.col("bad_vat"), F.col("vat") * 10 + 1).otherwise(F.col("vat")))
+    return base.select(
+        "bill_id", "layout", "mprn", "account", "dk", "nk", "start", "end", "bad_vat", "no_total", "scanned",
+        rate(F.col("dr")).alias("dr"), rate(F.col("nr")).alias("nr"), euros(F.col("dc")).alias("dc"),
+        euros(F.col("nc")).alias("nc"), euros(F.col("net")).alias("net"), euros(F.col("vat")).alias("vat"),
+        euros(F.col("printed_vat")).alias("printed_vat"), euros(F.col("net") + F.col("vat")).alias("total"),
+    )
+
+
+def _lines(*parts) -> "F.Column":
+    return F.array(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+
+
+def bill_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(bill_id, layout, scanned, lines ARRAY<STRING>)."""
+    v = bill_values(spark, sf).withColumn("s1", F.date_format("start", "dd/MM/yyyy")).withColumn(
+        "e1", F.date_format("end", "dd/MM/yyyy")
+    )
+
+    def t(template: str):
+        """Fill {name} with the value of a column."""
+        pieces = []
+        for part in template.replace("}", "{").split("{"):
+            pieces.append(part)
+        return F.concat(*[F.lit(x) if i % 2 == 0 else F.col(x).cast("string") for i, x in enumerate(pieces)])
+
+    total = F.when(~F.col("no_total"), t("Total Charges For the Period €{total}"))
+    layouts = [
+        _lines("Energia customer bill", t("Account Number {account}"), t("MPRN: {mprn}"), t("Billing Period {s1} - {e1}"),
+               t("Day Energy {dk} kWh @ €{dr} €{dc}"), t("Night Energy {nk} kWh @ €{nr} €{nc}"),
+               "Standing Charge 30 Days @ €0.55 €16.50", "PSO Levy €2.01", t("Total Excluding VAT €{net}"),
+               t("VAT 9% €{printed_vat}"), total, "www.energia.ie"),
+        _lines("Electric Ireland customer bill", "Account Number", t("{account}"), t("MPRN {mprn}"), "Billing Period",
+               t("{s1} - {e1}"), t("Day {dk}.5 Units at €{dr} per Unit"), t("€{dc}"),
+               t("Night {nk}.25 Units at €{nr} per Unit"), t("€{nc}"), "Standing Charge 30 days at €0.55 per day", "€16.50",
+               "Public Service Obligation Levy - 2 months at €1.00", "€2.01", "Sub Total before VAT", t("€{net}"),
+               t("VAT on €{net} at 9%"), t("€{printed_vat}"), F.when(~F.col("no_total"), "Total transactions for this period"),
+               F.when(~F.col("no_total"), t("€{total}")), "electricireland.ie"),
+        _lines("SSE Airtricity customer bill", t("Account Number: {account}"), t("MPRN {mprn}"), t("{s1} to {e1}"),
+               "SmartSaver Std Day", t("{dk}.00"), t("{dr}"), "SmartSaver Std Night", t("{nk}.00"), t("{nr}"),
+               "Standing Charge P4 Dom Urban", "30.00", "0.5500", "16.50", t("Total costs for this period {net}"),
+               "VAT 9%", t("Total VAT {printed_vat}"), F.when(~F.col("no_total"), t("Total charges for this period {total}")),
+               "sseairtricity.com"),
+        _lines("Green Valley Utilities customer bill", t("Account Number: {account}"), t("MPRN: {mprn}"),
+               t("Billing Period: {s1} - {e1}"), t("Day Energy {dk} kWh @ €{dr}"), t("Night Energy {nk} kWh @ €{nr}"),
+               "Standing Charge for the period €16.50", "PSO Levy 2.01", t("Sub Total €{net}"), t("VAT 9% €{printed_vat}"),
+               F.when(~F.col("no_total"), t("Total due €{total}"))),
+        _lines("Kerry Petroleum customer invoice", t("INVOICE No. {ref}"), t("Date: {s1}"),
+               "Heating oil delivered to the customer address as ordered", t("KEROSENE {dk} 0.95 {net} 13.50 {vat} {total}"),
+               "Thank you for your custom and please pay within thirty days"),
+        _lines("ESB Networks customer bill", t("MPRN {mprn}"), "Billing period 29 Feb 24 to 30 Apr 24",
+               "Standing Charge 16.50 30 days @ €0.5500 / day", "Standing Charge 17.05 31 days @ €0.5500 / day",
+               t("Total electricity charges {net}"), t("VAT {printed_vat} 9%"),
+               F.when(~F.col("no_total"), t("Total due €{total}")), "Call ESB Networks for emergencies"),
+        _lines("Go Power customer bill", t("Account Code: {account}"), t("MPRN {mprn}"), "Usage Period 1 Jan 24 to 31 Jan 24",
+               t("Energy {dk} kWh {cents} €{dc}"), "Standing Charge 30 days €16.50", "PSO Levy €2.01",
+               t("Sub Total €{net}"), t("VAT @ 9% €{printed_vat}"),
+               F.when(~F.col("no_total"), t("NEW BALANCE DUE €{total}")), "gopower.ie"),
+    ]
+    v = v.withColumn("ref", F.lpad((F.col("bill_id") % 1000000).cast("string"), 6, "0")).withColumn(
+        "cents", F.format_string("%.2f", F.col("dr").cast("double") * 100)
+    )
+    chosen = layouts[-1]
+    for number, body in reversed(list(enumerate(layouts[:-1]))):
+        chosen = F.when(F.col("layout") == number, body).otherwise(chosen)
+    return v.select("bill_id", "layout", "scanned", F.filter(chosen, lambda line: line.isNotNull()).alias("lines"))
+
+
+def bill_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return bill_lines(spark, sf).select("bill_id", F.array_join("lines", "\n").alias("text"))
+
+
+def bill_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Two pages per bill; scanned bills only carry scraps of text."""
+    half = F.floor(F.size("lines") / 2).cast("int")
+    pages = F.array(
+        F.struct(F.lit(1).alias("page_no"), F.array_join(F.slice("lines", F.lit(1), half), "\n").alias("text")),
+        F.struct(F.lit(2).alias("page_no"),
+                 F.array_join(F.slice("lines", half + 1, F.size("lines") - half), "\n").alias("text")),
+    )
+    scraps = F.array(F.struct(F.lit(1).alias("page_no"), F.lit("Il lI 1l %% 12").alias("text")))
+    return bill_lines(spark, sf).select("bill_id", F.inline(F.when(F.col("scanned"), scraps).otherwise(pages)))
+
+
+def ocr_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Word table of the scanned bills: one row per word, laid out by line and position."""
+    lines = bill_lines(spark, sf).filter("scanned").select("bill_id", F.posexplode("lines").alias("line", "text"))
+    words = lines.select("bill_id", "line", F.posexplode(F.split("text", " ")).alias("pos", "text"))
+    return words.select(
+        F.col("bill_id").alias("doc_id"), F.lit(1).alias("page_num"), F.lit(1).alias("block_num"),
+        (F.col("line") + 1).alias("line_num"), (F.col("pos") + 1).alias("word_num"),
+        (F.col("pos") * 80 + 10).alias("left"), (F.col("line") * 24 + 10).alias("top"), F.lit(60).alias("width"),
+        F.lit(20).alias("height"),
+        F.when((F.col("bill_id") + F.col("line") * 7 + F.col("pos")) % 97 == 0, -1)
+        .otherwise(F.lit(90) - (F.col("line") + F.col("pos")) % 7).cast("double").alias("conf"),
+        "text",
+    )
+
+
+BILL_VALUES_SQL = """
+vals AS (
+  SELECT bill_id, layout, mprn, account, dk, nk, s, e, bad_vat, no_total, scanned, dr / 10000 AS dr, nr / 10000 AS nr, dc / 100 AS dc,
+         nc / 100 AS nc, net / 100 AS net, vat / 100 AS vat, (net + vat) / 100 AS total,
+         CASE WHEN bad_vat THEN vat * 10 + 1 ELSE vat END / 100 AS printed_vat
+  FROM (SELECT *, (net * 9 + 50) // 100 AS vat FROM (SELECT *, dc + nc + 1650 + 201 AS net FROM (
+    SELECT *, (dk * dr + 50) // 100 AS dc, (nk * nr + 50) // 100 AS nc FROM (
+      SELECT o_orderkey AS bill_id, o_orderkey % 7 AS layout, '10' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS mprn,
+             CAST(7000000 + o_orderkey AS VARCHAR) AS account, o_orderkey % 900 + 100 AS dk, o_orderkey % 300 + 50 AS nk,
+             o_orderkey % 10 * 100 + 2500 AS dr, o_orderkey % 7 * 100 + 1500 AS nr, o_orderdate::DATE AS s,
+             o_orderdate::DATE + 59 AS e, o_orderkey % 6 = 0 AS bad_vat, o_orderkey % 10 = 3 AS no_total,
+             o_orderkey % 9 = 0 AS scanned FROM orders)))))"""
