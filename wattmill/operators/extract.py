@@ -72,44 +72,49 @@ def _bounded(keyword: str) -> str:
     return rf"(?<![a-z0-9]){re.escape(keyword.lower()).replace(chr(92) + ' ', ' ')}(?![a-z0-9])"
 
 
+def _best_provider(text: Column) -> Column:
+    """STRUCT<score, rank, provider, word> of the provider whose bounded keywords occur most."""
+    keywords = [(p, k) for p, ks in R.PROVIDER_KEYWORDS.items() for k in ks]
+    position = {pk: i for i, pk in enumerate(keywords)}
+
+    def count(flat: Column) -> Column:
+        return F.array(*[
+            F.when(flat.contains(k.lower()), F.regexp_count(flat, F.lit(_bounded(k)))).otherwise(0) for _, k in keywords
+        ])
+
+    def rank_all(hits: Column) -> Column:
+        ranked = []
+        for rank, (provider, words) in enumerate(R.PROVIDER_KEYWORDS.items()):
+            found_at = {w: F.get(hits, F.lit(position[provider, w])) for w in words}
+            kept = []
+            for word in words:
+                longer = [o for o in words if word.lower() in o.lower() and word.lower() != o.lower()]
+                shadowed = F.greatest(F.lit(0), F.lit(0), *[found_at[o] for o in longer]) > 0
+                kept.append(F.when(shadowed, 0).otherwise(found_at[word]))
+            # First longest of the counted keywords.
+            by_length = sorted(range(len(words)), key=lambda i: (-len(words[i]), i))
+            ranked.append(F.struct(
+                sum(kept[1:], kept[0]).alias("score"), F.lit(-rank).alias("rank"), F.lit(provider).alias("provider"),
+                F.coalesce(*[F.when(kept[i] > 0, F.lit(words[i])) for i in by_length]).alias("word"),
+            ))
+        return F.array_max(F.array(*ranked))
+
+    flat = F.regexp_replace(F.lower(text), r"(?U)\s+", " ")
+    return _bind(_bind(flat, count), rank_all)
+
+
 def detect_provider(bills: DataFrame, text: str = "text") -> DataFrame:
     """Add `provider`, `is_known` and `matched_keyword`: the provider whose bounded keywords occur most.
 
-    A keyword inside a longer one of the same provider only counts when the longer one is absent.
+    A keyword inside a longer one of the same provider only counts when the longer one is absent.  The result is
+    one expression, so a filter on it that moves towards the scan costs one more evaluation and no more.
     """
-    keywords = [(p, k) for p, ks in R.PROVIDER_KEYWORDS.items() for k in ks]
-    position = {pk: i for i, pk in enumerate(keywords)}
-    flat = F.regexp_replace(F.lower(F.col(text)), r"(?U)\s+", " ")
-    counts = _bind(flat, lambda t: F.array(*[
-        F.when(t.contains(k.lower()), F.regexp_count(t, F.lit(_bounded(k)))).otherwise(0) for _, k in keywords
-    ]))
-
-    def hits(provider: str, keyword: str) -> Column:
-        return F.get("_hits", F.lit(position[provider, keyword]))
-
-    ranked = []
-    for rank, (provider, words) in enumerate(R.PROVIDER_KEYWORDS.items()):
-        kept = []
-        for word in words:
-            longer = [o for o in words if word.lower() in o.lower() and word.lower() != o.lower()]
-            shadowed = F.greatest(F.lit(0), F.lit(0), *[hits(provider, o) for o in longer]) > 0
-            kept.append(F.when(shadowed, 0).otherwise(hits(provider, word)))
-        score = sum(kept[1:], kept[0])
-        # First longest of the counted keywords.
-        by_length = sorted(range(len(words)), key=lambda i: (-len(words[i]), i))
-        best_word = F.coalesce(*[F.when(kept[i] > 0, F.lit(words[i])) for i in by_length])
-        ranked.append(F.struct(
-            score.alias("score"), F.lit(-rank).alias("rank"), F.lit(provider).alias("provider"), best_word.alias("word")
-        ))
-    best = F.col("_best")
-    return (
-        bills.withColumn("_hits", counts)
-        .withColumn("_best", F.array_max(F.array(*ranked)))
-        .withColumn("is_known", F.coalesce(best["score"] > 0, F.lit(False)))
-        .withColumn("provider", F.when(F.col("is_known"), best["provider"]).otherwise(UNKNOWN))
-        .withColumn("matched_keyword", F.when(F.col("is_known"), best["word"]))
-        .drop("_hits", "_best")
-    )
+    detected = _bind(_best_provider(F.col(text)), lambda best: F.struct(
+        F.when(best["score"] > 0, best["provider"]).otherwise(UNKNOWN).alias("provider"),
+        F.coalesce(best["score"] > 0, F.lit(False)).alias("is_known"),
+        F.when(best["score"] > 0, best["word"]).alias("matched_keyword"),
+    ))
+    return bills.withColumn("_d", detected).select("*", "_d.*").drop("_d")
 
 
 SIGNATURE_WEIGHTS = {"keyword": 3, "phone": 5, "vat": 10, "address": 4}
@@ -119,24 +124,23 @@ SUPPLIER_FULL_SCORE = 22.0
 def detect_supplier(bills: DataFrame, text: str = "text") -> DataFrame:
     """Add `supplier` and `supplier_confidence` from weighted signatures; earlier suppliers win ties."""
     body = F.col(text)
-    lowered = bills.withColumn("_lower", F.lower(body))
-    ranked = []
-    for rank, (supplier, signature) in enumerate(R.SUPPLIER_SIGNATURES.items()):
-        tests = [(F.col("_lower").contains(k.lower()), SIGNATURE_WEIGHTS["keyword"]) for k in signature["keywords"]]
-        tests += [(body.contains(p), SIGNATURE_WEIGHTS["phone"]) for p in signature["phone"]]
-        tests += [(body.contains(signature[k]), SIGNATURE_WEIGHTS[k]) for k in ("vat", "address") if signature[k]]
-        score = sum((F.when(test, weight).otherwise(0) for test, weight in tests), F.lit(0))
-        ranked.append(F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.lit(supplier).alias("supplier")))
-    best = F.col("_best")
-    return (
-        lowered.withColumn("_best", F.array_max(F.array(*ranked)))
-        .withColumn("supplier", F.when(best["score"] > 0, best["supplier"]).otherwise("Unknown"))
-        .withColumn(
-            "supplier_confidence",
-            F.when(best["score"] > 0, F.round(F.least(best["score"] / SUPPLIER_FULL_SCORE, F.lit(1.0)), 2)).otherwise(0.0),
-        )
-        .drop("_lower", "_best")
-    )
+
+    def rank_all(lowered: Column) -> Column:
+        ranked = []
+        for rank, (supplier, signature) in enumerate(R.SUPPLIER_SIGNATURES.items()):
+            tests = [(lowered.contains(k.lower()), SIGNATURE_WEIGHTS["keyword"]) for k in signature["keywords"]]
+            tests += [(body.contains(p), SIGNATURE_WEIGHTS["phone"]) for p in signature["phone"]]
+            tests += [(body.contains(signature[k]), SIGNATURE_WEIGHTS[k]) for k in ("vat", "address") if signature[k]]
+            score = sum((F.when(test, weight).otherwise(0) for test, weight in tests), F.lit(0))
+            ranked.append(F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.lit(supplier).alias("supplier")))
+        return F.array_max(F.array(*ranked))
+
+    detected = _bind(_bind(F.lower(body), rank_all), lambda best: F.struct(
+        F.when(best["score"] > 0, best["supplier"]).otherwise("Unknown").alias("supplier"),
+        F.when(best["score"] > 0, F.round(F.least(best["score"] / SUPPLIER_FULL_SCORE, F.lit(1.0)), 2)).otherwise(0.0)
+        .alias("supplier_confidence"),
+    ))
+    return bills.withColumn("_d", detected).select("*", "_d.*").drop("_d")
 
 
 # ---------------------------------------------------------------- clean-up before a provider's rules
@@ -308,14 +312,15 @@ def provider_fields(text: Column, provider: Column) -> Column:
     """
     out = F.lit(None)
     for name, rules in R.PROVIDER_RULES.items():
-        scanned = _bind(
-            CLEANUPS[R.PROVIDER_CLEANUP[name]](text) if name in R.PROVIDER_CLEANUP else text,
-            lambda t, chosen=tuple(rules): _spread({rule.field: _rule_value(t, rule) for rule in chosen}),
-        )
-        out = F.when(provider == name, scanned).otherwise(out)
+        cleaned = CLEANUPS[R.PROVIDER_CLEANUP[name]](text) if name in R.PROVIDER_CLEANUP else text
+        out = F.when(provider == name, _bind(cleaned, _scan_with(rules))).otherwise(out)
     return out
 
 
+def _scan_with(rules: Sequence[R.Rule]) -> Callable[[Column], Column]:
+    return lambda text: _spread({rule.field: _rule_value(text, rule) for rule in rules})
+
+
 def has_rules(provider: Column) -> Column:
     return provider.isin(list(R.PROVIDER_RULES))
 

@@ -262,11 +262,8 @@ CRITICAL = ["mprn", "subtotal", "total_incl_vat", "vat_amount"]
 def _truth(spark, sf):
     """Ground truth in long form, with the fields that do not apply per bill."""
     v = bill_values(spark, sf).filter("NOT scanned")
-    expected = F.map_from_entries(F.filter(F.array(
-        F.struct(F.lit("mprn"), F.col("mprn")), F.struct(F.lit("subtotal"), F.col("net")),
-        F.struct(F.lit("vat_amount"), F.col("vat")), F.struct(F.lit("total_incl_vat"), F.col("total")),
-        F.struct(F.lit("day_kwh"), F.col("dk").cast("string")), F.struct(F.lit("night_kwh"), F.col("nk").cast("string")),
-    ), lambda x: x.isNotNull()))
+    values = {"mprn": "mprn", "subtotal": "net", "vat_amount": "vat", "total_incl_vat": "total", "day_kwh": "dk", "night_kwh": "nk"}
+    expected = F.create_map(*[x for f, c in values.items() for x in (F.lit(f), F.col(c).cast("string"))])
     return v.select(
         F.col("bill_id").cast("string").alias("filename"),
         F.get(F.array(*[F.lit(n) for n in LAYOUTS]), F.col("layout")).alias("provider"),

@@ -25,7 +25,7 @@ printed AS (
     'Standing Charge 30 Days @ €0.55 €16.50', 'PSO Levy €2.01', 'Total Excluding VAT €' || printf('%.2f', net),
     'VAT 9% €' || printf('%.2f', printed_vat),
     CASE WHEN NOT no_total THEN 'Total Charges For the Period €' || printf('%.2f', total) END, 'www.energia.ie'],
-    x -> x IS NOT NULL)) AS line, generate_subscripts(list_filter([1,2,3,4,5,6,7,8,9,10,CASE WHEN NOT no_total THEN 11 END,12], x -> x IS NOT NULL), 1) AS line_num
+    lambda x: x IS NOT NULL)) AS line, generate_subscripts(list_filter([1,2,3,4,5,6,7,8,9,10,CASE WHEN NOT no_total THEN 11 END,12], lambda x: x IS NOT NULL), 1) AS line_num
   FROM vals WHERE layout = 0 AND scanned),
 tokens AS (
   SELECT doc_id, line_num, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) AS word_num FROM printed),
