@@ -35,6 +35,16 @@ def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def evaluate_once(value: Column) -> Column:
+    """Keep an expensive column in its own step.
+
+    Catalyst copies a column's expression into every filter it moves below that column, which would scan each text
+    many times.  It leaves non-deterministic columns alone; the condition here is always true.  Filters on
+    input columns belong before the extraction.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 # ---------------------------------------------------------------- text quality and page assembly
 
 NATIVE_CHARS_PER_PAGE = 100
@@ -106,15 +116,14 @@ def _best_provider(text: Column) -> Column:
 def detect_provider(bills: DataFrame, text: str = "text") -> DataFrame:
     """Add `provider`, `is_known` and `matched_keyword`: the provider whose bounded keywords occur most.
 
-    A keyword inside a longer one of the same provider only counts when the longer one is absent.  The result is
-    one expression, so a filter on it that moves towards the scan costs one more evaluation and no more.
+    A keyword inside a longer one of the same provider only counts when the longer one is absent.
     """
     detected = _bind(_best_provider(F.col(text)), lambda best: F.struct(
         F.when(best["score"] > 0, best["provider"]).otherwise(UNKNOWN).alias("provider"),
         F.coalesce(best["score"] > 0, F.lit(False)).alias("is_known"),
         F.when(best["score"] > 0, best["word"]).alias("matched_keyword"),
     ))
-    return bills.withColumn("_d", detected).select("*", "_d.*").drop("_d")
+    return bills.withColumn("_d", evaluate_once(detected)).select("*", "_d.*").drop("_d")
 
 
 SIGNATURE_WEIGHTS = {"keyword": 3, "phone": 5, "vat": 10, "address": 4}
@@ -140,7 +149,7 @@ def detect_supplier(bills: DataFrame, text: str = "text") -> DataFrame:
         F.when(best["score"] > 0, F.round(F.least(best["score"] / SUPPLIER_FULL_SCORE, F.lit(1.0)), 2)).otherwise(0.0)
         .alias("supplier_confidence"),
     ))
-    return bills.withColumn("_d", detected).select("*", "_d.*").drop("_d")
+    return bills.withColumn("_d", evaluate_once(detected)).select("*", "_d.*").drop("_d")
 
 
 # ---------------------------------------------------------------- clean-up before a provider's rules
@@ -345,7 +354,8 @@ def to_long(bills: DataFrame, key: str = "bill_id", columns: Sequence[str] = FIE
             F.col(c)["confidence"].alias("confidence"), F.col(c)["pattern_index"].alias("pattern_index")))
         for c in columns
     ])
-    return bills.select(key, F.inline(F.filter(entries, lambda e: e.isNotNull())))
+    rows = bills.withColumn("_e", evaluate_once(F.filter(entries, lambda e: e.isNotNull())))
+    return rows.select(key, F.inline_outer("_e")).filter(F.col("field_name").isNotNull())
 
 
 def hit_rate(bills: DataFrame) -> DataFrame:
@@ -500,10 +510,15 @@ def validate_fields(df: DataFrame) -> DataFrame:
         check("standing_charge_range", n["standing_charge"].isNotNull(), n["standing_charge"].between(0.01, STANDING_LIMIT)),
     ]
     return _without_numbers(
-        numbers.withColumn("checks", F.filter(F.array(*checks), lambda c: c.isNotNull())), names
+        numbers.withColumn("checks", evaluate_once(F.filter(F.array(*checks), lambda c: c.isNotNull()))), names
     )
 
 
+def check_rows(validated: DataFrame, key: str = "bill_id") -> DataFrame:
+    """(key, name, passed), one row per check."""
+    return validated.select(key, F.inline_outer("checks")).filter(F.col("name").isNotNull())
+
+
 def bill_type_of(provider: Column) -> Column:
     entries = [F.lit(x) for pair in R.PROVIDER_BILL_TYPE.items() for x in pair]
     return F.try_element_at(F.create_map(*entries), provider)
@@ -534,7 +549,9 @@ def score_confidence(df: DataFrame, provider: str = "provider_name", ocr: str |
         size = F.when(F.col("bill_type") == name, len(fields)).otherwise(size)
     passed = F.size(F.filter("checks", lambda c: c["passed"]))
     implausible = F.exists("checks", lambda c: ~c["passed"] & c["name"].isin(PLAUSIBILITY))
-    quality = F.lit(0.5) if ocr is None else F.coalesce(F.least(F.col(ocr) / 100, F.lit(1.0)), F.lit(0.5))
+    quality = F.lit(0.5)
+    if ocr is not None:
+        quality = F.when(F.col(ocr).isNotNull(), F.least(F.col(ocr) / 100, F.lit(1.0))).otherwise(0.5)
     score = F.col("score")
     return (
         typed.withColumn("fields_found", hits)
@@ -641,7 +658,7 @@ def external_fields(records: DataFrame, json: str = "json") -> DataFrame:
     }
     values = {**texts, **numbers, **from_items}
     fields = _spread({f: _if_found(v, EXTERNAL_CONFIDENCE, -1) for f, v in values.items()})
-    return parsed.withColumn("x", fields).drop("r", "_items").select("*", "x.*").drop("x")
+    return parsed.withColumn("x", evaluate_once(fields)).drop("r", "_items").select("*", "x.*").drop("x")
 
 
 def known_provider(name: Column) -> Column:

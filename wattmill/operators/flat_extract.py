@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattmill.operators.extract import _bind, detect_supplier
+from wattmill.operators.extract import _bind, detect_supplier, evaluate_once
 
 # Labelled patterns of the flat layout.  Case matters unless the pattern says otherwise.
 TEXT_PATTERNS = {
@@ -83,7 +83,7 @@ def extract_flat(bills: DataFrame, text: str = "text") -> DataFrame:
         fields["standing_charge_days"] = fields["standing_charge_days"].cast("int")
         return F.struct(*[value.alias(name) for name, value in fields.items()])
 
-    flat = detect_supplier(bills, text).withColumn("x", _bind(F.col(text), scan)).select("*", "x.*").drop("x")
+    flat = detect_supplier(bills, text).withColumn("x", evaluate_once(_bind(F.col(text), scan))).select("*", "x.*").drop("x")
     units = [F.coalesce(F.col(f"{k}_units_kwh"), F.lit(0.0)) for k in ("day", "night", "peak")]
     total = sum(units[1:], units[0])
     flat = flat.withColumn("total_units_kwh", F.when(total > 0, F.round(total, 3)))

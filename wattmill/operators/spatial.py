@@ -83,7 +83,9 @@ def label_words_like(word: Column) -> Column:
 
 def find_anchors(lines: DataFrame) -> DataFrame:
     """Every label on every line, at its first place on the line, with the box around its words."""
-    staged = lines.withColumn("likes", F.transform("words", lambda w: label_words_like(w["text"])))
+    staged = lines.withColumn(
+        "likes", ex.evaluate_once(F.transform("words", lambda w: label_words_like(w["text"])))
+    )
     staged = staged.withColumn("seen", F.array_distinct(F.flatten("likes"))).filter(F.size("seen") > 0)
     n, likes = F.size("words"), F.col("likes")
 
@@ -115,7 +117,8 @@ def find_anchors(lines: DataFrame) -> DataFrame:
                       for f, labels in R.ANCHOR_LABELS.items() if label in labels]),
         )
     ])
-    placed = staged.select(*LINE, "words", F.inline(hits)).withColumn(
+    placed = staged.withColumn("hits", ex.evaluate_once(hits)).select(*LINE, "words", F.inline_outer("hits"))
+    placed = placed.filter(F.col("label").isNotNull()).withColumn(
         "part", F.slice("words", F.col("start") + 1, F.col("span"))
     )
     left = F.array_min(F.transform("part", lambda w: w["left"]))
@@ -257,7 +260,7 @@ def extract_spatial(words: DataFrame) -> DataFrame:
     joined = texts.join(labelled, "doc_id", "left").join(by_doc, "doc_id", "left")
     known = ex.detect_provider(joined, "ocr_text").drop("matched_keyword", "is_known")
     fixed = ex.clean_text(F.col("ocr_text"), F.col("provider"))
-    read = known.withColumn("p", F.when(F.col("has_labels"), ex.universal_fields(fixed))).withColumnRenamed(
+    read = known.withColumn("p", ex.evaluate_once(F.when(F.col("has_labels"), ex.universal_fields(fixed)))).withColumnRenamed(
         "provider", "detected_provider")
     merged = read.withColumns({
         f: ex.merge_field(F.try_element_at("m", F.lit(f)), F.col("p")[f], F.lit(True), words=False) for f in ex.FIELDS

@@ -426,3 +426,67 @@ vals AS (
              o_orderkey % 10 * 100 + 2500 AS dr, o_orderkey % 7 * 100 + 1500 AS nr, o_orderdate::DATE AS s,
              o_orderdate::DATE + 59 AS e, o_orderkey % 6 = 0 AS bad_vat, o_orderkey % 10 = 3 AS no_total,
              o_orderkey % 9 = 0 AS scanned FROM orders)))))"""
+
+
+# ---------------------------------------------------------------- bills to verify against the readings
+
+
+def case_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings with their case: a meter is one case."""
+    return readings(spark, sf).withColumn("case_id", F.substring("mprn", 3, 9).cast("bigint"))
+
+
+def verify_bills(spark: SparkSession, sf: str) -> DataFrame:
+    """One bill per order, five users' worth of customers per case; some name another meter, some none."""
+    key = F.col("o_orderkey")
+    case = F.expr("o_custkey div 50")
+    start = F.date_add(F.lit("2023-12-15").cast("date"), (key % 40).cast("int"))
+    end = F.date_add(start, (key % 60 + 5).cast("int"))
+    suppliers = F.array(*[F.lit(s) for s in ("Electric Ireland", "Energia", "Flogas", "Unlisted")])
+    return table(spark, sf, "orders").select(
+        key.alias("bill_idx"), case.alias("case_id"),
+        F.get(suppliers, (key % 4).cast("int")).alias("supplier"),
+        F.when(key % 10 == 0, F.lit(None)).when(key % 10 == 1, "10999999999").otherwise(
+            F.concat(F.lit(" 10"), F.lpad(case.cast("string"), 9, "0"))).alias("mprn"),
+        F.when(key % 11 != 0, F.date_format(start, "dd/MM/yyyy")).alias("billing_period_start"),
+        F.when(key % 13 == 0, F.date_format(start, "dd/MM/yyyy")).otherwise(F.date_format(end, "d MMM yyyy"))
+        .alias("billing_period_end"),
+        F.when(key % 22 == 0, start).alias("override_start"), F.lit(None).cast("date").alias("override_end"),
+        (key % 50 + 20).cast("double").alias("day_units_kwh"), (key % 30 + 10).cast("double").alias("night_units_kwh"),
+        F.lit(None).cast("double").alias("peak_units_kwh"),
+        F.when(key % 5 != 0, (key % 100 + 30).cast("double")).alias("total_units_kwh"),
+        F.lit(0.28).alias("day_rate"), F.lit(0.15).alias("night_rate"), F.when(key % 2 == 0, 0.3).alias("peak_rate"),
+        (F.col("o_totalprice") / 10000).alias("total_this_period"),
+        (key % 60 + 5 + F.when(key % 6 == 0, 2).otherwise(0)).cast("int").alias("standing_charge_days"),
+        F.lit(20.0).alias("standing_charge_total"),
+        F.lit(None).cast("double").alias("export_units"), F.when(key % 3 == 0, 4.0).alias("export_credit"),
+    )
+
+
+VERIFY_SQL = f"""{READINGS_SQL},
+vb AS (
+  SELECT o_orderkey AS bill_idx, o_custkey // 50 AS case_id, ['Electric Ireland', 'Energia', 'Flogas', 'Unlisted'][o_orderkey % 4 + 1] AS supplier,
+         CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN '10999999999' ELSE '10' || lpad(CAST(o_custkey // 50 AS VARCHAR), 9, '0') END AS mprn,
+         CASE WHEN o_orderkey % 11 <> 0 OR o_orderkey % 22 = 0 THEN s END AS bill_start, CASE WHEN o_orderkey % 13 = 0 THEN s ELSE e END AS bill_end,
+         (o_orderkey % 50 + 20)::DOUBLE AS day_b, (o_orderkey % 30 + 10)::DOUBLE AS night_b, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 100 + 30 END::DOUBLE AS total_b,
+         CASE WHEN o_orderkey % 2 = 0 THEN 0.3 END::DOUBLE AS peak_rate, o_totalprice / 10000 AS cost,
+         (o_orderkey % 60 + 5 + CASE WHEN o_orderkey % 6 = 0 THEN 2 ELSE 0 END)::INTEGER AS sdays, CASE WHEN o_orderkey % 3 = 0 THEN 4.0 END::DOUBLE AS credit
+  FROM (SELECT *, DATE '2023-12-15' + CAST(o_orderkey % 40 AS INTEGER) AS s,
+               DATE '2023-12-15' + CAST(o_orderkey % 40 + o_orderkey % 60 + 5 AS INTEGER) AS e FROM orders)),
+hm AS (SELECT CAST(substr(mprn, 3, 9) AS BIGINT) AS case_id, min(mprn) AS hdf_mprn, min(date) AS hdf_start, max(date) AS hdf_end FROM readings GROUP BY 1),
+v1 AS (
+  SELECT *, coalesce(mprn IS NOT NULL AND hdf_mprn IS NOT NULL AND mprn <> hdf_mprn, false) AS mismatch, bill_start IS NULL OR bill_end IS NULL AS undated FROM vb LEFT JOIN hm USING (case_id)),
+v2 AS (SELECT *, CASE WHEN NOT mismatch AND NOT undated AND hdf_start IS NOT NULL THEN bill_end - bill_start ELSE 0 END AS billing_days FROM v1),
+v3 AS (
+  SELECT *, CASE WHEN billing_days > 0 THEN greatest(0, least(bill_end, hdf_end) - greatest(bill_start, hdf_start)) ELSE 0 END AS overlap_days FROM v2),
+checked AS (
+  SELECT *, CASE WHEN billing_days <> 0 THEN overlap_days * 100.0 / billing_days ELSE 0 END::DOUBLE AS overlap_pct,
+         CASE WHEN mismatch THEN 'meter mismatch' WHEN undated THEN 'no billing period' WHEN hdf_start IS NULL THEN 'no meter readings'
+              WHEN billing_days <= 0 THEN 'period ends before it starts' WHEN overlap_days = 0 THEN 'no overlap' END AS block_reason FROM v3),
+met AS (
+  SELECT bill_idx, count(*) AS reads, sum(import_kwh) AS total, coalesce(sum(import_kwh) FILTER (WHERE tariff_period = 'Day'), 0) AS day,
+         coalesce(sum(import_kwh) FILTER (WHERE tariff_period = 'Night'), 0) AS night, coalesce(sum(import_kwh) FILTER (WHERE tariff_period = 'Peak'), 0) AS peak, sum(export_kwh) AS export
+  FROM checked c JOIN readings r ON r.mprn = c.hdf_mprn AND r.date BETWEEN c.bill_start AND c.bill_end WHERE block_reason IS NULL GROUP BY bill_idx),
+ver AS (
+  SELECT *, reads IS NOT NULL AS ok, coalesce(total, 0.0) AS hdf_total, coalesce(day, 0.0) AS hdf_day, coalesce(night, 0.0) AS hdf_night, coalesce(peak, 0.0) AS hdf_peak,
+         coalesce(export, 0.0) AS hdf_export FROM checked LEFT JOIN met USING (bill_idx))"""
