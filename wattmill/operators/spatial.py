@@ -192,9 +192,13 @@ def nearest_values(lines: DataFrame, anchors: DataFrame) -> DataFrame:
         | (F.col("left") >= F.col("a_left"))
     )
     below = (down > 0) & (down <= F.col("a_height") * BELOW_REACH) & aligned
-    near = pairs.filter(~own & (right | below)).withColumn("direction", F.when(right, "right").otherwise("below"))
-    near = near.withColumn("distance", F.when(right, across * RIGHT_WEIGHT).otherwise(down.cast("double"))).filter(
-        fits_field(F.col("text"), F.col("field_name"))
+    # One opaque column for the geometry and one for the kind of value keep the filters small for the optimizer.
+    hit = F.when(~own & right, F.struct((across * RIGHT_WEIGHT).alias("distance"), F.lit("right").alias("direction"))).when(
+        ~own & below, F.struct(down.cast("double").alias("distance"), F.lit("below").alias("direction"))
+    )
+    near = pairs.withColumn("hit", ex.evaluate_once(hit)).filter(F.col("hit").isNotNull())
+    near = near.withColumn("fits", ex.evaluate_once(fits_field(F.col("text"), F.col("field_name")))).filter("fits").select(
+        "doc_id", "field_name", "hit.*", "text", "specificity", "w_block", "w_line", "word_num"
     )
     order = F.struct("distance", "w_block", "w_line", "word_num")
     pick = F.struct("text", "distance", "direction", "specificity")

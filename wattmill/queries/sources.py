@@ -1 +1,91 @@
-"""Queries."""
+"""Raw reads, upload dedup and report tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wattmill.operators import readings as rd
+from wattmill.operators import stats
+from wattmill.queries.bills import BY, compared
+from wattmill.queries.registry import query, rounded_sql
+from wattmill.queries.views import BILLS_SQL, READINGS_SQL, readings, table
+from wattmill.sources import exports
+from wattmill.sources.meter_files import first_uploads
+
+
+def raw_reads(spark, sf):
+    """Readings written back as meter-file rows: a file per meter, some in kW, some with slash dates."""
+    base = readings(spark, sf)
+    digit = F.substring("mprn", 11, 1).cast("int")
+    in_kw, slashes = digit == 3, digit == 4
+    unit = F.when(in_kw, "(kW)").otherwise("(kWh)")
+    scale = F.when(in_kw, 2.0).otherwise(1.0)
+    stamp = F.when(slashes, F.date_format("datetime", "dd/MM/yyyy HH:mm")).otherwise(
+        F.date_format("datetime", "dd-MM-yyyy HH:mm"))
+    reads = F.array(
+        F.struct(F.concat(F.lit("Active Import Interval "), unit).alias("read_type"),
+                 F.format_string("%.6f", F.col("import_kwh") * scale).alias("read_value"), F.lit(0).alias("n")),
+        F.struct(F.concat(F.lit("Active Export Interval "), unit).alias("read_type"),
+                 F.format_string("%.6f", F.col("export_kwh") * scale).alias("read_value"), F.lit(1).alias("n")),
+    )
+    at = (F.unix_micros(F.col("datetime").cast("timestamp")) / 1000000).cast("bigint") * 2
+    rows = base.select(F.concat(F.lit("file_"), F.col("mprn")).alias("file_id"), at.alias("at"), "mprn",
+                       stamp.alias("read_time"), F.inline(reads))
+    return rows.select("file_id", (F.col("at") + F.col("n")).alias("row_idx"), F.concat(F.lit(" "), F.col("mprn")).alias("mprn"),
+                       "read_value", "read_type", "read_time")
+
+
+@query(
+    "hdf_normalise",
+    rounded_sql("SELECT mprn, datetime, import_kwh, export_kwh, tariff_period FROM readings", "import_kwh, export_kwh", READINGS_SQL),
+)
+def hdf_normalise(spark, sf):
+    out = rd.normalise_reads(raw_reads(spark, sf))
+    return out.select("mprn", "datetime", "import_kwh", "export_kwh", "tariff_period")
+
+
+@query(
+    "hdf_file_report",
+    f"""WITH {READINGS_SQL} SELECT 'file_' || mprn AS file_id, count(*) AS total_rows_raw, count(*) AS total_rows_clean, 0::BIGINT AS rows_dropped,
+        min(datetime) AS date_range_start, max(datetime) AS date_range_end, '30min' AS granularity, 100.0::DOUBLE AS completeness_pct FROM readings GROUP BY mprn""",
+)
+def hdf_file_report(spark, sf):
+    raw = raw_reads(spark, sf)
+    return rd.file_reports(rd.normalise_reads(raw), raw)
+
+
+@query(
+    "dedup_uploads",
+    """SELECT md5(text) AS content_hash, min(doc_id) AS file_id, count(*) AS copies FROM documents GROUP BY 1""",
+)
+def dedup_uploads(spark, sf):
+    files = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("file_id"), F.col("doc_id").alias("arrival"), F.col("text").cast("binary").alias("content"))
+    return first_uploads(files).select("content_hash", "file_id", "copies")
+
+
+@query(
+    "export_monthly",
+    rounded_sql("SELECT mprn, year_month, sum(import_kwh) AS import_kwh, sum(export_kwh) AS export_kwh FROM readings GROUP BY ALL",
+                "import_kwh, export_kwh", READINGS_SQL),
+)
+def export_monthly(spark, sf):
+    source = readings(spark, sf)
+    return exports.meter_tables(source, stats.summary_stats(source))["monthly"]
+
+
+@query("export_summary")
+def export_summary(spark, sf):
+    return exports.summary_rows(stats.summary_stats(readings(spark, sf)))
+
+
+@query(
+    "export_comparison_bills",
+    f"""WITH {BILLS_SQL} SELECT bill_idx, substr(filename, 1, 31) AS sheet, f.field, f.value FROM rows,
+        LATERAL (SELECT unnest(['Status', 'Bill Date']) AS field, unnest([status, nullif(bill_date, '')]) AS value) f""",
+)
+def export_comparison_bills(spark, sf):
+    from wattmill.queries.views import bills
+
+    sheets = exports.comparison_tables(compared(spark, sf), bills(spark, sf), BY)["bills"]
+    return sheets.filter(F.col("field").isin("Status", "Bill Date")).drop("row_no")
