@@ -40,5 +40,5 @@ def number_rows(
     return (
         cuts.join(offsets, keys)
         .withColumn(position, F.row_number().over(inside) + F.col("_offset"))
-        .drop("_date", "_cut", "_offset")
+        .select(*df.columns, position, total)
     )

@@ -212,7 +212,7 @@ def bills(spark: SparkSession, sf: str) -> DataFrame:
             .when(key % 4 == 2, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "dd.MM.yy"))
         )
 
-    cost = F.when(key % 17 == 0, F.lit(None)).when(key % 43 == 0, 0.0).otherwise(F.round(F.col("o_totalprice") / 1000, 2))
+    cost = F.when(key % 17 == 0, F.lit(None)).when(key % 43 == 0, 0.0).otherwise(F.floor(F.col("o_totalprice") / 10) / 100)
     split = ["day_units_kwh", "night_units_kwh", "peak_units_kwh"]
     total = F.when(F.coalesce(*split).isNotNull(), sum((F.coalesce(c, F.lit(0.0)) for c in split), F.lit(0.0)))
     suppliers = ["Electric Ireland", "Energia", "SSE Airtricity", "Bord Gais Energy", "Flogas", "Unlisted"]
@@ -255,7 +255,7 @@ base AS (
   SELECT o_orderkey AS key, o_custkey AS client_id, o_orderdate::DATE AS s,
          (o_orderdate::DATE + CAST(o_orderkey % 71 + 20 AS INTEGER)) AS e,
          CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 43 = 0 THEN 0.0
-              ELSE round(o_totalprice / 1000, 2) END::DOUBLE AS total_cost FROM orders),
+              ELSE floor(o_totalprice / 10) / 100 END::DOUBLE AS total_cost FROM orders),
 rows AS (
   SELECT *, total_cost / nullif(nullif(total_cost, 0), NULL) AS one FROM (
   SELECT key AS bill_idx, 'bill_' || key || '.pdf' AS filename, client_id,

@@ -10,12 +10,13 @@ from wattmill.functions.dates import parse_read_time
 from wattmill.functions.numbers import to_number
 from wattmill.sources.meter_files import METER_COLUMNS
 
+FILES_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 READS_SCHEMA = ", ".join(f"`{c}` string" for c in METER_COLUMNS)
 
 
 def stream_uploads(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder as they arrive, with the hash of their content."""
-    files = spark.readStream.format("binaryFile").load(path)
+    files = spark.readStream.format("binaryFile").schema(FILES_SCHEMA).load(path)
     return files.select(
         F.col("path").alias("file_id"), F.col("modificationTime").alias("arrival"),
         F.md5("content").alias("content_hash"), "length",
