@@ -394,7 +394,12 @@ def _note(df: DataFrame, notes: list[Column]) -> DataFrame:
 
 
 def _with_numbers(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    return df.withColumns({f"_{f}": safe_float(value_of(f)) for f in fields})
+    return df.withColumns({f"_{f}": evaluate_once(safe_float(value_of(f))) for f in fields})
+
+
+def _steps(updates: dict[str, Column]) -> dict[str, Column]:
+    """Each update as a step of its own: long chains of derived columns slow the optimizer down."""
+    return {name: evaluate_once(value) for name, value in updates.items()}
 
 
 def _without_numbers(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -414,7 +419,7 @@ def fix_rates(df: DataFrame, when: dict[str, Column] | None = None) -> DataFrame
                          F.col(f)["pattern_index"].alias("pattern_index"))
         updates[f] = F.when(too_high, fixed).otherwise(F.col(f))
         notes.append(F.when(too_high, F.concat(F.lit(f"{f} read as cents: "), value_of(f))))
-    return _without_numbers(_note(numbers, notes).withColumns(updates), RATE_FIELDS)
+    return _without_numbers(_note(numbers, notes).withColumns(_steps(updates)), RATE_FIELDS)
 
 
 def compute_costs(df: DataFrame) -> DataFrame:
@@ -428,7 +433,7 @@ def compute_costs(df: DataFrame) -> DataFrame:
         amount = F.format_string("%.2f", F.round(F.col(f"_{rate}") * F.col(f"_{kwh}"), 2))
         updates[cost] = F.when(missing & known, _field(amount, COMPUTED, -1)).otherwise(F.col(cost))
         notes.append(F.when(missing & known, F.concat(F.lit(f"{cost} computed: "), amount)))
-    return _without_numbers(_note(numbers, notes).withColumns(updates), names)
+    return _without_numbers(_note(numbers, notes).withColumns(_steps(updates)), names)
 
 
 def heal_totals(df: DataFrame) -> DataFrame:
@@ -437,13 +442,13 @@ def heal_totals(df: DataFrame) -> DataFrame:
     numbers = _with_numbers(df, names)
     net, rate, vat = F.col("_subtotal"), F.col("_vat_rate"), F.col("_vat_amount")
     expected = F.when((rate > 0) & (rate <= VAT_MAX), F.round(net * rate / 100, 2))
-    staged = numbers.withColumn("_expected", expected)
+    staged = numbers.withColumn("_expected", evaluate_once(expected))
     expected = F.col("_expected")
     wrong = (expected > 0) & vat.isNotNull() & (F.abs(expected - vat) / expected > 1.0)
     absent = expected.isNotNull() & vat.isNull()
-    staged = staged.withColumn("_fixed", F.when(wrong, "corrected").when(absent, "computed")).withColumn(
-        "_vat", F.when(F.col("_fixed").isNotNull(), expected).otherwise(vat)
-    )
+    staged = staged.withColumn(
+        "_fixed", evaluate_once(F.when(wrong, "corrected").when(absent, "computed"))
+    ).withColumn("_vat", evaluate_once(F.when(F.col("_fixed").isNotNull(), expected).otherwise(vat)))
     total = F.round(net + F.col("_vat"), 2)
     add_total = F.col("_total_incl_vat").isNull() & total.isNotNull()
     vat_text, total_text = F.format_string("%.2f", expected), F.format_string("%.2f", total)
@@ -452,10 +457,10 @@ def heal_totals(df: DataFrame) -> DataFrame:
         F.when(add_total, F.concat(F.lit("total_incl_vat computed: "), total_text)),
     ]
     level = F.when(F.col("_fixed") == "corrected", CORRECTED).otherwise(COMPUTED)
-    healed = _note(staged, notes).withColumns({
+    healed = _note(staged, notes).withColumns(_steps({
         "vat_amount": F.when(F.col("_fixed").isNotNull(), _field(vat_text, level, -1)).otherwise(F.col("vat_amount")),
         "total_incl_vat": F.when(add_total, _field(total_text, COMPUTED, -1)).otherwise(F.col("total_incl_vat")),
-    })
+    }))
     return _without_numbers(healed, names).drop("_expected", "_fixed", "_vat")
 
 

@@ -52,7 +52,7 @@ def extract_bills(
             F.col("readable") & ~F.col("ruled") & ~F.col("by_words"), ex.universal_fields(F.col("text")))),
     })
     fields = {f: F.coalesce(F.when(F.col("by_words"), F.col("sp")[f]), F.col("own")[f], F.col("any")[f]) for f in ex.FIELDS}
-    wide = scanned.withColumns(fields)
+    wide = scanned.withColumns({f: ex.evaluate_once(c) for f, c in fields.items()})
     # Cents are repaired in a provider's own fields, and in every field of a scanned document.
     whole = F.col("by_words") & ~F.col("is_image")
     wide = ex.fix_rates(wide, {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattmill.operators.extract import evaluate_once
 from wattmill.operators.readings import with_features
 
 
@@ -312,10 +313,12 @@ def bill_values(spark: SparkSession, sf: str) -> DataFrame:
         F.date_add(F.col("o_orderdate").cast("date"), 59).alias("end"),
         (key % 6 == 0).alias("bad_vat"), (key % 10 == 3).alias("no_total"), (key % 9 == 0).alias("scanned"),
     )
-    base = base.withColumn("dc", F.expr("(dk * dr + 50) div 100")).withColumn("nc", F.expr("(nk * nr + 50) div 100"))
-    base = base.withColumn("net", F.col("dc") + F.col("nc") + 1650 + 201)
-    base = base.withColumn("vat", F.expr("(net * 9 + 50) div 100"))
-    base = base.withColumn("printed_vat", F.when(F.col("bad_vat"), F.col("vat") * 10 + 1).otherwise(F.col("vat")))
+    steps = {
+        "dc": "(dk * dr + 50) div 100", "nc": "(nk * nr + 50) div 100", "net": "dc + nc + 1650 + 201",
+        "vat": "(net * 9 + 50) div 100", "printed_vat": "if(bad_vat, vat * 10 + 1, vat)",
+    }
+    for name, formula in steps.items():
+        base = base.withColumn(name, evaluate_once(F.expr(formula)))
     return base.select(
         "bill_id", "layout", "mprn", "account", "dk", "nk", "start", "end", "bad_vat", "no_total", "scanned",
         rate(F.col("dr")).alias("dr"), rate(F.col("nr")).alias("nr"), euros(F.col("dc")).alias("dc"),
