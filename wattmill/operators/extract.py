@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattmill import extraction_rules as R
-from wattmill.functions.numbers import to_number
+from wattmill.functions.numbers import PLAIN_NUMBER, to_number
 
 FIELD = "struct<value:string,confidence:double,pattern_index:int>"
 # Every field any source can give, in the order the long form lists them.
@@ -211,14 +211,25 @@ def clean_text(text: Column, provider: Column) -> Column:
 # ---------------------------------------------------------------- pattern extraction
 
 
-def transform_value(value: Column, transform: str | None) -> Column:
+# The rule tables give hundreds of small expressions, so they are written as one SQL expression per column.
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _number(value: str) -> str:
+    return f"try_cast(regexp_extract({value}, {_quoted(PLAIN_NUMBER)}, 1) AS double)"
+
+
+def _transformed(value: str, transform: str | None) -> str:
     if transform == "strip_commas":
-        return F.replace(value, F.lit(","), F.lit(""))
+        return f"replace({value}, ',', '')"
     if transform == "strip_spaces":
-        return F.replace(value, F.lit(" "), F.lit(""))
+        return f"replace({value}, ' ', '')"
     if transform == "cents_to_euros":
-        euros = F.round(to_number(F.replace(value, F.lit(","), F.lit(""))) / 100, 4)
-        return F.coalesce(euros.cast("string"), value)
+        plain = f"replace({value}, ',', '')"
+        return f"coalesce(cast(round({_number(plain)} / 100, 4) AS string), {value})"
     return value
 
 
@@ -228,67 +239,63 @@ def _field(value: Column, confidence: Column | float, index: int) -> Column:
 
 
 def _if_found(value: Column, confidence: float, index: int) -> Column:
-    """Field from a text that is empty or null when nothing matched; the match runs once."""
+    """Field from a text that is empty or null when nothing matched; the text is evaluated once."""
     return F.get(F.transform(F.filter(F.array(value), lambda v: v != ""), lambda v: _field(v, confidence, index)), F.lit(0))
 
 
-def _search_area(text: Column, anchor: str | None) -> Column:
-    """Text from the anchor on; null when the anchor is absent."""
+def _found_sql(value: str, confidence: float, index: int) -> str:
+    """The same as SQL."""
+    return (f"get(transform(filter(array({value}), v -> v <> ''), v -> named_struct('value', v, "
+            f"'confidence', {confidence}D, 'pattern_index', {index})), 0)")
+
+
+def _area(anchor: str | None) -> str:
+    """The text `t`, or its part from the anchor on; null when the anchor is absent."""
     if anchor is None:
-        return text
-    return _bind(
-        F.regexp_instr(text, F.lit(ANCHOR_FLAGS + anchor)),
-        lambda at: F.when(at > 0, F.substring(text, at, F.lit(ANCHOR_WINDOW))),
-    )
+        return "t"
+    at = f"regexp_instr(t, {_quoted(ANCHOR_FLAGS + anchor)})"
+    return f"get(transform(array({at}), a -> if(a > 0, substring(t, a, {ANCHOR_WINDOW}), NULL)), 0)"
 
 
-def _single(area: Column, pattern: str, transform: str | None) -> Column:
+def _single(area: str, pattern: str, transform: str | None) -> str:
     """First match; several groups are joined by ' - '."""
-    groups = re.compile(pattern).groups
-    parts = [transform_value(F.regexp_extract(area, VALUE_FLAGS + pattern, g), transform) for g in range(1, groups + 1)]
-    if groups == 1:
+    parts = [_transformed(f"regexp_extract({area}, {_quoted(VALUE_FLAGS + pattern)}, {g})", transform)
+             for g in range(1, re.compile(pattern).groups + 1)]
+    if len(parts) == 1:
         return parts[0]
-    return _bind(F.filter(F.array(*parts), lambda p: p != ""), lambda found: F.array_join(found, " - "))
+    return f"array_join(filter(array({', '.join(parts)}), p -> p <> ''), ' - ')"
 
 
-def _multi(area: Column, rule: R.Rule, pattern: str) -> Column:
+def _multi(area: str, rule: R.Rule, pattern: str) -> str:
     """All matches: 'days - average rate - total' when the rule names its groups, else the matches joined."""
-    def every(group: int) -> Column:
-        return F.regexp_extract_all(area, F.lit(MULTI_FLAGS + pattern), F.lit(group))
+    def every(group: int) -> str:
+        return f"regexp_extract_all({area}, {_quoted(MULTI_FLAGS + pattern)}, {group})"
+
+    def add(values: str) -> str:
+        return f"aggregate({values}, 0D, (acc, y) -> acc + y)"
 
     count = re.compile(pattern).groups
-    joined = F.array_join(
-        F.transform(F.arrays_zip(*[every(g).alias(f"g{g}") for g in range(1, count + 1)]),
-                    lambda m: F.concat_ws(" ", *[m[f"g{g}"] for g in range(1, count + 1)])), "; ")
+    texts = ", ".join(f"m.`{g}`" for g in range(count))
+    zipped = ", ".join(every(g) for g in range(1, count + 1))
+    joined = f"array_join(transform(arrays_zip({zipped}), m -> concat_ws(' ', {texts})), '; ')"
     if not rule.groups or not {"days", "rate"} <= set(rule.groups):
         return joined
-    days = F.transform(every(rule.groups["days"]), to_number)
-    rates = F.transform(every(rule.groups["rate"]), to_number)
-    totals = (F.transform(every(rule.groups["total"]), to_number) if "total" in rule.groups
-              else F.zip_with(days, rates, lambda d, r: d * r))
-
-    def add(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-
+    numbers = {k: f"transform({every(g)}, y -> {_number('y')})" for k, g in rule.groups.items()}
+    total = numbers.get("total") or f"zip_with({numbers['days']}, {numbers['rate']}, (d, r) -> d * r)"
     # A number that does not parse makes its sum null, and the raw matches are kept.
-    def summary(s: Column) -> Column:
-        return F.when(
-            (s["days"] > 0) & s["total"].isNotNull() & s["rates"].isNotNull(),
-            F.format_string("%d - %.4f - %.2f", s["days"].cast("bigint"), s["total"] / s["days"], s["total"]),
-        )
+    sums = f"named_struct('days', {add(numbers['days'])}, 'rates', {add(numbers['rate'])}, 'total', {add(total)})"
+    shown = "format_string('%d - %.4f - %.2f', cast(s.days AS bigint), s.total / s.days, s.total)"
+    return (f"coalesce(get(transform(array({sums}), s -> if(s.days > 0 AND s.rates IS NOT NULL AND s.total IS NOT NULL, "
+            f"{shown}, NULL)), 0), {joined})")
 
-    sums = F.struct(add(days).alias("days"), add(rates).alias("rates"), add(totals).alias("total"))
-    return F.coalesce(_bind(sums, summary), joined)
 
-
-def _rule_value(text: Column, rule: R.Rule) -> Column:
+def _rule_value(rule: R.Rule) -> str:
     options = []
     for index, entry in enumerate(rule.patterns):
         anchor, pattern = entry if isinstance(entry, tuple) else (None, entry)
-        area = _search_area(text, anchor)
-        value = _multi(area, rule, pattern) if rule.multi else _single(area, pattern, rule.transform)
-        options.append(_if_found(value, rule.confidence, index))
-    return F.coalesce(*options)
+        value = _multi(_area(anchor), rule, pattern) if rule.multi else _single(_area(anchor), pattern, rule.transform)
+        options.append(_found_sql(value, rule.confidence, index))
+    return f"coalesce({', '.join(options)})"
 
 
 def _no_field() -> Column:
@@ -300,34 +307,32 @@ def _spread(fields: dict[str, Column]) -> Column:
     return F.struct(*[fields.get(name, _no_field()).cast(FIELD).alias(name) for name in FIELDS])
 
 
-def universal_fields(text: Column) -> Column:
-    """Provider-independent patterns; the first that matches gives the field."""
-    def scan(t: Column) -> Column:
-        return _spread({
-            name: F.coalesce(*[
-                _if_found(transform_value(F.regexp_extract(t, VALUE_FLAGS + p, 1), how), confidence, i)
-                for i, (p, confidence, how) in enumerate(patterns)
-            ])
-            for name, patterns in R.UNIVERSAL_PATTERNS.items()
-        })
+def _scan(text: str, fields: dict[str, str]) -> str:
+    """The struct of all fields found in a text column, which is read once as `t`."""
+    entries = ", ".join(f"'{name}', cast({fields.get(name, 'NULL')} AS {FIELD})" for name in FIELDS)
+    return f"get(transform(array({text}), t -> named_struct({entries})), 0)"
+
 
-    return _bind(text, scan)
+def universal_fields(text: str) -> Column:
+    """Provider-independent patterns on a text column; the first that matches gives the field."""
+    return F.expr(_scan(text, {
+        name: "coalesce(" + ", ".join(
+            _found_sql(_transformed(f"regexp_extract(t, {_quoted(VALUE_FLAGS + p)}, 1)", how), confidence, i)
+            for i, (p, confidence, how) in enumerate(patterns)) + ")"
+        for name, patterns in R.UNIVERSAL_PATTERNS.items()
+    }))
 
 
-def provider_fields(text: Column, provider: Column) -> Column:
-    """A provider's own rules on its cleaned text, null for providers without rules.
+def provider_fields(text: str, provider: str) -> Column:
+    """A provider's own rules on its cleaned text column (see `clean_text`), null for providers without rules.
 
     The branch is chosen per row, so a text is only scanned by the rules of its provider.
     """
-    out = F.lit(None)
-    for name, rules in R.PROVIDER_RULES.items():
-        cleaned = CLEANUPS[R.PROVIDER_CLEANUP[name]](text) if name in R.PROVIDER_CLEANUP else text
-        out = F.when(provider == name, _bind(cleaned, _scan_with(rules))).otherwise(out)
-    return out
-
-
-def _scan_with(rules: Sequence[R.Rule]) -> Callable[[Column], Column]:
-    return lambda text: _spread({rule.field: _rule_value(text, rule) for rule in rules})
+    branches = " ".join(
+        f"WHEN {provider} = {_quoted(name)} THEN {_scan(text, {rule.field: _rule_value(rule) for rule in rules})}"
+        for name, rules in R.PROVIDER_RULES.items()
+    )
+    return F.expr(f"CASE {branches} END")
 
 
 def has_rules(provider: Column) -> Column:

@@ -263,12 +263,12 @@ def extract_spatial(words: DataFrame) -> DataFrame:
     labelled = anchors.select("doc_id").distinct().withColumn("has_labels", F.lit(True))
     joined = texts.join(labelled, "doc_id", "left").join(by_doc, "doc_id", "left")
     known = ex.detect_provider(joined, "ocr_text").drop("matched_keyword", "is_known")
-    fixed = ex.clean_text(F.col("ocr_text"), F.col("provider"))
-    read = known.withColumn("p", ex.evaluate_once(F.when(F.col("has_labels"), ex.universal_fields(fixed)))).withColumnRenamed(
+    fixed = known.withColumn("fixed", ex.evaluate_once(ex.clean_text(F.col("ocr_text"), F.col("provider"))))
+    read = fixed.withColumn("p", ex.evaluate_once(F.when(F.col("has_labels"), ex.universal_fields("fixed")))).withColumnRenamed(
         "provider", "detected_provider")
     merged = read.withColumns({
         f: ex.merge_field(F.try_element_at("m", F.lit(f)), F.col("p")[f], F.lit(True), words=False) for f in ex.FIELDS
-    }).drop("m", "p")
+    }).drop("m", "p", "fixed")
     return (
         merged.withColumn("field_count", ex.found())
         .withColumn("hit_rate", F.col("field_count") / len(R.ANCHOR_LABELS))

@@ -46,10 +46,10 @@ def extract_bills(
     known = ex.detect_provider(docs).withColumnRenamed("provider", "provider_name")
     name, readable = F.col("provider_name"), F.col("by_words") | ~F.col("needs_words")
     scanned = known.withColumn("readable", readable).withColumn("ruled", F.col("readable") & ex.has_rules(name))
-    scanned = scanned.withColumns({
-        "own": ex.evaluate_once(F.when(F.col("ruled"), ex.provider_fields(F.col("text"), name))),
+    scanned = scanned.withColumn("cleaned", ex.evaluate_once(ex.clean_text(F.col("text"), name))).withColumns({
+        "own": ex.evaluate_once(F.when(F.col("ruled"), ex.provider_fields("cleaned", "provider_name"))),
         "any": ex.evaluate_once(F.when(
-            F.col("readable") & ~F.col("ruled") & ~F.col("by_words"), ex.universal_fields(F.col("text")))),
+            F.col("readable") & ~F.col("ruled") & ~F.col("by_words"), ex.universal_fields("text"))),
     })
     fields = {f: F.coalesce(F.when(F.col("by_words"), F.col("sp")[f]), F.col("own")[f], F.col("any")[f]) for f in ex.FIELDS}
     wide = scanned.withColumns({f: ex.evaluate_once(c) for f, c in fields.items()})
@@ -58,7 +58,7 @@ def extract_bills(
     wide = ex.fix_rates(wide, {
         f: whole | (F.col("own")[f].isNotNull() & ~(F.col("by_words") & F.coalesce(F.col("sp")[f].isNotNull(), F.lit(False))))
         for f in ex.RATE_FIELDS
-    }).drop("own", "any", "sp")
+    }).drop("own", "any", "sp", "cleaned")
     scored = _score(ex.heal_totals(ex.compute_costs(wide)))
     if external is None:
         final = scored.withColumn("escalated", F.lit(False))

@@ -88,7 +88,8 @@ FROM (SELECT *, strftime(s, '%d/%m/%Y') || ' - ' || strftime(e, '%d/%m/%Y') AS p
 def extract_config(spark, sf):
     known = ex.detect_provider(bill_texts(spark, sf)).filter(ex.has_rules(F.col("provider"))).withColumnRenamed(
         "provider", "provider_name")
-    fields = known.withColumn("x", ex.evaluate_once(ex.provider_fields(F.col("text"), F.col("provider_name"))))
+    cleaned = known.withColumn("cleaned", ex.evaluate_once(ex.clean_text(F.col("text"), F.col("provider_name"))))
+    fields = cleaned.withColumn("x", ex.evaluate_once(ex.provider_fields("cleaned", "provider_name")))
     return _read(fields.select("bill_id", "x.*"))
 
 
@@ -104,7 +105,7 @@ def extract_config(spark, sf):
 )
 def extract_universal(spark, sf):
     unknown = ex.detect_provider(bill_texts(spark, sf)).filter("NOT is_known").drop("provider")
-    fields = unknown.withColumn("x", ex.evaluate_once(ex.universal_fields(F.col("text")))).select("bill_id", "x.*")
+    fields = unknown.withColumn("x", ex.evaluate_once(ex.universal_fields("text"))).select("bill_id", "x.*")
     return _read(fields, ["mprn", "account_number", "gprn"],
                  ["day_kwh", "day_rate", "night_kwh", "night_rate", "standing_charge", "pso_levy", "subtotal", "vat_rate",
                   "vat_amount", "total_incl_vat"])
@@ -241,7 +242,8 @@ FROM vals WHERE layout <> 3""",
 def reconcile_fields(spark, sf):
     """Provider rules against external records, as long rows."""
     known = ex.detect_provider(bill_texts(spark, sf)).filter(ex.has_rules(F.col("provider")))
-    own = known.withColumn("x", ex.evaluate_once(ex.provider_fields(F.col("text"), F.col("provider")))).select("bill_id", "x.*")
+    cleaned = known.withColumn("cleaned", ex.evaluate_once(ex.clean_text(F.col("text"), F.col("provider"))))
+    own = cleaned.withColumn("x", ex.evaluate_once(ex.provider_fields("cleaned", "provider"))).select("bill_id", "x.*")
     other = ex.external_fields(external_records(spark, sf)).join(known.select("bill_id"), "bill_id", "left_semi")
     merged = ex.reconcile(ex.to_long(own), ex.to_long(other)).filter(F.col("field_name").isin("mprn", "subtotal"))
     shown = F.when(F.col("field_name") == "mprn", F.col("value")).otherwise(
