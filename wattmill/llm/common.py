@@ -5,11 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, from `spark.checkpoint.dir`; local sessions without one get a temporary folder."""
@@ -46,30 +44,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def local_position() -> Column:
-    """Partition and row number inside it as one long; stable once written."""
-    return F.monotonically_increasing_id()
-
-
-def part_of(position: Column) -> Column:
-    return F.shiftright(position, POSITION_BITS)
-
-
-def place_in(position: Column) -> Column:
-    return position.bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
-
-
-def part_bases(df: DataFrame, position: str, *sums: tuple[str, Column]) -> DataFrame:
-    """One row per written partition: the sums over all partitions before it (exclusive prefix sums).
-
-    The rows to be added up are the partitions of the written table, so the one ordered window sees as many rows as
-    that table has partitions and not as many as it has records.
-    """
-    totals = df.groupBy(part_of(F.col(position)).alias("part")).agg(*[F.sum(c).alias(n) for n, c in sums])
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select("part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n, _ in sums])
-
-
 def fits(df: DataFrame, most: int) -> bool:
     """True when df has at most `most` rows; looks at no more than that."""
     return df.limit(most + 1).count() <= most
@@ -79,14 +53,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt_by_range(df: DataFrame, column: str, parts: int, narrow: DataFrame | None = None) -> DataFrame:
-    """df in `parts` partitions by ranges of a numeric column, nulls in the first, with the partition as `bucket`.
+def range_bucket(df: DataFrame, column: str, parts: int, narrow: DataFrame | None = None) -> DataFrame:
+    """df with `bucket` from 0 to parts - 1: ranges of a numeric column with about equal counts, nulls in the first.
 
     The cuts are quantiles of the column alone, so finding them reads one narrow column (`narrow`: the same column of
     what df is made from, where df is dear) and not the whole rows twice.
     """
     at = [i / parts for i in range(1, parts)]
-    cuts = (df if narrow is None else narrow).agg(F.percentile_approx(column, at, 100 * parts).alias("cuts")).first().cuts if at else None
-    known = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.coalesce(F.size(F.filter(known, lambda c: c < F.col(column))), F.lit(0)) if cuts else F.lit(0)
-    return df.withColumn("bucket", bucket.cast("int")).repartitionById(parts, F.col("bucket"))
+    cuts = (df if narrow is None else narrow).agg(
+        F.percentile_approx(column, at, 100 * parts).alias("cuts")).first().cuts if at else None
+    if not cuts:
+        return df.withColumn("bucket", F.lit(0))
+    known = F.array(*[F.lit(c) for c in cuts])
+    above = F.size(F.filter(known, lambda c: c < F.col(column)))
+    return df.withColumn("bucket", F.when(F.col(column).isNull(), 0).otherwise(above))
+
+
+def dealt_by_range(df: DataFrame, column: str, parts: int, narrow: DataFrame | None = None) -> DataFrame:
+    """range_bucket, with each bucket as one partition."""
+    return range_bucket(df, column, parts, narrow).repartitionById(parts, F.col("bucket"))
