@@ -1,7 +1,8 @@
 """Quality by the votes of the nearest labelled documents in a latent-semantic space.
 
-A text becomes counts of hashed byte n-grams, damped, weighted by rarity and set to length 1. A truncated singular value
-decomposition of a bounded sample of labelled texts (`SAMPLE` rows, chosen by a hash of the doc_id among the rows that
+A text becomes two parts of length 1: counts of hashed byte n-grams, damped and weighted by rarity, and how often words
+repeat the word before them (the shares of the `PATTERNS` ways in which that happens among four words in a row, square
+roots taken). A truncated singular value decomposition of a bounded sample of labelled texts (`SAMPLE` rows, chosen by a hash of the doc_id among the rows that
 may be learnt from) gives the latent axes; the sample's vectors are sent to all tasks. Every document is projected, its
 cosine with every labelled vector is computed in blocks, and its `NEIGHBOURS` nearest vote by a power of the cosine.
 
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 
 from wattmill.llm.common import read_table
 from wattmill.llm.grams import gram_counts
+from wattmill.llm.word_codes import word_codes
 
 NAME = "op9_neighbour_vote"
 SQL = None  # a trained model
 SAMPLE = 2000  # labelled rows the model is fitted on
 BITS = 12
-AXES = 48
+PATTERNS = 8  # of equal neighbours among four words
+AXES = 64
 NEIGHBOURS = 15
 SHARPNESS = 8.0  # power of the cosine in a vote
 CUT = 0.3  # predicted 1 from this score
@@ -40,14 +43,32 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def damped(counts: np.ndarray) -> np.ndarray:
-    return np.log1p(counts).astype(np.float32)
+def repeat_shares(codes: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of each pattern of equal neighbours; zeros for fewer than four words."""
+    same = (codes[1:] == codes[:-1]).astype(np.int64)
+    if len(same) < 3:
+        return np.zeros(PATTERNS, np.float32)
+    kinds = np.bincount(4 * same[:-2] + 2 * same[1:-1] + same[2:], minlength=PATTERNS)
+    return np.sqrt(kinds / kinds.sum()).astype(np.float32)
+
+
+def features(texts: list[str | None]) -> np.ndarray:
+    """One row per text: damped counts of n-grams, then the repeat shares."""
+    out = np.zeros((len(texts), (1 << BITS) + PATTERNS), np.float32)
+    for row, text, codes in zip(out, texts, word_codes([(t or "").encode() for t in texts])):
+        row[:-PATTERNS] = np.log1p(gram_counts(text, BITS))
+        row[-PATTERNS:] = repeat_shares(codes)
+    return out
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def joined_parts(rows: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    return np.hstack([unit_rows(rows[:, :-PATTERNS] * rarity), rows[:, -PATTERNS:]])
+
+
 @dataclass
 class Neighbours:
     rarity: np.ndarray  # weight of each bucket
@@ -56,12 +77,12 @@ class Neighbours:
     labels: np.ndarray
     share: float  # of label 1 among the labelled rows
 
-    def scores(self, counts: np.ndarray) -> np.ndarray:
-        """Score of each row of damped counts."""
-        empty = ~counts.any(axis=1)
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        """Score of each row of features."""
+        empty = ~rows.any(axis=1)
         if not len(self.labels):
-            return np.full(len(counts), 0.5)
-        near = unit_rows(unit_rows(counts * self.rarity) @ self.axes) @ self.vectors.T
+            return np.full(len(rows), 0.5)
+        near = unit_rows(joined_parts(rows, self.rarity) @ self.axes) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
         best = np.argpartition(-near, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(near, best, axis=1), 0).astype(np.float64) ** SHARPNESS
@@ -80,18 +101,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Neighbours:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [damped(gram_counts(t.as_py(), BITS)).astype(np.float16).tobytes() for t in batch.column(2)]
+            rows = [x.tobytes() for x in features(batch.column(2).to_pylist()).astype(np.float16)]
             yield pa.record_batch([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(rows, pa.binary())],
-                                  ["doc_id", "label", "counts"])
+                                  ["doc_id", "label", "features"])
 
-    rows = texts.mapInArrow(count, "doc_id long, label int, counts binary").dropDuplicates(["doc_id"]).orderBy(
+    rows = texts.mapInArrow(count, "doc_id long, label int, features binary").dropDuplicates(["doc_id"]).orderBy(
         "doc_id").toPandas()  # at most SAMPLE rows of 2**BITS half floats
+    width = 1 << BITS
     if not len(rows):
         none = np.zeros((0, AXES), np.float32)
-        return Neighbours(np.ones(1 << BITS, np.float32), np.zeros((1 << BITS, AXES), np.float32), none, none[:, 0], 0.5)
-    x = np.stack([np.frombuffer(c, np.float16) for c in rows["counts"]]).astype(np.float32)
-    rarity = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
-    x = unit_rows(x * rarity)
+        return Neighbours(np.ones(width, np.float32), np.zeros((width + PATTERNS, AXES), np.float32), none, none[:, 0], 0.5)
+    x = np.stack([np.frombuffer(c, np.float16) for c in rows["features"]]).astype(np.float32)
+    rarity = np.log((1 + len(x)) / (1 + (x[:, :width] > 0).sum(axis=0))).astype(np.float32) + 1
+    x = joined_parts(x, rarity)
     values, left = np.linalg.eigh(x @ x.T)
     keep = np.argsort(-values)[:min(AXES, len(x))]
     keep = keep[values[keep] > 1e-6]
@@ -106,8 +128,7 @@ def score_column(model: Neighbours) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        out = [model.scores(np.stack([damped(gram_counts(t, BITS)) for t in texts.iloc[at:at + BLOCK]]))
-               for at in range(0, len(texts), BLOCK)]
+        out = [model.scores(features(list(texts.iloc[at:at + BLOCK]))) for at in range(0, len(texts), BLOCK)]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return score(F.col("text"))

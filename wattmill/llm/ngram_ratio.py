@@ -30,7 +30,7 @@ NAME = "op8_ngram_ratio"
 SQL = None  # needs the hashed counts
 BITS = 16
 SMOOTHING = 1.0
-THRESHOLD = -0.25
+THRESHOLD = float(np.log(0.5))  # n-grams on average half as likely among trusted documents
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 RUN = 5

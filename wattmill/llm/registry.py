@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("token_files", "decontaminate", "packing", "chat", "url_rules", "jaccard_join", "ngram_ratio",
-           "neighbour_vote", "byte_shards")
+MODULES = ("token_files", "decontaminate", "packing", "chat", "url_rules", "main_text", "jaccard_join",
+           "ngram_ratio", "neighbour_vote", "byte_shards")
 
 
 def _modules() -> list:
