@@ -9,8 +9,9 @@ Equal sets are one class, known by a code of 63 bits; all else works on classes.
 2. Signature trees. Classes left meet in bounded groups by minimum codes, and a tree of signatures (signature_tree.py)
    joins each group. Connected components of these links come next.
 3. Completion. With the rarest codes first, two linked classes share a code among the first n - ceil(0.75 n) + 1 of each.
-   A code all of whose classes are in one component is done; codes with the same classes are looked at once. What is left
-   forms groups again, split by size and into pairs of chunks, that signature trees join; then components once more.
+   A code all of whose classes are in one component is done; codes with the same classes are looked at once. Classes that
+   the codes left connect are families; a family meets by bands of size in signature trees, a large one in pairs of
+   chunks that a code connects; then components once more.
 
 So every link is found, or lies inside a component already. A component is named by its smallest doc_id.
 
@@ -277,25 +278,56 @@ def open_groups(codes: DataFrame, labels: DataFrame) -> DataFrame:
     return prefix.join(group_ids, "code").withColumnRenamed("code", "group_id")
 
 
+def families(opened: DataFrame) -> DataFrame:
+    """class and family: classes that chains of open groups connect."""
+    firsts = opened.groupBy("group_id").agg(F.min("class").alias("other"))
+    chains = opened.join(firsts, "group_id").filter("class <> other").select("class", "other").distinct()
+    return components(opened.select("class").distinct(), chains).withColumnRenamed("label", "family")
+
+
+def placed_members(opened: DataFrame) -> DataFrame:
+    """(family, band, chunk, chunks, class, label, side): classes by family, band of sizes and chunk of bounded size.
+
+    A band holds the sets of its own sizes and, with `side`, those of the next band: linked sets are at most one band
+    apart. Chunks keep components together where they can.
+    """
+    # Linked sizes differ by a factor of Q / P at most.
+    own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(Q / P)) + 1e-9).cast("int")
+    classes = opened.select("class", "n", "label").distinct().join(families(opened), "class")
+    banded = classes.withColumn("own", own).withColumn("band", F.explode(F.array("own", F.col("own") - 1))).withColumn(
+        "side", F.col("own") > F.col("band"))
+
+    def parts(members: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """Number of chunks of each group, for groups of two components or more."""
+        full = F.expr(f"cast(greatest(ceil(2 * members / {GROUP}), ceil(2 * codes_in / {GROUP_CODES})) as int)")
+        return members.groupBy(*keys).agg(
+            F.count("*").alias("members"), F.sum("n").alias("codes_in"), F.min("label").alias("low"),
+            F.max("label").alias("high"), F.bool_and("side").alias("upper_only"),
+        ).withColumn(name, F.when(full <= 2, 1).otherwise(full))
+
+    needed = parts(banded, ["family", "band"], "parts").filter("low <> high and not upper_only")
+    chunked = banded.join(needed.select("family", "band", "parts"), ["family", "band"]).withColumn(
+        "chunk", F.pmod(F.xxhash64("label"), F.col("parts")).cast("int"))
+    splits = parts(chunked, ["family", "band", "chunk"], "splits").select("family", "band", "chunk", "splits")
+    return chunked.join(splits, ["family", "band", "chunk"]).select(
+        "family", "band", "class", "label", "side", ((F.col("parts") > 1) | (F.col("splits") > 1)).alias("split"),
+        F.struct("chunk", F.pmod(F.xxhash64("class"), F.col("splits")).cast("int").alias("part")).alias("chunk"))
+
+
 def completed_links(codes: DataFrame, labels: DataFrame) -> DataFrame:
     """Links between classes of different components."""
     opened = written(open_groups(codes, labels), "open-groups")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(Q / P)) + 1e-9).cast("int")
-    banded = opened.withColumn("own_band", band).withColumn("band", F.explode(F.array("own_band", F.col("own_band") - 1)))
-    banded = banded.withColumn("side", F.col("own_band") > F.col("band"))
-    sizes = banded.groupBy("group_id", "band").agg(
-        F.count("*").alias("members"), F.sum("n").alias("codes_in"), F.min("label").alias("low"),
-        F.max("label").alias("high"), F.bool_and("side").alias("upper_only"))
-    sizes = sizes.filter("low <> high and not upper_only").select("group_id", "band", F.expr(
-        f"cast(greatest(ceil(2 * members / {GROUP}), ceil(2 * codes_in / {GROUP_CODES})) as int)").alias("chunks"))
-    sizes = sizes.withColumn("chunks", F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks")))
-    chunked = banded.join(sizes, ["group_id", "band"]).withColumn(
-        "chunk", F.pmod(F.xxhash64("class", "group_id"), F.col("chunks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(
-        F.least(c, F.col("chunk")).alias("one"), F.greatest(c, F.col("chunk")).alias("two")))
-    placed = chunked.withColumn("pair", F.explode(pairs)).select(
-        "group_id", "band", "pair.one", "pair.two", "class", "label", "side")
-    return joined_groups(placed.join(codes.select("class", "codes"), "class"), ["group_id", "band", "one", "two"])
+    placed = written(placed_members(opened), "placed")
+    keys = ["family", "band", "one", "two"]
+    whole = placed.filter("not split").withColumns({"one": F.col("chunk"), "two": F.col("chunk")})
+    # Of a family in several chunks only those pairs meet that an open group connects.
+    split = placed.filter("split")
+    seen = split.join(opened.select("class", "group_id"), "class").select("family", "band", "group_id", "chunk").distinct()
+    pairs = seen.withColumnRenamed("chunk", "one").join(
+        seen.withColumnRenamed("chunk", "two"), ["family", "band", "group_id"]).filter("one <= two").select(*keys).distinct()
+    sides = pairs.withColumn("chunk", F.explode(F.array_distinct(F.array("one", "two"))))
+    members = whole.unionByName(split.join(sides, ["family", "band", "chunk"])).select(*keys, "class", "label", "side")
+    return joined_groups(members.join(codes.select("class", "codes"), "class"), keys)
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -332,7 +364,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each component, that of its smallest doc_id, with all its columns.
 
-    Rows without shingles and rows without a doc_id all stay. Of rows that share a doc_id and have shingles, one stays.
+    Rows without shingles and rows without a doc_id all stay. Of rows with equal doc_id and text, one stays.
     """
     found = written(similar_documents(docs).filter("doc_id is not null"), "components")
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
@@ -345,7 +377,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     again = F.broadcast(again) if fits(again, MOST_BROADCAST) else again
     same = docs["doc_id"] == F.col("again")
     return kept.join(again, same, "left_anti").unionByName(
-        kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+        kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
