@@ -7,8 +7,10 @@ benchmark item has are dropped at once; the rest carry the few words around them
 window is found, and nothing else. Items with fewer words than a window are one window of their own length; for each
 such length the documents' runs of that length are looked up directly.
 
-Long documents are cut into blocks that overlap by a window, so no row holds more than a block. Benchmark tables are
-broadcast only while they are small (`MOST_BROADCAST` rows, counted first) and shuffled beyond that.
+Long documents are cut into blocks that overlap by a window, so no row holds more than a block. Up to
+`MOST_LITERALS` fingerprints of the benchmark are looked up where the document lies, and only its hits leave the row;
+beyond that number both sides are shuffled by fingerprint. Benchmark tables are broadcast only while they are small
+(`MOST_BROADCAST` rows, counted first) and shuffled beyond that.
 
 A null or empty text has no words and is clean. Repeated rows are judged alike, each in a row of its own. Items without
 words match nothing; equal items all count. Other columns are not read. An empty benchmark leaves all documents clean.
@@ -22,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattmill.functions.steps import staged
 from wattmill.llm.common import fits, read_table, written
 
 NAME = "op2_decontaminate"
@@ -30,6 +33,8 @@ GRAM = 8  # words of a fingerprint
 SPAN = WINDOW - GRAM + 1  # consecutive k-grams of which one is kept
 BLOCK = 4096  # words of a document in one row
 MOST_BROADCAST = 200_000  # rows of a benchmark table that is broadcast
+MOST_LITERALS = 20_000  # fingerprints of the benchmark that are looked up inside a document's row
+SPAN_TYPE = "struct<first:int,size:int,window:string>"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KEY = ["doc_id", "text_hash"]
 
@@ -39,23 +44,49 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower, GAPS), "")
 
 
-def grams(words: str, size: int, make) -> Column:
-    """make(word, ...) over each run of `size` words."""
-    last = F.size(words) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: make(
-        *[F.get(F.col(words), i + j) for j in range(size)])))
+def gram_hashes(words: Column) -> Column:
+    """Hash of each run of GRAM words, from hashes of words, pairs and so on; empty for fewer words."""
+    hashes, run = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while run < GRAM:
+        hashes = F.zip_with(hashes, F.slice(hashes, run + 1, BLOCK + WINDOW), lambda x, y: F.xxhash64(x, y))
+        run *= 2
+    return F.slice(hashes, 1, F.greatest(F.size(words) - GRAM + 1, F.lit(0)))
 
 
-def fingerprints(blocks: DataFrame) -> DataFrame:
-    """Add `picked`: places of the kept k-grams in `words`, by the hashes `hashes`."""
-    hashed = blocks.withColumn("hashes", grams("words", GRAM, F.xxhash64))
-    last = F.size("hashes") - SPAN
-    least = hashed.withColumn("least", F.when(last >= 0, F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.array_min(F.slice("hashes", i + 1, SPAN)))))
+def is_kept(j: Column) -> Column:
+    """Is the k-gram at j the smallest of some SPAN consecutive ones?"""
+    starts = F.sequence(F.greatest(j - (SPAN - 1), F.lit(0)), F.least(j, F.size("hashes") - SPAN))
+    return F.exists(starts, lambda i: F.array_min(F.slice("hashes", i + 1, SPAN)) == F.get("hashes", j))
+
+
+def hashed(blocks: DataFrame) -> DataFrame:
+    return staged(blocks, {"hashes": gram_hashes(F.col("words"))})
+
+
+def kept_places(wanted=None) -> Column:
+    """Places of the kept k-grams, of those only whose hash is in `wanted` if given."""
     places = F.sequence(F.lit(0), F.size("hashes") - 1)
-    kept = F.filter(places, lambda j: F.get("hashes", j) == F.array_max(
-        F.slice("least", F.greatest(j - (SPAN - 1), F.lit(0)) + 1, F.least(j + 1, F.lit(SPAN)))))
-    return least.withColumn("picked", F.when(F.size("least") > 0, kept))
+    known = (lambda j: is_kept(j)) if wanted is None else (
+        lambda j: F.get("hashes", j).isin(wanted) & is_kept(j))
+    return F.when(F.size("hashes") >= SPAN, F.filter(places, known)).otherwise(F.array().cast("array<int>"))
+
+
+def spans_over(j: Column) -> Column:
+    """The windows that hold the whole k-gram at j."""
+    starts = F.sequence(F.greatest(j - (SPAN - 1), F.lit(0)), F.least(j, F.size("words") - WINDOW))
+    return F.transform(starts, lambda i: span_at(i, WINDOW))
+
+
+def span_at(i: Column, size: int) -> Column:
+    return F.struct((F.col("first") + i).alias("first"), F.lit(size).alias("size"),
+                    F.array_join(F.slice("words", i + 1, size), " ").alias("window"))
+
+
+def all_spans(size: int) -> Column:
+    """Every run of `size` words."""
+    places = F.when(F.size("words") >= size, F.sequence(F.lit(0), F.size("words") - size)).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(places, lambda i: span_at(i, size))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -81,38 +112,60 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits(df, MOST_BROADCAST) else df
 
 
-def shared_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """One row per document row (`window` null) and per occurrence of a benchmark window in it (first, size, window)."""
-    blocks = document_blocks(docs)
-    base = blocks.filter("first = 0").select(*KEY, "n_words", *[F.lit(None).cast(t).alias(c) for c, t in (
-        ("first", "int"), ("size", "int"), ("window", "string"))])
-    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most WINDOW values
-    found = [base]
+def window_prints(windows: DataFrame) -> DataFrame:
+    """print: the kept k-gram hashes of the full windows; (size, print): the whole hash of shorter ones."""
+    full = hashed(windows.filter(F.col("size") == WINDOW).select("size", F.split("window", " ").alias("words")))
+    return full.select("size", F.explode(F.transform(kept_places(), lambda j: F.get("hashes", j))).alias("print")) \
+        .unionByName(windows.filter(F.col("size") < WINDOW).select("size", F.xxhash64("window").alias("print"))).distinct()
+
+
+def has_print(known: list[int]):
+    return lambda x: F.xxhash64(x["window"]).isin(known)
+
+
+def by_known_prints(blocks: DataFrame, prints: dict[int, list[int]]) -> DataFrame:
+    """Spans of the blocks over fingerprints in `prints` (by window size); a null span for each document."""
+    found = [F.when(F.col("first") == 0, F.array(F.lit(None).cast(SPAN_TYPE))).otherwise(
+        F.array().cast(f"array<{SPAN_TYPE}>"))]
+    for size, known in sorted(prints.items()):
+        if size == WINDOW:
+            found.append(F.flatten(F.transform(kept_places(known), spans_over)))
+            continue
+        found.append(F.filter(all_spans(size), has_print(known)))
+    return hashed(blocks).select(*KEY, "n_words", F.explode(F.concat(*found)).alias("s")).select(*KEY, "n_words", "s.*")
+
+
+def by_joined_prints(blocks: DataFrame, prints: DataFrame, sizes: list[int]) -> DataFrame:
+    """The same for any number of fingerprints: those of the blocks are shuffled to those of the benchmark."""
+    found = [blocks.filter("first = 0").select(*KEY, "n_words", F.lit(None).cast(SPAN_TYPE).alias("s"))]
     for size in sizes:
-        of_size = small(windows.filter(F.col("size") == size).select("window").distinct())
+        known = prints.filter(F.col("size") == size).select("print")
         if size == WINDOW:
-            prints = fingerprints(windows.filter(F.col("size") == size).select(
-                F.split("window", " ").alias("words"))).select(F.explode(F.transform(
-                    "picked", lambda j: F.get("hashes", j))).alias("print")).distinct()
-            around = F.transform("picked", lambda j: F.struct(
-                F.get("hashes", j).alias("print"), F.greatest(j - (SPAN - 1), F.lit(0)).alias("from"),
-                F.slice("words", F.greatest(j - (SPAN - 1), F.lit(0)) + 1,
-                        F.least(j, F.lit(SPAN - 1)) + WINDOW).alias("near")))
-            hits = fingerprints(blocks).select(*KEY, "n_words", "first", F.explode(around).alias("p")).select(
-                *KEY, "n_words", "first", "p.*").join(small(prints), "print", "left_semi")
-            spans = F.transform(F.sequence(F.lit(0), F.size("near") - WINDOW), lambda i: F.struct(
-                (F.col("first") + F.col("from") + i).alias("first"),
-                F.array_join(F.slice("near", i + 1, WINDOW), " ").alias("window")))
-            spans = F.when(F.size("near") >= WINDOW, spans)
-            runs = hits.select(*KEY, "n_words", F.explode(spans).alias("s")).select(*KEY, "n_words", "s.*")
+            marks = F.transform(kept_places(), lambda j: F.struct(
+                F.get("hashes", j).alias("print"), spans_over(j).alias("spans")))
+            rows = hashed(blocks)
         else:
-            text = F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i, n=size: F.struct(
-                (F.col("first") + i).alias("first"), F.array_join(F.slice("words", i + 1, n), " ").alias("window")))
-            runs = blocks.filter(F.size("words") >= size).select(*KEY, "n_words", F.explode(text).alias("s")).select(
-                *KEY, "n_words", "s.*")
-        found.append(runs.join(of_size, "window", "left_semi").select(
-            *KEY, "n_words", "first", F.lit(size).alias("size"), "window"))
-    return reduce(DataFrame.unionByName, found)
+            marks = F.transform(all_spans(size), lambda x: F.struct(
+                F.xxhash64(x["window"]).alias("print"), F.array(x).alias("spans")))
+            rows = blocks
+        found.append(rows.select(*KEY, "n_words", F.explode(marks).alias("m")).select(*KEY, "n_words", "m.*").join(
+            known, "print", "left_semi").select(*KEY, "n_words", F.explode("spans").alias("s")))
+    return reduce(DataFrame.unionByName, found).select(*KEY, "n_words", "s.*")
+
+
+def shared_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """One row per document row (`window` null) and per occurrence of a benchmark window in it (first, size, window)."""
+    blocks, prints = document_blocks(docs), window_prints(windows)
+    texts = windows.select("window", F.lit(True).alias("known")).distinct()
+    if fits(prints, MOST_LITERALS):
+        known: dict[int, list[int]] = {}
+        for row in prints.collect():  # of the benchmark, and no more than MOST_LITERALS
+            known.setdefault(row["size"], []).append(row["print"])
+        spans = by_known_prints(blocks, known)
+    else:
+        sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most WINDOW values
+        spans = by_joined_prints(blocks, prints, sizes)
+    return spans.join(small(texts), "window", "left").filter("window is null or known").drop("known")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
