@@ -38,3 +38,21 @@ def test_reasons_and_metered_totals(spark):
     assert round(got[1]["hdf_total_kwh"], 6) == 10 * 48 * 0.25
     assert round(got[1]["expected_cost_total"], 6) == round(10 * (26 * 0.25 * 0.3 + 18 * 0.25 * 0.1), 6)
     assert got[3]["mprn_skipped"] and round(got[3]["hdf_total_kwh"], 6) == 3 * 48 * 0.25
+
+
+def test_bills_are_paired_by_mprn_without_cases(spark):
+    readings = _readings(spark)
+    second = readings.withColumn("mprn", F.lit("10000000002"))
+    bills = _bills(spark, [
+        (1, 1, " 10000000001", "05/01/2025", "14/01/2025", 0.3, 0.1, None),
+        (2, 1, "10000000009", "05/01/2025", "14/01/2025", 0.3, 0.1, None),
+        (3, 1, None, "05/01/2025", "14/01/2025", 0.3, 0.1, None),
+    ])
+    both = readings.unionByName(second)
+    got = {r["bill_idx"]: r for r in vf.verify(bills.drop("case_id"), both.drop("case_id")).collect()}
+    assert [got[i]["block_reason"] for i in (1, 2, 3)] == [None, "no meter readings", "no MPRN and no case"]
+    assert round(got[1]["hdf_total_kwh"], 6) == 10 * 48 * 0.25
+    # Two meters in one case are not added up either.
+    got = {r["bill_idx"]: r for r in vf.verify(bills, both).collect()}
+    assert [got[i]["block_reason"] for i in (1, 2, 3)] == [None, "meter mismatch", "no MPRN and several meters"]
+    assert round(got[1]["hdf_total_kwh"], 6) == 10 * 48 * 0.25

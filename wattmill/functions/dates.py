@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattmill.constants import MONTH_NAMES
+from wattmill.functions.steps import staged
 
 CENTURY_PIVOT = 69
 
@@ -38,12 +39,12 @@ def squeeze(text: Column) -> Column:
 def with_dates(df: DataFrame, dates: dict[str, str], layout: str = "bill") -> DataFrame:
     """Add a parsed column per entry of `dates` (new name to text column), null where nothing fits.
 
-    "bill" gives DATE, the other layouts TIMESTAMP_NTZ.  The parts are a column of their own, so each text
-    is matched once however often its parts are used.
+    "bill" gives DATE, the other layouts TIMESTAMP_NTZ.  The parts and the dates are steps of their own, so each text
+    is matched once however often its parts are used, and no filter on a date repeats the parsing.
     """
     pattern, rewrite = LAYOUTS[layout]
     months = F.create_map(*[F.lit(x) for i, n in enumerate(MONTH_NAMES, 1) for x in (n[:3].lower(), str(i))])
-    out = df.withColumns({
+    out = staged(df, {
         f"_{new}": F.split(F.regexp_replace(squeeze(F.col(text)), pattern, rewrite), "[#~]") for new, text in dates.items()
     })
 
@@ -56,7 +57,7 @@ def with_dates(df: DataFrame, dates: dict[str, str], layout: str = "bill") -> Da
         )
         return text.try_cast("date" if layout == "bill" else "timestamp_ntz")
 
-    return out.withColumns({new: assemble(F.col(f"_{new}")) for new in dates}).drop(*[f"_{new}" for new in dates])
+    return staged(out, {new: assemble(F.col(f"_{new}")) for new in dates}).drop(*[f"_{new}" for new in dates])
 
 
 def parse_read_time(text: Column) -> Column:

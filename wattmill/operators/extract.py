@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wattmill import extraction_rules as R
 from wattmill.functions.numbers import PLAIN_NUMBER, to_number
+from wattmill.functions.steps import staged
 
 FIELD = "struct<value:string,confidence:double,pattern_index:int>"
 # Every field any source can give, in the order the long form lists them.
@@ -24,6 +25,7 @@ FIELDS = [
     "mcc_code", "dg_code", "customer_name", "supply_address",
 ]
 UNKNOWN = "unknown"
+# Parameter of the anchored rules: a value is looked for in this many characters after its anchor.
 ANCHOR_WINDOW = 500
 
 # Flags: any case, Unicode classes, only \n ends a line; m lets ^ and $ match at lines, s lets . cross them.
@@ -35,16 +37,6 @@ def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def evaluate_once(value: Column) -> Column:
-    """Keep an expensive column in its own step.
-
-    Catalyst copies a column's expression into every filter it moves below that column, which would scan each text
-    many times.  It leaves non-deterministic columns alone; the condition here is always true.  Filters on
-    input columns belong before the extraction.
-    """
-    return F.when(F.monotonically_increasing_id() >= 0, value)
-
-
 # ---------------------------------------------------------------- text quality and page assembly
 
 NATIVE_CHARS_PER_PAGE = 100
@@ -82,35 +74,27 @@ def _bounded(keyword: str) -> str:
     return rf"(?<![a-z0-9]){re.escape(keyword.lower()).replace(chr(92) + ' ', ' ')}(?![a-z0-9])"
 
 
-def _best_provider(text: Column) -> Column:
-    """STRUCT<score, rank, provider, word> of the provider whose bounded keywords occur most."""
-    keywords = [(p, k) for p, ks in R.PROVIDER_KEYWORDS.items() for k in ks]
-    position = {pk: i for i, pk in enumerate(keywords)}
-
-    def count(flat: Column) -> Column:
-        return F.array(*[
-            F.when(flat.contains(k.lower()), F.regexp_count(flat, F.lit(_bounded(k)))).otherwise(0) for _, k in keywords
-        ])
-
-    def rank_all(hits: Column) -> Column:
-        ranked = []
-        for rank, (provider, words) in enumerate(R.PROVIDER_KEYWORDS.items()):
-            found_at = {w: F.get(hits, F.lit(position[provider, w])) for w in words}
-            kept = []
-            for word in words:
-                longer = [o for o in words if word.lower() in o.lower() and word.lower() != o.lower()]
-                shadowed = F.greatest(F.lit(0), F.lit(0), *[found_at[o] for o in longer]) > 0
-                kept.append(F.when(shadowed, 0).otherwise(found_at[word]))
-            # First longest of the counted keywords.
-            by_length = sorted(range(len(words)), key=lambda i: (-len(words[i]), i))
-            ranked.append(F.struct(
-                sum(kept[1:], kept[0]).alias("score"), F.lit(-rank).alias("rank"), F.lit(provider).alias("provider"),
-                F.coalesce(*[F.when(kept[i] > 0, F.lit(words[i])) for i in by_length]).alias("word"),
-            ))
-        return F.array_max(F.array(*ranked))
-
-    flat = F.regexp_replace(F.lower(text), r"(?U)\s+", " ")
-    return _bind(_bind(flat, count), rank_all)
+def _best_provider(hits: Column) -> Column:
+    """STRUCT<score, rank, provider, word> of the provider whose bounded keywords occur most, from counts by keyword."""
+    position = {pk: i for i, pk in enumerate(_PROVIDER_WORDS)}
+    ranked = []
+    for rank, (provider, words) in enumerate(R.PROVIDER_KEYWORDS.items()):
+        found_at = {w: F.get(hits, F.lit(position[provider, w])) for w in words}
+        kept = []
+        for word in words:
+            longer = [o for o in words if word.lower() in o.lower() and word.lower() != o.lower()]
+            shadowed = F.greatest(F.lit(0), F.lit(0), *[found_at[o] for o in longer]) > 0
+            kept.append(F.when(shadowed, 0).otherwise(found_at[word]))
+        # First longest of the counted keywords.
+        by_length = sorted(range(len(words)), key=lambda i: (-len(words[i]), i))
+        ranked.append(F.struct(
+            sum(kept[1:], kept[0]).alias("score"), F.lit(-rank).alias("rank"), F.lit(provider).alias("provider"),
+            F.coalesce(*[F.when(kept[i] > 0, F.lit(words[i])) for i in by_length]).alias("word"),
+        ))
+    return F.array_max(F.array(*ranked))
+
+
+_PROVIDER_WORDS = [(p, k) for p, ks in R.PROVIDER_KEYWORDS.items() for k in ks]
 
 
 def detect_provider(bills: DataFrame, text: str = "text") -> DataFrame:
@@ -118,12 +102,17 @@ def detect_provider(bills: DataFrame, text: str = "text") -> DataFrame:
 
     A keyword inside a longer one of the same provider only counts when the longer one is absent.
     """
-    detected = _bind(_best_provider(F.col(text)), lambda best: F.struct(
-        F.when(best["score"] > 0, best["provider"]).otherwise(UNKNOWN).alias("provider"),
-        F.coalesce(best["score"] > 0, F.lit(False)).alias("is_known"),
-        F.when(best["score"] > 0, best["word"]).alias("matched_keyword"),
-    ))
-    return bills.withColumn("_d", evaluate_once(detected)).select("*", "_d.*").drop("_d")
+    flat, best = F.col("_flat"), F.col("_best")
+    counts = F.array(*[
+        F.when(flat.contains(k.lower()), F.regexp_count(flat, F.lit(_bounded(k)))).otherwise(0) for _, k in _PROVIDER_WORDS
+    ])
+    lowered = staged(bills, {"_flat": F.regexp_replace(F.lower(F.col(text)), r"(?U)\s+", " ")})
+    counted = staged(lowered, {"_hits": counts}).drop("_flat")
+    return staged(counted, {"_best": _best_provider(F.col("_hits"))}).withColumns({
+        "provider": F.when(best["score"] > 0, best["provider"]).otherwise(UNKNOWN),
+        "is_known": F.coalesce(best["score"] > 0, F.lit(False)),
+        "matched_keyword": F.when(best["score"] > 0, best["word"]),
+    }).drop("_hits", "_best")
 
 
 SIGNATURE_WEIGHTS = {"keyword": 3, "phone": 5, "vat": 10, "address": 4}
@@ -132,24 +121,20 @@ SUPPLIER_FULL_SCORE = 22.0
 
 def detect_supplier(bills: DataFrame, text: str = "text") -> DataFrame:
     """Add `supplier` and `supplier_confidence` from weighted signatures; earlier suppliers win ties."""
-    body = F.col(text)
-
-    def rank_all(lowered: Column) -> Column:
-        ranked = []
-        for rank, (supplier, signature) in enumerate(R.SUPPLIER_SIGNATURES.items()):
-            tests = [(lowered.contains(k.lower()), SIGNATURE_WEIGHTS["keyword"]) for k in signature["keywords"]]
-            tests += [(body.contains(p), SIGNATURE_WEIGHTS["phone"]) for p in signature["phone"]]
-            tests += [(body.contains(signature[k]), SIGNATURE_WEIGHTS[k]) for k in ("vat", "address") if signature[k]]
-            score = sum((F.when(test, weight).otherwise(0) for test, weight in tests), F.lit(0))
-            ranked.append(F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.lit(supplier).alias("supplier")))
-        return F.array_max(F.array(*ranked))
-
-    detected = _bind(_bind(F.lower(body), rank_all), lambda best: F.struct(
-        F.when(best["score"] > 0, best["supplier"]).otherwise("Unknown").alias("supplier"),
-        F.when(best["score"] > 0, F.round(F.least(best["score"] / SUPPLIER_FULL_SCORE, F.lit(1.0)), 2)).otherwise(0.0)
-        .alias("supplier_confidence"),
-    ))
-    return bills.withColumn("_d", evaluate_once(detected)).select("*", "_d.*").drop("_d")
+    body, lowered, best = F.col(text), F.col("_lowered"), F.col("_best")
+    ranked = []
+    for rank, (supplier, signature) in enumerate(R.SUPPLIER_SIGNATURES.items()):
+        tests = [(lowered.contains(k.lower()), SIGNATURE_WEIGHTS["keyword"]) for k in signature["keywords"]]
+        tests += [(body.contains(p), SIGNATURE_WEIGHTS["phone"]) for p in signature["phone"]]
+        tests += [(body.contains(signature[k]), SIGNATURE_WEIGHTS[k]) for k in ("vat", "address") if signature[k]]
+        score = sum((F.when(test, weight).otherwise(0) for test, weight in tests), F.lit(0))
+        ranked.append(F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.lit(supplier).alias("supplier")))
+    scored = staged(staged(bills, {"_lowered": F.lower(body)}), {"_best": F.array_max(F.array(*ranked))})
+    share = F.round(F.least(best["score"] / SUPPLIER_FULL_SCORE, F.lit(1.0)), 2)
+    return scored.withColumns({
+        "supplier": F.when(best["score"] > 0, best["supplier"]).otherwise("Unknown"),
+        "supplier_confidence": F.when(best["score"] > 0, share).otherwise(0.0),
+    }).drop("_lowered", "_best")
 
 
 # ---------------------------------------------------------------- clean-up before a provider's rules
@@ -359,8 +344,8 @@ def to_long(bills: DataFrame, key: str = "bill_id", columns: Sequence[str] = FIE
             F.col(c)["confidence"].alias("confidence"), F.col(c)["pattern_index"].alias("pattern_index")))
         for c in columns
     ])
-    rows = bills.withColumn("_e", evaluate_once(F.filter(entries, lambda e: e.isNotNull())))
-    return rows.select(key, F.inline_outer("_e")).filter(F.col("field_name").isNotNull())
+    known = F.filter(entries, lambda e: e.isNotNull())
+    return staged(bills.select(key, *columns), {"_e": known}).select(key, F.inline("_e"))
 
 
 def hit_rate(bills: DataFrame) -> DataFrame:
@@ -399,12 +384,7 @@ def _note(df: DataFrame, notes: list[Column]) -> DataFrame:
 
 
 def _with_numbers(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    return df.withColumns({f"_{f}": evaluate_once(safe_float(value_of(f))) for f in fields})
-
-
-def _steps(updates: dict[str, Column]) -> dict[str, Column]:
-    """Each update as a step of its own: long chains of derived columns slow the optimizer down."""
-    return {name: evaluate_once(value) for name, value in updates.items()}
+    return staged(df, {f"_{f}": safe_float(value_of(f)) for f in fields})
 
 
 def _without_numbers(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -424,7 +404,7 @@ def fix_rates(df: DataFrame, when: dict[str, Column] | None = None) -> DataFrame
                          F.col(f)["pattern_index"].alias("pattern_index"))
         updates[f] = F.when(too_high, fixed).otherwise(F.col(f))
         notes.append(F.when(too_high, F.concat(F.lit(f"{f} read as cents: "), value_of(f))))
-    return _without_numbers(_note(numbers, notes).withColumns(_steps(updates)), RATE_FIELDS)
+    return _without_numbers(staged(_note(numbers, notes), updates), RATE_FIELDS)
 
 
 def compute_costs(df: DataFrame) -> DataFrame:
@@ -438,7 +418,7 @@ def compute_costs(df: DataFrame) -> DataFrame:
         amount = F.format_string("%.2f", F.round(F.col(f"_{rate}") * F.col(f"_{kwh}"), 2))
         updates[cost] = F.when(missing & known, _field(amount, COMPUTED, -1)).otherwise(F.col(cost))
         notes.append(F.when(missing & known, F.concat(F.lit(f"{cost} computed: "), amount)))
-    return _without_numbers(_note(numbers, notes).withColumns(_steps(updates)), names)
+    return _without_numbers(staged(_note(numbers, notes), updates), names)
 
 
 def heal_totals(df: DataFrame) -> DataFrame:
@@ -447,13 +427,12 @@ def heal_totals(df: DataFrame) -> DataFrame:
     numbers = _with_numbers(df, names)
     net, rate, vat = F.col("_subtotal"), F.col("_vat_rate"), F.col("_vat_amount")
     expected = F.when((rate > 0) & (rate <= VAT_MAX), F.round(net * rate / 100, 2))
-    staged = numbers.withColumn("_expected", evaluate_once(expected))
+    steps = staged(numbers, {"_expected": expected})
     expected = F.col("_expected")
     wrong = (expected > 0) & vat.isNotNull() & (F.abs(expected - vat) / expected > 1.0)
     absent = expected.isNotNull() & vat.isNull()
-    staged = staged.withColumn(
-        "_fixed", evaluate_once(F.when(wrong, "corrected").when(absent, "computed"))
-    ).withColumn("_vat", evaluate_once(F.when(F.col("_fixed").isNotNull(), expected).otherwise(vat)))
+    steps = staged(steps, {"_fixed": F.when(wrong, "corrected").when(absent, "computed")})
+    steps = staged(steps, {"_vat": F.when(F.col("_fixed").isNotNull(), expected).otherwise(vat)})
     total = F.round(net + F.col("_vat"), 2)
     add_total = F.col("_total_incl_vat").isNull() & total.isNotNull()
     vat_text, total_text = F.format_string("%.2f", expected), F.format_string("%.2f", total)
@@ -462,10 +441,10 @@ def heal_totals(df: DataFrame) -> DataFrame:
         F.when(add_total, F.concat(F.lit("total_incl_vat computed: "), total_text)),
     ]
     level = F.when(F.col("_fixed") == "corrected", CORRECTED).otherwise(COMPUTED)
-    healed = _note(staged, notes).withColumns(_steps({
+    healed = staged(_note(steps, notes), {
         "vat_amount": F.when(F.col("_fixed").isNotNull(), _field(vat_text, level, -1)).otherwise(F.col("vat_amount")),
         "total_incl_vat": F.when(add_total, _field(total_text, COMPUTED, -1)).otherwise(F.col("total_incl_vat")),
-    }))
+    })
     return _without_numbers(healed, names).drop("_expected", "_fixed", "_vat")
 
 
@@ -519,9 +498,7 @@ def validate_fields(df: DataFrame) -> DataFrame:
           for c, r, k in TRIPLETS],
         check("standing_charge_range", n["standing_charge"].isNotNull(), n["standing_charge"].between(0.01, STANDING_LIMIT)),
     ]
-    return _without_numbers(
-        numbers.withColumn("checks", evaluate_once(F.filter(F.array(*checks), lambda c: c.isNotNull()))), names
-    )
+    return _without_numbers(staged(numbers, {"checks": F.filter(F.array(*checks), lambda c: c.isNotNull())}), names)
 
 
 def check_rows(validated: DataFrame, key: str = "bill_id") -> DataFrame:
@@ -580,9 +557,11 @@ PREFERRED_EXTERNAL = ["provider", "customer_name", "supply_address", "billing_pe
 
 
 def same_value(a: Column, b: Column, words: bool = True) -> Column:
-    """Equal texts or numbers within a cent, commas and a leading currency sign aside."""
+    """Equal texts or numbers within a cent, commas and a leading sign aside: $ between records, any between word tables."""
+    signs = r"^\$+" if words else "^[€$£]+"
+
     def plain(v: Column) -> Column:
-        return F.trim(F.regexp_replace(F.replace(F.trim(v), F.lit(","), F.lit("")), "^[€$£]+", ""))
+        return F.trim(F.regexp_replace(F.replace(F.trim(v), F.lit(","), F.lit("")), signs, ""))
 
     x, y = plain(a), plain(b)
     both = to_number(x).isNotNull() & to_number(y).isNotNull()
@@ -668,7 +647,7 @@ def external_fields(records: DataFrame, json: str = "json") -> DataFrame:
     }
     values = {**texts, **numbers, **from_items}
     fields = _spread({f: _if_found(v, EXTERNAL_CONFIDENCE, -1) for f, v in values.items()})
-    return parsed.withColumn("x", evaluate_once(fields)).drop("r", "_items").select("*", "x.*").drop("x")
+    return staged(parsed, {"x": fields}).drop("r", "_items").select("*", "x.*").drop("x")
 
 
 def known_provider(name: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattmill.operators.extract import _bind, detect_supplier, evaluate_once
+from wattmill.functions.steps import staged
+from wattmill.operators.extract import detect_supplier
 
 # Labelled patterns of the flat layout.  Case matters unless the pattern says otherwise.
 TEXT_PATTERNS = {
@@ -74,16 +75,14 @@ def _group(text: Column, pattern: str, group: int) -> Column:
 
 def extract_flat(bills: DataFrame, text: str = "text") -> DataFrame:
     """All flat fields of every bill text, total units, completeness score and warnings."""
-    def scan(t: Column) -> Column:
-        fields = {name: F.trim(_group(t, p, 1)) for name, p in TEXT_PATTERNS.items()}
-        for names, p in PAIR_PATTERNS.items():
-            fields |= {name: _group(t, p, i) for i, name in enumerate(names, 1)}
-        for names, p in NUMBER_PATTERNS.items():
-            fields |= {name: parse_euro(_group(t, p, i)) for i, name in enumerate(names, 1)}
-        fields["standing_charge_days"] = fields["standing_charge_days"].cast("int")
-        return F.struct(*[value.alias(name) for name, value in fields.items()])
-
-    flat = detect_supplier(bills, text).withColumn("x", evaluate_once(_bind(F.col(text), scan))).select("*", "x.*").drop("x")
+    t = F.col(text)
+    fields = {name: F.trim(_group(t, p, 1)) for name, p in TEXT_PATTERNS.items()}
+    for names, p in PAIR_PATTERNS.items():
+        fields |= {name: _group(t, p, i) for i, name in enumerate(names, 1)}
+    for names, p in NUMBER_PATTERNS.items():
+        fields |= {name: parse_euro(_group(t, p, i)) for i, name in enumerate(names, 1)}
+    fields["standing_charge_days"] = fields["standing_charge_days"].cast("int")
+    flat = staged(detect_supplier(bills, text), fields)
     units = [F.coalesce(F.col(f"{k}_units_kwh"), F.lit(0.0)) for k in ("day", "night", "peak")]
     total = sum(units[1:], units[0])
     flat = flat.withColumn("total_units_kwh", F.when(total > 0, F.round(total, 3)))

@@ -295,9 +295,13 @@ def build_mapping(detected: DataFrame) -> DataFrame:
 
 
 def locate_columns(mapping: DataFrame, headers: DataFrame) -> DataFrame:
-    """Give a mapping that only names columns (for example an edited one) their positions."""
-    by_name = headers.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("column_name", "col_idx")))
-                                             .alias("at"))
+    """Give a mapping that only names columns (for example an edited one) their positions.
+
+    Of columns with one name the first is taken.
+    """
+    firsts = headers.groupBy("file_id", "column_name").agg(F.min("col_idx").alias("col_idx"))
+    by_name = firsts.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("column_name", "col_idx")))
+                                            .alias("at"))
     return mapping.join(by_name, "file_id", "left").withColumns(
         {f"{f}_idx": F.try_element_at("at", F.col(f"{f}_col")) for f in FIELD_ORDER}
     ).drop("at")

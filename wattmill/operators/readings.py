@@ -25,11 +25,11 @@ def file_units(raw: DataFrame) -> DataFrame:
     )
 
 
-def normalise_reads(raw: DataFrame) -> DataFrame:
-    """Long reads (file_id, row_idx, mprn, read_value, read_type, read_time) to one row per meter and instant.
+def file_reads(raw: DataFrame) -> DataFrame:
+    """Long reads (file_id, row_idx, mprn, read_value, read_type, read_time) to one row per file, meter and instant.
 
     Import and export become columns, a missing export is 0, instants with exports only are dropped and
-    kW files are halved.  Reads are summed per (mprn, instant) with map-side combine, so a meter that owns
+    kW files are halved.  Reads are summed per (file, mprn, instant) with map-side combine, so a meter that owns
     most of the rows is spread over its instants.
     """
     typed = (
@@ -49,12 +49,27 @@ def normalise_reads(raw: DataFrame) -> DataFrame:
         )
     )
     is_import, is_export = F.col("kind").contains("import"), F.col("kind").contains("export")
-    wide = scaled.groupBy("mprn", "datetime", "datetime_utc").agg(
+    wide = scaled.groupBy("file_id", "mprn", "datetime", "datetime_utc").agg(
         F.sum(F.when(is_import, F.col("value"))).alias("import_kwh"),
         F.coalesce(F.sum(F.when(is_export, F.col("value"))), F.lit(0.0)).alias("export_kwh"),
         F.count_if(is_import).alias("import_reads"),
     )
-    return with_features(wide.filter("import_reads > 0").drop("import_reads"))
+    return wide.filter("import_reads > 0").drop("import_reads")
+
+
+def one_file_per_instant(reads: DataFrame) -> DataFrame:
+    """Reads of `file_reads` with overlapping files resolved: the first file by file_id wins a meter's instant.
+
+    `repeats` counts the other files that hold the instant too.
+    """
+    first = F.min(F.struct("file_id", "import_kwh", "export_kwh"))
+    merged = reads.groupBy("mprn", "datetime", "datetime_utc").agg(first.alias("r"), (F.count("*") - 1).alias("repeats"))
+    return merged.select("r.file_id", "mprn", "datetime", "datetime_utc", "r.import_kwh", "r.export_kwh", "repeats")
+
+
+def normalise_reads(raw: DataFrame) -> DataFrame:
+    """Raw reads to one row per meter and instant, with features; files that overlap are not added up."""
+    return with_features(one_file_per_instant(file_reads(raw)))
 
 
 def with_features(df: DataFrame) -> DataFrame:
@@ -84,18 +99,14 @@ def with_gated_features(df: DataFrame, granularity: str = "granularity") -> Data
     return full
 
 
-def file_reports(readings: DataFrame, raw: DataFrame) -> DataFrame:
-    """Parse report per meter file: interval files count as half-hourly and complete."""
-    owners = raw.select("file_id", F.trim("mprn").alias("mprn")).distinct()
-    per_meter = readings.groupBy("mprn").agg(
-        F.count("*").alias("rows"), F.min("datetime").alias("first_at"), F.max("datetime").alias("last_at")
-    )
-    return owners.join(per_meter, "mprn").groupBy("file_id").agg(
-        F.sum("rows").alias("total_rows_raw"),
-        F.sum("rows").alias("total_rows_clean"),
+def file_reports(reads: DataFrame) -> DataFrame:
+    """Parse report per meter file from `file_reads`: interval files count as half-hourly and complete."""
+    return reads.groupBy("file_id").agg(
+        F.count("*").alias("total_rows_raw"),
+        F.count("*").alias("total_rows_clean"),
         F.lit(0).cast("bigint").alias("rows_dropped"),
-        F.min("first_at").alias("date_range_start"),
-        F.max("last_at").alias("date_range_end"),
+        F.min("datetime").alias("date_range_start"),
+        F.max("datetime").alias("date_range_end"),
         F.lit(C.HALF_HOURLY).alias("granularity"),
         F.lit(100.0).alias("completeness_pct"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattmill import extraction_rules as R
+from wattmill.functions.steps import staged
 from wattmill.operators import extract as ex
 
 LINE = ["doc_id", "page_num", "block_num", "line_num"]
@@ -83,10 +84,8 @@ def label_words_like(word: Column) -> Column:
 
 def find_anchors(lines: DataFrame) -> DataFrame:
     """Every label on every line, at its first place on the line, with the box around its words."""
-    staged = lines.withColumn(
-        "likes", ex.evaluate_once(F.transform("words", lambda w: label_words_like(w["text"])))
-    )
-    staged = staged.withColumn("seen", F.array_distinct(F.flatten("likes"))).filter(F.size("seen") > 0)
+    likely = staged(lines, {"likes": F.transform("words", lambda w: label_words_like(w["text"]))})
+    likely = likely.withColumn("seen", F.array_distinct(F.flatten("likes"))).filter(F.size("seen") > 0)
     n, likes = F.size("words"), F.col("likes")
 
     def start_of(words: list[str]) -> Column:
@@ -117,8 +116,7 @@ def find_anchors(lines: DataFrame) -> DataFrame:
                       for f, labels in R.ANCHOR_LABELS.items() if label in labels]),
         )
     ])
-    placed = staged.withColumn("hits", ex.evaluate_once(hits)).select(*LINE, "words", F.inline_outer("hits"))
-    placed = placed.filter(F.col("label").isNotNull()).withColumn(
+    placed = staged(likely, {"hits": hits}).select(*LINE, "words", F.inline("hits")).withColumn(
         "part", F.slice("words", F.col("start") + 1, F.col("span"))
     )
     left = F.array_min(F.transform("part", lambda w: w["left"]))
@@ -196,8 +194,8 @@ def nearest_values(lines: DataFrame, anchors: DataFrame) -> DataFrame:
     hit = F.when(~own & right, F.struct((across * RIGHT_WEIGHT).alias("distance"), F.lit("right").alias("direction"))).when(
         ~own & below, F.struct(down.cast("double").alias("distance"), F.lit("below").alias("direction"))
     )
-    near = pairs.withColumn("hit", ex.evaluate_once(hit)).filter(F.col("hit").isNotNull())
-    near = near.withColumn("fits", ex.evaluate_once(fits_field(F.col("text"), F.col("field_name")))).filter("fits").select(
+    near = staged(pairs, {"hit": hit}).filter(F.col("hit").isNotNull())
+    near = staged(near, {"fits": fits_field(F.col("text"), F.col("field_name"))}).filter("fits").select(
         "doc_id", "field_name", "hit.*", "text", "specificity", "w_block", "w_line", "word_num"
     )
     order = F.struct("distance", "w_block", "w_line", "word_num")
@@ -263,8 +261,8 @@ def extract_spatial(words: DataFrame) -> DataFrame:
     labelled = anchors.select("doc_id").distinct().withColumn("has_labels", F.lit(True))
     joined = texts.join(labelled, "doc_id", "left").join(by_doc, "doc_id", "left")
     known = ex.detect_provider(joined, "ocr_text").drop("matched_keyword", "is_known")
-    fixed = known.withColumn("fixed", ex.evaluate_once(ex.clean_text(F.col("ocr_text"), F.col("provider"))))
-    read = fixed.withColumn("p", ex.evaluate_once(F.when(F.col("has_labels"), ex.universal_fields("fixed")))).withColumnRenamed(
+    fixed = staged(known, {"fixed": ex.clean_text(F.col("ocr_text"), F.col("provider"))})
+    read = staged(fixed, {"p": F.when(F.col("has_labels"), ex.universal_fields("fixed"))}).withColumnRenamed(
         "provider", "detected_provider")
     merged = read.withColumns({
         f: ex.merge_field(F.try_element_at("m", F.lit(f)), F.col("p")[f], F.lit(True), words=False) for f in ex.FIELDS

@@ -1,7 +1,8 @@
 """Bills against meter readings: is the pair comparable, how much was metered, what should it have cost.
 
-A case holds the readings of one meter and the bills to check against it, so readings and bills carry
-`case_id`.  Readings are reduced to one row per case and date before anything is joined.
+Bills and readings are paired by MPRN. Where both carry a `case_id`, a bill is only compared with the meters of its
+case, and a bill without an MPRN with the one meter of its case, if there is one alone. Readings are reduced to one row
+per meter and date before anything is joined.
 """
 
 from __future__ import annotations
@@ -21,15 +22,34 @@ METERED = ["total", "day", "night", "peak", "export"]
 EXACT = "decimal(28,9)"
 
 
+def _cased(df: DataFrame, by_case: bool) -> DataFrame:
+    """df with `case_id`; without cases each MPRN is a case, and rows without one have none."""
+    return df if by_case else df.withColumn("case_id", F.nullif(F.trim("mprn"), F.lit("")))
+
+
+def _by_case(bills: DataFrame, readings: DataFrame) -> bool:
+    return "case_id" in bills.columns and "case_id" in readings.columns
+
+
 def case_meters(readings: DataFrame) -> DataFrame:
-    """(case_id, hdf_mprn, hdf_start, hdf_end): the meter of each case and its range of dates."""
-    return readings.groupBy("case_id").agg(
-        F.min("mprn").alias("hdf_mprn"),
+    """(case_id, hdf_mprn, hdf_start, hdf_end): the meters of each case and their ranges of dates."""
+    return readings.groupBy("case_id", F.trim("mprn").alias("hdf_mprn")).agg(
         F.min(F.col("datetime").cast("date")).alias("hdf_start"),
         F.max(F.col("datetime").cast("date")).alias("hdf_end"),
     )
 
 
+def _paired(bills: DataFrame, meters: DataFrame) -> DataFrame:
+    """Bills with the meter they name in their case, else the only meter of the case, and the number of meters there."""
+    meter = F.struct("hdf_mprn", "hdf_start", "hdf_end")
+    cases = meters.groupBy("case_id").agg(F.count("*").alias("meters"), F.min(meter).alias("_one"))
+    named = meters.select("case_id", F.col("hdf_mprn").alias("_mprn"), meter.alias("_own"))
+    joined = bills.withColumn("_mprn", F.trim("mprn")).join(cases, "case_id", "left").join(
+        named, ["case_id", "_mprn"], "left")
+    chosen = F.coalesce("_own", F.when(F.col("meters") == 1, F.col("_one")))
+    return joined.withColumns({c: chosen[c] for c in ("hdf_mprn", "hdf_start", "hdf_end")}).drop("_own", "_one", "_mprn")
+
+
 def validate(bills: DataFrame, readings: DataFrame) -> DataFrame:
     """Bills with the outcome of the checks in order: meter, dates, period length, overlap.
 
@@ -39,13 +59,14 @@ def validate(bills: DataFrame, readings: DataFrame) -> DataFrame:
     for end in ("start", "end"):
         override = [F.col(f"override_{end}")] if f"override_{end}" in bills.columns else []
         dated = dated.withColumn(f"bill_{end}", F.coalesce(*override, F.col(f"printed_{end}")))
-    # One row per case on the meter side, so a case with very many bills can be split freely.
-    joined = dated.join(case_meters(readings), "case_id", "left")
-
-    unnamed = F.coalesce(F.col("mprn"), F.lit("")) == ""
-    compared = ~unnamed & (F.coalesce(F.col("hdf_mprn"), F.lit("")) != "")
-    same = F.trim("hdf_mprn") == F.trim("mprn")
-    mismatch = compared & ~same
+    # One row per case and meter on the other side, so a case with very many bills can be split freely.
+    by_case = _by_case(bills, readings)
+    joined = _paired(_cased(dated, by_case), case_meters(_cased(readings, by_case)))
+
+    unnamed = F.coalesce(F.trim("mprn"), F.lit("")) == ""
+    compared = ~unnamed & (F.col("meters") > 0)
+    same = F.coalesce(F.col("hdf_mprn") == F.trim("mprn"), F.lit(False))
+    mismatch = F.coalesce(compared & ~same, F.lit(False))
     undated = F.col("bill_start").isNull() | F.col("bill_end").isNull()
     days = F.datediff("bill_end", "bill_start")
     overlap = F.greatest(F.lit(0), F.datediff(
@@ -53,6 +74,8 @@ def validate(bills: DataFrame, readings: DataFrame) -> DataFrame:
     reason = (
         F.when(mismatch, "meter mismatch")
         .when(undated, "no billing period")
+        .when(F.col("case_id").isNull(), "no MPRN and no case")
+        .when(unnamed & (F.col("meters") > 1), "no MPRN and several meters")
         .when(F.col("hdf_start").isNull(), "no meter readings")
         .when(F.col("billing_days") <= 0, "period ends before it starts")
         .when(F.col("overlap_days") == 0, "no overlap")
@@ -75,27 +98,29 @@ def validate(bills: DataFrame, readings: DataFrame) -> DataFrame:
         .withColumn("needs_dates", ~mismatch & undated)
         .withColumn("valid", F.col("block_reason").isNull())
         .withColumn("issues", F.filter(issues, lambda i: i.isNotNull()))
-        .drop("printed_start", "printed_end")
+        .drop("printed_start", "printed_end", "meters")
     )
 
 
 def running_totals(readings: DataFrame) -> DataFrame:
-    """Metered kWh since the start of each case, for every calendar date from its first to its last.
+    """Metered kWh since the start of each meter in a case, for every calendar date from its first to its last.
 
     Dates without readings repeat the total before them.  The window runs over one row per date.
     """
     tariff, kwh = F.col("tariff_period"), F.col("import_kwh")
-    daily = readings.groupBy("case_id", F.col("datetime").cast("date").alias("on_date")).agg(
+    meter = ["case_id", "hdf_mprn"]
+    daily = readings.groupBy("case_id", F.trim("mprn").alias("hdf_mprn"),
+                             F.col("datetime").cast("date").alias("on_date")).agg(
         F.sum(kwh).cast(EXACT).alias("total"),
         *[F.coalesce(F.sum(F.when(tariff == p.title(), kwh)), F.lit(0.0)).cast(EXACT).alias(p)
           for p in ("day", "night", "peak")],
         F.sum("export_kwh").cast(EXACT).alias("export"),
         F.count("*").alias("reads"),
     )
-    so_far = Window.partitionBy("case_id").orderBy("on_date").rowsBetween(Window.unboundedPreceding, 0)
-    nxt = F.lead("on_date").over(Window.partitionBy("case_id").orderBy("on_date"))
+    so_far = Window.partitionBy(*meter).orderBy("on_date").rowsBetween(Window.unboundedPreceding, 0)
+    nxt = F.lead("on_date").over(Window.partitionBy(*meter).orderBy("on_date"))
     totals = daily.select(
-        "case_id", "on_date", nxt.alias("next_date"),
+        *meter, "on_date", nxt.alias("next_date"),
         *[F.sum(c).over(so_far).alias(c) for c in [*METERED, "reads"]],
     )
     until = F.coalesce(F.date_sub("next_date", 1), F.col("on_date"))
@@ -109,13 +134,13 @@ def metered(validated: DataFrame, readings: DataFrame) -> DataFrame:
     the bills of one case spread over its dates.
     """
     totals = running_totals(readings)
-    sums = F.struct(*METERED, "reads")
-    upto = totals.select("case_id", F.col("on_date").alias("_last"), sums.alias("_to"))
-    before = totals.select("case_id", F.date_add("on_date", 1).alias("_first"), sums.alias("_from"))
+    meter, sums = ["case_id", "hdf_mprn"], F.struct(*METERED, "reads")
+    upto = totals.select(*meter, F.col("on_date").alias("_last"), sums.alias("_to"))
+    before = totals.select(*meter, F.date_add("on_date", 1).alias("_first"), sums.alias("_from"))
     bounded = validated.filter("valid").withColumns({
         "_last": F.least("bill_end", "hdf_end"), "_first": F.greatest("bill_start", "hdf_start"),
     })
-    joined = bounded.join(upto, ["case_id", "_last"], "left").join(before, ["case_id", "_first"], "left")
+    joined = bounded.join(upto, [*meter, "_last"], "left").join(before, [*meter, "_first"], "left")
 
     def between(name: str) -> Column:
         return F.coalesce(F.col("_to")[name], F.lit(0)) - F.coalesce(F.col("_from")[name], F.lit(0))
@@ -131,7 +156,7 @@ def verify(bills: DataFrame, readings: DataFrame) -> DataFrame:
     A valid bill whose dates hold no reading gets an issue and no figures.
     """
     checked = validate(bills, readings)
-    figures = metered(checked, readings).select("bill_idx", "reads", *[f"hdf_{c}_kwh" for c in METERED])
+    figures = metered(checked, _cased(readings, _by_case(bills, readings))).select("bill_idx", "reads", *[f"hdf_{c}_kwh" for c in METERED])
     joined = checked.join(figures, "bill_idx", "left")
     has_reads = F.coalesce(F.col("reads") > 0, F.lit(False))
     empty = F.col("valid") & ~has_reads

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattmill.functions.steps import staged
 from wattmill.operators import extract as ex
 
 # Names of the steps a bill went through.
@@ -29,7 +30,7 @@ def extract_bills(
     """
     docs = documents if "is_image" in documents.columns else documents.withColumn("is_image", F.lit(False))
     needs_words = F.col("is_image") | (~F.col("is_native") & F.coalesce(ex.is_low_quality(F.col("text")), F.lit(True)))
-    docs = docs.withColumn("needs_words", ex.evaluate_once(needs_words))
+    docs = staged(docs, {"needs_words": needs_words})
     if spatial is None:
         docs = docs.withColumns({"sp": F.lit(None).cast(_struct_type()), "ocr_text": F.lit(None).cast("string"),
                                  "avg_ocr_confidence": F.lit(None).cast("double")})
@@ -46,13 +47,12 @@ def extract_bills(
     known = ex.detect_provider(docs).withColumnRenamed("provider", "provider_name")
     name, readable = F.col("provider_name"), F.col("by_words") | ~F.col("needs_words")
     scanned = known.withColumn("readable", readable).withColumn("ruled", F.col("readable") & ex.has_rules(name))
-    scanned = scanned.withColumn("cleaned", ex.evaluate_once(ex.clean_text(F.col("text"), name))).withColumns({
-        "own": ex.evaluate_once(F.when(F.col("ruled"), ex.provider_fields("cleaned", "provider_name"))),
-        "any": ex.evaluate_once(F.when(
-            F.col("readable") & ~F.col("ruled") & ~F.col("by_words"), ex.universal_fields("text"))),
+    scanned = staged(staged(scanned, {"cleaned": ex.clean_text(F.col("text"), name)}), {
+        "own": F.when(F.col("ruled"), ex.provider_fields("cleaned", "provider_name")),
+        "any": F.when(F.col("readable") & ~F.col("ruled") & ~F.col("by_words"), ex.universal_fields("text")),
     })
     fields = {f: F.coalesce(F.when(F.col("by_words"), F.col("sp")[f]), F.col("own")[f], F.col("any")[f]) for f in ex.FIELDS}
-    wide = scanned.withColumns({f: ex.evaluate_once(c) for f, c in fields.items()})
+    wide = staged(scanned, fields)
     # Cents are repaired in a provider's own fields, and in every field of a scanned document.
     whole = F.col("by_words") & ~F.col("is_image")
     wide = ex.fix_rates(wide, {

@@ -64,7 +64,7 @@ coded AS (SELECT *, CASE CAST(substr(mprn, 11, 1) AS INTEGER) % 3
                     WHEN 0 THEN '30min' WHEN 1 THEN 'daily' ELSE 'monthly' END AS granularity FROM totals)"""
 
 
-def _with_code(df):
+def with_code(df):
     """Treat the meters as three kinds of series by their last digit."""
     digit = F.substring("mprn", 11, 1).cast("int") % 3
     return df.withColumn("granularity", F.when(digit == 0, "30min").when(digit == 1, "daily").otherwise("monthly"))
@@ -87,7 +87,7 @@ FROM (SELECT *, CASE WHEN granularity <> 'monthly' THEN avg_daily_import_kwh
     ),
 )
 def summary_flexible(spark, sf):
-    return stats.summary_stats_flexible(_with_code(readings(spark, sf))).select(
+    return stats.summary_stats_flexible(with_code(readings(spark, sf))).select(
         "mprn", "granularity", "total_import_kwh", "total_export_kwh", "date_range_days", "avg_daily_import_kwh",
         "baseload_kw", "tariff_day_kwh", "weekday_avg_kwh",
     )
@@ -462,7 +462,7 @@ SELECT mprn, granularity, 'monthly_outliers', spike_days || ' Months with Unusua
         "annual_cost_eur, value", f"{ALL_CTES},{ALL_FINDINGS_CTE},{FLEX_FINDINGS}"),
 )
 def anomaly_flexible(spark, sf):
-    found = an.detect_anomalies_flexible(_with_code(readings(spark, sf)))
+    found = an.detect_anomalies_flexible(with_code(readings(spark, sf)))
     return found.select("mprn", "granularity", "type", "title", "severity", "category", "annual_cost_eur", "value")
 
 

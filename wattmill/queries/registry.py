@@ -10,32 +10,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 Query = Callable[[SparkSession, str], DataFrame]
+DIGITS = 9
 MODULES = ("meter", "quality", "bills", "verify", "extract", "spatial", "sources")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-# Means often end exactly on half a unit of the last digit; the nudge keeps both engines on one side.
-NUDGE = 1.3e-9
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every DOUBLE column: the two engines add in different orders."""
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Doubles to DIGITS decimals, for the comparison with SQL alone: the two engines add in different orders."""
     doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)}
     return df.select(*[
-        (F.round(F.col(f"`{c}`") + NUDGE, digits) + F.lit(0.0)).alias(c) if c in doubles else F.col(f"`{c}`")
+        (F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if c in doubles else F.col(f"`{c}`")
         for c in df.columns
     ])
 
 
-def rounded_sql(body: str, doubles: str, ctes: str = "", digits: int = 6) -> str:
+def rounded_sql(body: str, doubles: str, ctes: str = "", digits: int = DIGITS) -> str:
     """Wrap a SELECT so that the named columns are rounded the same way."""
     cols = [c.strip() for c in doubles.split(",") if c.strip()]
     head = f"WITH {ctes}\n" if ctes else ""
     if not cols:
         return head + body
-    items = ", ".join(f"round({c} + {NUDGE}, {digits}) + 0.0 AS {c}" for c in cols)
+    items = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
     return f"{head}SELECT * REPLACE ({items}) FROM (\n{body}\n) AS r"
 
 

@@ -7,28 +7,19 @@ from pyspark.sql import functions as F
 from wattmill.operators import extract as ex
 from wattmill.operators import spatial as sp
 from wattmill.queries.registry import query, rounded_sql
-from wattmill.queries.views import BILL_VALUES_SQL, ocr_words
+from wattmill.queries.views import BILL_LINES_SQL, ocr_words
 
 
 def words(spark, sf):
     return sp.clean_words(ocr_words(spark, sf))
 
 
-# Lines of the Energia layout as printed; a word whose number falls on the gap has no text.
-LINES_SQL = BILL_VALUES_SQL + """,
-printed AS (
-  SELECT bill_id AS doc_id, unnest(list_filter([
-    'Energia customer bill', 'Account Number ' || account, 'MPRN: ' || mprn,
-    'Billing Period ' || strftime(s, '%d/%m/%Y') || ' - ' || strftime(e, '%d/%m/%Y'),
-    'Day Energy ' || dk || ' kWh @ €' || printf('%.4f', dr) || ' €' || printf('%.2f', dc),
-    'Night Energy ' || nk || ' kWh @ €' || printf('%.4f', nr) || ' €' || printf('%.2f', nc),
-    'Standing Charge 30 Days @ €0.55 €16.50', 'PSO Levy €2.01', 'Total Excluding VAT €' || printf('%.2f', net),
-    'VAT 9% €' || printf('%.2f', printed_vat),
-    CASE WHEN NOT no_total THEN 'Total Charges For the Period €' || printf('%.2f', total) END, 'www.energia.ie'],
-    lambda x: x IS NOT NULL)) AS line, generate_subscripts(list_filter([1,2,3,4,5,6,7,8,9,10,CASE WHEN NOT no_total THEN 11 END,12], lambda x: x IS NOT NULL), 1) AS line_num
-  FROM vals WHERE layout = 0 AND scanned),
+# Words of the scanned bills as printed; a word whose number falls on the gap has no text.
+LINES_SQL = BILL_LINES_SQL + """,
+printed AS (SELECT bill_id AS doc_id, layout, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_num FROM texts WHERE scanned),
 tokens AS (
-  SELECT doc_id, line_num, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) AS word_num FROM printed),
+  SELECT doc_id, layout, line_num, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) AS word_num
+  FROM printed),
 kept AS (SELECT * FROM tokens WHERE (doc_id + (line_num - 1) * 7 + word_num - 1) % 97 <> 0)"""
 
 
@@ -38,7 +29,7 @@ kept AS (SELECT * FROM tokens WHERE (doc_id + (line_num - 1) * 7 + word_num - 1)
         FROM kept GROUP BY doc_id, line_num""",
 )
 def ocr_lines(spark, sf):
-    lines = sp.text_lines(words(spark, sf).filter("doc_id % 7 = 0"))
+    lines = sp.text_lines(words(spark, sf))
     return lines.select("doc_id", "line_num", F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("line"),
                         F.size("words").cast("bigint").alias("n"))
 
@@ -50,7 +41,7 @@ def ocr_lines(spark, sf):
         "avg_ocr_confidence", LINES_SQL),
 )
 def ocr_confidence(spark, sf):
-    return sp.document_confidence(words(spark, sf).filter("doc_id % 7 = 0"))
+    return sp.document_confidence(words(spark, sf))
 
 
 @query("ocr_anchors")

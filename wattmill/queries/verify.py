@@ -28,6 +28,30 @@ def verify_validate(spark, sf):
         "valid", F.size("issues").alias("issue_count"))
 
 
+@query(
+    "verify_by_mprn",
+    rounded_sql(
+        """SELECT bill_idx, mprn IS NULL AS mprn_skipped, hdf_mprn IS NOT NULL AS mprn_match, reason AS block_reason,
+             billing_days::INTEGER AS billing_days, overlap_days::INTEGER AS overlap_days,
+             coalesce(CASE WHEN reason IS NULL THEN (SELECT sum(r.import_kwh) FROM readings r
+               WHERE r.mprn = m.hdf_mprn AND r.date BETWEEN m.bill_start AND m.bill_end) END, 0.0) AS hdf_total_kwh
+           FROM (SELECT *, CASE WHEN undated THEN 'no billing period' WHEN mprn IS NULL THEN 'no MPRN and no case'
+                   WHEN hdf_start IS NULL THEN 'no meter readings' WHEN billing_days <= 0 THEN 'period ends before it starts'
+                   WHEN overlap_days = 0 THEN 'no overlap' END AS reason
+                 FROM (SELECT *, CASE WHEN billing_days > 0
+                         THEN greatest(0, least(bill_end, hdf_end) - greatest(bill_start, hdf_start)) ELSE 0 END AS overlap_days
+                       FROM (SELECT *, CASE WHEN NOT undated AND hdf_start IS NOT NULL THEN bill_end - bill_start ELSE 0 END AS billing_days
+                             FROM (SELECT vb.*, bill_start IS NULL OR bill_end IS NULL AS undated, h.* FROM vb
+                                   LEFT JOIN (SELECT mprn AS hdf_mprn, min(date) AS hdf_start, max(date) AS hdf_end
+                                              FROM readings GROUP BY 1) h ON h.hdf_mprn = vb.mprn)))) m""",
+        "hdf_total_kwh", VERIFY_SQL),
+)
+def verify_by_mprn(spark, sf):
+    """A table of bills and a table of readings, without cases."""
+    out = vf.verify(verify_bills(spark, sf).drop("case_id"), case_readings(spark, sf).drop("case_id"))
+    return out.select("bill_idx", "mprn_skipped", "mprn_match", "block_reason", "billing_days", "overlap_days", "hdf_total_kwh")
+
+
 PERIODS = [("Day", "hdf_day", "day_b"), ("Night", "hdf_night", "night_b"), ("Peak", "hdf_peak", "NULL::DOUBLE"), ("Total", "hdf_total", "total_b")]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattmill.operators.extract import evaluate_once
+from wattmill.functions.steps import staged
 from wattmill.operators.readings import with_features
 
 
@@ -318,7 +318,7 @@ def bill_values(spark: SparkSession, sf: str) -> DataFrame:
         "vat": "(net * 9 + 50) div 100", "printed_vat": "if(bad_vat, vat * 10 + 1, vat)",
     }
     for name, formula in steps.items():
-        base = base.withColumn(name, evaluate_once(F.expr(formula)))
+        base = staged(base, {name: F.expr(formula)})
     return base.select(
         "bill_id", "layout", "mprn", "account", "dk", "nk", "start", "end", "bad_vat", "no_total", "scanned",
         rate(F.col("dr")).alias("dr"), rate(F.col("nr")).alias("nr"), euros(F.col("dc")).alias("dc"),
@@ -327,63 +327,59 @@ def bill_values(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _lines(*parts) -> "F.Column":
-    return F.array(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+# Lines of each layout; `?` marks a line that only bills with a printed total have.
+LAYOUT_LINES = [
+    ["Energia customer bill", "Account Number {account}", "MPRN: {mprn}", "Billing Period {s1} - {e1}",
+     "Day Energy {dk} kWh @ €{dr} €{dc}", "Night Energy {nk} kWh @ €{nr} €{nc}",
+     "Standing Charge 30 Days @ €0.55 €16.50", "PSO Levy €2.01", "Total Excluding VAT €{net}", "VAT 9% €{printed_vat}",
+     "?Total Charges For the Period €{total}", "www.energia.ie"],
+    ["Electric Ireland customer bill", "Account Number", "{account}", "MPRN {mprn}", "Billing Period", "{s1} - {e1}",
+     "Day {dk}.5 Units at €{dr} per Unit", "€{dc}", "Night {nk}.25 Units at €{nr} per Unit", "€{nc}",
+     "Standing Charge 30 days at €0.55 per day", "€16.50", "Public Service Obligation Levy - 2 months at €1.00", "€2.01",
+     "Sub Total before VAT", "€{net}", "VAT on €{net} at 9%", "€{printed_vat}", "?Total transactions for this period",
+     "?€{total}", "electricireland.ie"],
+    ["SSE Airtricity customer bill", "Account Number: {account}", "MPRN {mprn}", "{s1} to {e1}", "SmartSaver Std Day",
+     "{dk}.00", "{dr}", "SmartSaver Std Night", "{nk}.00", "{nr}", "Standing Charge P4 Dom Urban", "30.00", "0.5500",
+     "16.50", "Total costs for this period {net}", "VAT 9%", "Total VAT {printed_vat}",
+     "?Total charges for this period {total}", "sseairtricity.com"],
+    ["Green Valley Utilities customer bill", "Account Number: {account}", "MPRN: {mprn}", "Billing Period: {s1} - {e1}",
+     "Day Energy {dk} kWh @ €{dr}", "Night Energy {nk} kWh @ €{nr}", "Standing Charge for the period €16.50",
+     "PSO Levy 2.01", "Sub Total €{net}", "VAT 9% €{printed_vat}", "?Total due €{total}"],
+    ["Kerry Petroleum customer invoice", "INVOICE No. {ref}", "Date: {s1}",
+     "Heating oil delivered to the customer address as ordered", "KEROSENE {dk} 0.95 {net} 13.50 {vat} {total}",
+     "Thank you for your custom and please pay within thirty days"],
+    ["ESB Networks customer bill", "MPRN {mprn}", "Billing period 29 Feb 24 to 30 Apr 24",
+     "Standing Charge 16.50 30 days @ €0.5500 / day", "Standing Charge 17.05 31 days @ €0.5500 / day",
+     "Total electricity charges {net}", "VAT {printed_vat} 9%", "?Total due €{total}",
+     "Call ESB Networks for emergencies"],
+    ["Go Power customer bill", "Account Code: {account}", "MPRN {mprn}", "Usage Period 1 Jan 24 to 31 Jan 24",
+     "Energy {dk} kWh {cents} €{dc}", "Standing Charge 30 days €16.50", "PSO Levy €2.01", "Sub Total €{net}",
+     "VAT @ 9% €{printed_vat}", "?NEW BALANCE DUE €{total}", "gopower.ie"],
+]
+
+
+def _pieces(template: str) -> list[tuple[str, bool]]:
+    """(text, is it the name of a value) of a line."""
+    return [(x, i % 2 == 1) for i, x in enumerate(template.replace("}", "{").split("{")) if x]
 
 
 def bill_lines(spark: SparkSession, sf: str) -> DataFrame:
     """(bill_id, layout, scanned, lines ARRAY<STRING>)."""
-    v = bill_values(spark, sf).withColumn("s1", F.date_format("start", "dd/MM/yyyy")).withColumn(
-        "e1", F.date_format("end", "dd/MM/yyyy")
-    )
+    v = bill_values(spark, sf).withColumns({
+        "s1": F.date_format("start", "dd/MM/yyyy"), "e1": F.date_format("end", "dd/MM/yyyy"),
+        "ref": F.lpad((F.col("bill_id") % 1000000).cast("string"), 6, "0"),
+        "cents": F.format_string("%.2f", F.col("dr").cast("double") * 100),
+    })
 
-    def t(template: str):
-        """Fill {name} with the value of a column."""
-        pieces = []
-        for part in template.replace("}", "{").split("{"):
-            pieces.append(part)
-        return F.concat(*[F.lit(x) if i % 2 == 0 else F.col(x).cast("string") for i, x in enumerate(pieces)])
-
-    total = F.when(~F.col("no_total"), t("Total Charges For the Period €{total}"))
-    layouts = [
-        _lines("Energia customer bill", t("Account Number {account}"), t("MPRN: {mprn}"), t("Billing Period {s1} - {e1}"),
-               t("Day Energy {dk} kWh @ €{dr} €{dc}"), t("Night Energy {nk} kWh @ €{nr} €{nc}"),
-               "Standing Charge 30 Days @ €0.55 €16.50", "PSO Levy €2.01", t("Total Excluding VAT €{net}"),
-               t("VAT 9% €{printed_vat}"), total, "www.energia.ie"),
-        _lines("Electric Ireland customer bill", "Account Number", t("{account}"), t("MPRN {mprn}"), "Billing Period",
-               t("{s1} - {e1}"), t("Day {dk}.5 Units at €{dr} per Unit"), t("€{dc}"),
-               t("Night {nk}.25 Units at €{nr} per Unit"), t("€{nc}"), "Standing Charge 30 days at €0.55 per day", "€16.50",
-               "Public Service Obligation Levy - 2 months at €1.00", "€2.01", "Sub Total before VAT", t("€{net}"),
-               t("VAT on €{net} at 9%"), t("€{printed_vat}"), F.when(~F.col("no_total"), "Total transactions for this period"),
-               F.when(~F.col("no_total"), t("€{total}")), "electricireland.ie"),
-        _lines("SSE Airtricity customer bill", t("Account Number: {account}"), t("MPRN {mprn}"), t("{s1} to {e1}"),
-               "SmartSaver Std Day", t("{dk}.00"), t("{dr}"), "SmartSaver Std Night", t("{nk}.00"), t("{nr}"),
-               "Standing Charge P4 Dom Urban", "30.00", "0.5500", "16.50", t("Total costs for this period {net}"),
-               "VAT 9%", t("Total VAT {printed_vat}"), F.when(~F.col("no_total"), t("Total charges for this period {total}")),
-               "sseairtricity.com"),
-        _lines("Green Valley Utilities customer bill", t("Account Number: {account}"), t("MPRN: {mprn}"),
-               t("Billing Period: {s1} - {e1}"), t("Day Energy {dk} kWh @ €{dr}"), t("Night Energy {nk} kWh @ €{nr}"),
-               "Standing Charge for the period €16.50", "PSO Levy 2.01", t("Sub Total €{net}"), t("VAT 9% €{printed_vat}"),
-               F.when(~F.col("no_total"), t("Total due €{total}"))),
-        _lines("Kerry Petroleum customer invoice", t("INVOICE No. {ref}"), t("Date: {s1}"),
-               "Heating oil delivered to the customer address as ordered", t("KEROSENE {dk} 0.95 {net} 13.50 {vat} {total}"),
-               "Thank you for your custom and please pay within thirty days"),
-        _lines("ESB Networks customer bill", t("MPRN {mprn}"), "Billing period 29 Feb 24 to 30 Apr 24",
-               "Standing Charge 16.50 30 days @ €0.5500 / day", "Standing Charge 17.05 31 days @ €0.5500 / day",
-               t("Total electricity charges {net}"), t("VAT {printed_vat} 9%"),
-               F.when(~F.col("no_total"), t("Total due €{total}")), "Call ESB Networks for emergencies"),
-        _lines("Go Power customer bill", t("Account Code: {account}"), t("MPRN {mprn}"), "Usage Period 1 Jan 24 to 31 Jan 24",
-               t("Energy {dk} kWh {cents} €{dc}"), "Standing Charge 30 days €16.50", "PSO Levy €2.01",
-               t("Sub Total €{net}"), t("VAT @ 9% €{printed_vat}"),
-               F.when(~F.col("no_total"), t("NEW BALANCE DUE €{total}")), "gopower.ie"),
-    ]
-    v = v.withColumn("ref", F.lpad((F.col("bill_id") % 1000000).cast("string"), 6, "0")).withColumn(
-        "cents", F.format_string("%.2f", F.col("dr").cast("double") * 100)
-    )
+    def line(template: str):
+        text = F.concat(*[F.col(x).cast("string") if named else F.lit(x) for x, named in _pieces(template.lstrip("?"))])
+        return F.when(~F.col("no_total"), text) if template.startswith("?") else text
+
+    layouts = [F.array(*[line(x) for x in lines]) for lines in LAYOUT_LINES]
     chosen = layouts[-1]
     for number, body in reversed(list(enumerate(layouts[:-1]))):
         chosen = F.when(F.col("layout") == number, body).otherwise(chosen)
-    return v.select("bill_id", "layout", "scanned", F.filter(chosen, lambda line: line.isNotNull()).alias("lines"))
+    return v.select("bill_id", "layout", "scanned", F.filter(chosen, lambda x: x.isNotNull()).alias("lines"))
 
 
 def bill_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -431,6 +427,23 @@ vals AS (
              o_orderkey % 9 = 0 AS scanned FROM orders)))))"""
 
 
+_SQL_TEXTS = {
+    "s1": "strftime(s, '%d/%m/%Y')", "e1": "strftime(e, '%d/%m/%Y')", "cents": "printf('%.2f', dr * 100)",
+    "ref": "lpad(CAST(bill_id % 1000000 AS VARCHAR), 6, '0')", "dr": "printf('%.4f', dr)", "nr": "printf('%.4f', nr)",
+    **{x: f"printf('%.2f', {x})" for x in ("dc", "nc", "net", "vat", "printed_vat", "total")},
+}
+
+
+def _line_sql(template: str) -> str:
+    text = " || ".join(_SQL_TEXTS.get(x, x) if named else f"'{x}'" for x, named in _pieces(template.lstrip("?")))
+    return f"CASE WHEN NOT no_total THEN {text} END" if template.startswith("?") else f"'' || {text}"
+
+
+_LAYOUTS_SQL = " ".join(f"WHEN {n} THEN [{', '.join(map(_line_sql, lines))}]" for n, lines in enumerate(LAYOUT_LINES))
+BILL_LINES_SQL = BILL_VALUES_SQL + f""",
+texts AS (SELECT *, list_filter(CASE layout {_LAYOUTS_SQL} END, lambda x: x IS NOT NULL) AS lines FROM vals)"""
+
+
 # ---------------------------------------------------------------- bills to verify against the readings
 
 

@@ -106,7 +106,7 @@ def comparison_tables(rows: DataFrame, bills: DataFrame, by: Sequence[str] = (),
     pairs = F.array(*[
         F.struct(F.lit(c.replace("_", " ").title()).alias("field"), F.col(c).cast("string").alias("value")) for c in fields
     ])
-    sheets = bills.select(key, F.substring("filename", 1, 31).alias("sheet"), F.posexplode(pairs).alias("row_no", "r"))
+    sheets = bills.select(key, F.col("filename").alias("sheet"), F.posexplode(pairs).alias("row_no", "r"))
     return {"comparison": bl.with_totals(rows, by), "bills": sheets.select(key, "sheet", "row_no", "r.*")}
 
 

@@ -6,7 +6,7 @@ lookup and never a pivot.  `sheet_headers(file_id, col_idx, column_name)` has on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Cell texts that mean "missing".
@@ -14,6 +14,7 @@ MISSING = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
     "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
+# Parameters of the header search and of the sniffer, as the data model has them.
 HEADER_SCAN_ROWS, UNNAMED_SHARE, UNNAMED_FIRST_ROW_SHARE = 10, 0.3, 0.5
 SNIFF_BYTES = 2048
 SNIFF_MARKS = ["MPRN", "Read Type", "Read Value"]
@@ -23,28 +24,24 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file_id, row_idx, line) of every line of every .csv file, decoded as UTF-8 or, when any line of the
     file is not valid UTF-8, as Latin-1.  Files are split across tasks.
 
-    `row_idx` is the byte offset of the line's split plus its position in the split.  It rises through the
-    file and needs no sort: a split of n bytes holds at most n lines.
+    `row_idx` is the byte offset of the line's split plus its position in the task that reads the split.  It rises
+    through the file and needs no sort: a split of n bytes holds at most n lines, and only a file's last split shares
+    its task with splits before it, which can but raise its positions.
     """
     raw = (
         spark.read.option("pathGlobFilter", "*.[cC][sS][vV]")
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("file_id"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
+            (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+            .alias("row_idx"),
             F.col("value").alias("line"),
         )
     )
-    blocks = raw.groupBy("file_id", "block").agg(
-        F.min("seq").alias("first_seq"), F.bool_and(F.expr("is_valid_utf8(line)")).alias("utf8")
-    )
-    files = blocks.groupBy("file_id").agg(F.bool_and("utf8").alias("utf8"))
-    starts = blocks.drop("utf8").join(files, "file_id")
+    # Only the verdict per file comes from a second look at the lines, and it is joined by file.
+    files = raw.groupBy("file_id").agg(F.bool_and(F.expr("is_valid_utf8(line)")).alias("utf8"))
     text = F.when(F.col("utf8"), F.col("line")).otherwise(F.decode(F.col("line").cast("binary"), "ISO-8859-1"))
-    return raw.join(starts, ["file_id", "block"]).select(
-        "file_id", (F.col("block") + F.col("seq") - F.col("first_seq")).alias("row_idx"), text.alias("line")
-    )
+    return raw.join(files, "file_id").select("file_id", "row_idx", text.alias("line"))
 
 
 def file_kinds(spark: SparkSession, path: str) -> DataFrame:
@@ -58,9 +55,9 @@ def file_kinds(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("seq"),
         F.substring("value", 1, SNIFF_BYTES).alias("line"),
     ).filter(F.col("block") == 0)
-    # The head is at most SNIFF_BYTES lines long, and that many short rows per file.
-    first = lines.groupBy("file_id").agg(F.min("seq").alias("first_seq"))
-    near = lines.join(first, "file_id").filter(F.col("seq") - F.col("first_seq") < SNIFF_BYTES)
+    # The head is at most SNIFF_BYTES lines long, and that many short rows per file; the limit comes before the shuffle.
+    from_top = Window.partitionBy("file_id").orderBy("seq")
+    near = lines.withColumn("line_no", F.row_number().over(from_top)).filter(F.col("line_no") <= SNIFF_BYTES)
     head = near.groupBy("file_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n")
         .alias("head")
@@ -78,25 +75,30 @@ def blank_to_null(value: Column) -> Column:
     return F.when(~F.trim(value).isin(MISSING), value)
 
 
-def split_cells(lines: DataFrame, max_columns: int = 64) -> DataFrame:
-    """Lines to arrays of cells, quotes respected; lines with no text are skipped."""
-    names = [f"c{i}" for i in range(max_columns)]
-    parsed = F.from_csv("line", ", ".join(f"{n} string" for n in names), {"mode": "PERMISSIVE"})
-    return (
-        lines.filter(F.trim("line") != "")
-        .withColumn("p", parsed)
-        .select("file_id", "row_idx", F.array(*[blank_to_null(F.col(f"p.{n}")) for n in names]).alias("cells"))
-    )
+# A comma and the cell after it, bare or quoted; possessive, so a long cell costs no stack.
+CELL = r',(?:"((?:[^"\\]++|\\.|"")*+)"[^,]*+|([^,]*+))'
+
+
+def split_cells(lines: DataFrame) -> DataFrame:
+    """Each line as an array of its own cells, however many, quotes respected; lines with no text are skipped."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit("(?s)" + CELL), F.lit(0))
+
+    def cell(found: Column) -> Column:
+        quoted = F.regexp_extract(found, "(?s)" + CELL, 1)
+        plain = F.regexp_replace(quoted, r'["\\](["\\])', "$1")  # doubled or escaped
+        return blank_to_null(F.when(F.startswith(found, F.lit(',"')), plain).otherwise(F.substr(found, F.lit(2))))
+
+    return lines.filter(F.trim("line") != "").select("file_id", "row_idx", F.transform(raw, cell).alias("cells"))
 
 
-def sheets_from_lines(lines: DataFrame, max_columns: int = 64) -> tuple[DataFrame, DataFrame]:
+def sheets_from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First line of each file becomes its header; columns without a name are called `Unnamed: i`."""
-    rows = split_cells(lines, max_columns)
+    rows = split_cells(lines)
     tops = rows.groupBy("file_id").agg(F.min("row_idx").alias("top"))
     marked = rows.join(tops, "file_id")
     width = (
         rows.select("file_id", F.array_max(
-            F.transform("cells", lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(0))
+            F.transform("cells", lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(F.lit(0)))
         ).alias("n"))
         .groupBy("file_id")
         .agg(F.max("n").alias("width"))
@@ -104,7 +106,9 @@ def sheets_from_lines(lines: DataFrame, max_columns: int = 64) -> tuple[DataFram
     headers = (
         marked.filter("row_idx = top")
         .join(width, "file_id")
-        .select("file_id", F.posexplode(F.slice("cells", F.lit(1), F.col("width"))).alias("col_idx", "name"))
+        .filter("width > 0")
+        .select("file_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("width") - 1),
+                                                    lambda i: F.get("cells", i))).alias("col_idx", "name"))
         .select(
             "file_id", "col_idx",
             F.coalesce("name", F.concat(F.lit("Unnamed: "), F.col("col_idx").cast("string"))).alias("column_name"),
@@ -113,9 +117,9 @@ def sheets_from_lines(lines: DataFrame, max_columns: int = 64) -> tuple[DataFram
     return marked.filter("row_idx > top").drop("top"), headers
 
 
-def read_sheets(spark: SparkSession, path: str, max_columns: int = 64) -> tuple[DataFrame, DataFrame]:
+def read_sheets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Read a folder of CSV files and recover headers hidden below logo or title rows."""
-    return recover_headers(*sheets_from_lines(read_lines(spark, path), max_columns))
+    return recover_headers(*sheets_from_lines(read_lines(spark, path)))
 
 
 def recover_headers(rows: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,16 +130,18 @@ def recover_headers(rows: DataFrame, headers: DataFrame) -> tuple[DataFrame, Dat
         F.count("*").alias("columns"),
         F.count_if(F.col("column_name").startswith("Unnamed")).alias("unnamed"),
     )
-    tops = rows.groupBy("file_id").agg(F.min("row_idx").alias("first_row"), F.count("*").alias("n_rows"))
+    counts = rows.groupBy("file_id").agg(F.count("*").alias("n_rows"))
     suspects = (
         named.filter(F.col("unnamed") > F.col("columns") * UNNAMED_SHARE)
-        .join(tops.filter("n_rows >= 2").drop("n_rows"), "file_id")
+        .join(counts.filter("n_rows >= 2").drop("n_rows"), "file_id")
     )
-    # Positions run from the first row; near the top of a file they have no gaps.
+    # Blank lines are gone already, so positions count rows and not lines; the limit is applied before the shuffle.
+    from_top = Window.partitionBy("file_id").orderBy("row_idx")
     scanned = (
         rows.join(suspects, "file_id")
-        .withColumn("position", F.col("row_idx") - F.col("first_row"))
-        .filter(F.col("position") < HEADER_SCAN_ROWS)
+        .withColumn("row_no", F.row_number().over(from_top))
+        .filter(F.col("row_no") <= HEADER_SCAN_ROWS)
+        .withColumn("position", F.col("row_no") - 1)
     )
     filled = F.size(F.filter("cells", lambda c: c.isNotNull() & (F.trim(c) != "")))
     best = (

@@ -55,7 +55,7 @@ def running_daily_totals(reads: DataFrame, lateness: str = "2 days") -> DataFram
     )
 
 
-def start(df: DataFrame, name: str, checkpoint: str, mode: str = "update", sink: str = "memory", **options: str) -> StreamingQuery:
-    """Start a query; the checkpoint belongs in storage that all executors share."""
+def start(df: DataFrame, name: str, checkpoint: str, sink: str, mode: str = "update", **options: str) -> StreamingQuery:
+    """Start a query into the named sink; the checkpoint belongs in storage that all executors share."""
     writer = df.writeStream.outputMode(mode).format(sink).queryName(name).option("checkpointLocation", checkpoint)
     return writer.options(**options).trigger(availableNow=True).start()
