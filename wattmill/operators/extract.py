@@ -597,6 +597,17 @@ def reconcile(existing: DataFrame, external: DataFrame, prefer_external: bool =
     )
 
 
+def reconcile_bills(existing: DataFrame, external: DataFrame, prefer_external: bool = False,
+                    key: str = "bill_id") -> DataFrame:
+    """As `reconcile`, for two tables of one row per bill with field columns: one join by bill, merged column by column."""
+    ours = existing.select(key, *[F.col(f).alias(f"_a_{f}") for f in FIELDS])
+    theirs = external.select(key, *[F.col(f).alias(f"_b_{f}") for f in FIELDS])
+    prefer = {f: F.lit(prefer_external or f in PREFERRED_EXTERNAL) for f in FIELDS}
+    joined = ours.join(theirs, key, "full_outer")
+    return staged(joined, {f: merge_field(F.col(f"_a_{f}"), F.col(f"_b_{f}"), prefer[f]) for f in FIELDS}).select(
+        key, *FIELDS)
+
+
 EXTERNAL_RECORD = (
     "provider string, invoice_number string, account_number string, mprn string, gprn string, invoice_date string, "
     "billing_period string, line_items array<struct<description:string,quantity:double,unit:string,unit_price:double,"

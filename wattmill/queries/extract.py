@@ -258,7 +258,7 @@ def reconcile_fields(spark, sf):
     amount = F.col("field_name") == "subtotal"
 
     def merged(prefer_external: bool):
-        out = ex.reconcile(ex.to_long(own), ex.to_long(other), prefer_external)
+        out = ex.to_long(ex.reconcile_bills(own, other, prefer_external))
         return out.filter(F.col("field_name").isin("mprn", "subtotal")).select(
             F.lit("external" if prefer_external else "own").alias("preferred"), "bill_id", "field_name",
             F.when(~amount, F.col("value")).alias("value"),
@@ -267,7 +267,15 @@ def reconcile_fields(spark, sf):
     return merged(False).unionByName(merged(True))
 
 
-@query("external_fields")
+@query(
+    "external_fields",
+    rounded_sql(
+        """SELECT bill_id, unnest(['provider', 'mprn', 'account_number', 'day_kwh', 'day_rate', 'day_cost', 'subtotal']) AS field_name,
+             unnest(['ENERGIA', mprn, account, CAST(dk::DOUBLE AS VARCHAR), CAST(dr::DOUBLE AS VARCHAR), CAST(dc::DOUBLE AS VARCHAR),
+                     CASE WHEN bill_id % 4 = 0 THEN '1.0' ELSE CAST(net::DOUBLE AS VARCHAR) END]) AS value,
+             0.75::DOUBLE AS confidence, -1::INTEGER AS pattern_index FROM vals""",
+        "confidence", BILL_VALUES_SQL),
+)
 def external_fields(spark, sf):
     return ex.to_long(ex.external_fields(external_records(spark, sf)))
 
