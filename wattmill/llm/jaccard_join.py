@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,18 +65,24 @@ SENT = "to int, doc_ids array<long>, classes array<long>, sizes array<long>, cod
 SHARED = "doc_id long, class long, n long, shared long"
 
 
+def summed(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and the sum of their counts."""
+    found, at = np.unique(ids, return_inverse=True)
+    return found, np.bincount(at, counts, len(found)).astype(np.int64)
+
+
 def shared_counts(docs: DataFrame, whole: bool) -> DataFrame:
-    """Rows of (doc_id, class, n) for every document, and rows of (class, shared): codes also in other classes.
+    """Rows of (doc_id, class, n) for every document, and a row of (class, shared) per class: codes in others too.
 
     whole: all codes of a set are looked at, else the prefix that the filter needs.
     """
     parts = shuffle_width(docs.sparkSession)
     kinds, names = _kinds(SENT)
-    out_kinds, out_names = _kinds(SHARED)
+    _, out_names = _kinds(SHARED)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        size, turn = 0, 0
+        size, turn = 0, TaskContext.get().partitionId()
 
         def rows() -> Iterator[list]:
             owners = np.repeat(np.array(list(held), np.int64), [len(c) for c in held.values()])
@@ -119,13 +126,18 @@ def shared_counts(docs: DataFrame, whole: bool) -> DataFrame:
         if held:
             yield batch_of(list(rows()))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners, codes = [], []
-
-        def shared(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            none = pa.nulls(len(ids), pa.int64())
-            return pa.record_batch([none, pa.array(ids, pa.int64()), none, pa.array(counts, pa.int64())], out_names)
+    def by_class(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        """Counts packed by the task that adds up those of a class."""
+        to = ids % parts
+        order = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[order], np.arange(parts + 1))
+        filled = [k for k in range(parts) if edges[k] < edges[k + 1]]
+        cut = [order[edges[k]:edges[k + 1]] for k in filled]
+        columns = filled, [None] * len(cut), [ids[c] for c in cut], [counts[c] for c in cut], [None] * len(cut)
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, codes, ids, counts = [], [], [], []
         for batch in batches:
             for i in range(len(batch)):
                 _, doc_ids, classes, sizes, raw = (c[i] for c in batch.columns)
@@ -133,10 +145,10 @@ def shared_counts(docs: DataFrame, whole: bool) -> DataFrame:
                     owners.append(classes.values.to_numpy())
                     codes.append(np.frombuffer(raw.as_buffer(), "<u4"))
                 elif doc_ids.is_valid:
-                    yield pa.record_batch([doc_ids.values, classes.values, sizes.values,
-                                           pa.nulls(len(classes), pa.int64())], out_names)
+                    yield batch.slice(i, 1)
                 else:
-                    yield shared(classes.values.to_numpy(), sizes.values.to_numpy())
+                    ids.append(classes.values.to_numpy())
+                    counts.append(sizes.values.to_numpy())
         if codes:
             who, what = np.concatenate(owners), np.concatenate(codes)
             order = np.lexsort((who, what))
@@ -146,10 +158,30 @@ def shared_counts(docs: DataFrame, whole: bool) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], what[1:] != what[:-1]]))
             often = np.diff(np.append(first, len(what)))
             again = np.repeat(often > 1, often) & (who != SEVERAL)
-            yield shared(*np.unique(who[again], return_counts=True))
+            ids.append(who[again])
+            counts.append(np.ones(len(ids[-1]), np.int64))
+        if ids:
+            yield by_class(*summed(np.concatenate(ids), np.concatenate(counts)))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, SENT).repartitionById(
-        parts, F.col("to")).mapInArrow(count, SHARED)
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, counts = [], []
+        for batch in batches:
+            for i in range(len(batch)):
+                _, doc_ids, classes, sizes, _ = (c[i] for c in batch.columns)
+                if doc_ids.is_valid:
+                    yield pa.record_batch([doc_ids.values, classes.values, sizes.values,
+                                           pa.nulls(len(classes.values), pa.int64())], out_names)
+                else:
+                    ids.append(classes.values.to_numpy())
+                    counts.append(sizes.values.to_numpy())
+        if ids:
+            found, sums = summed(np.concatenate(ids), np.concatenate(counts))
+            none = pa.nulls(len(found), pa.int64())
+            yield pa.record_batch([none, pa.array(found, pa.int64()), none, pa.array(sums, pa.int64())], out_names)
+
+    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, SENT)
+    counted = sent.repartitionById(parts, F.col("to")).mapInArrow(count, SENT)
+    return counted.repartitionById(parts, F.col("to")).mapInArrow(add_up, SHARED)
 
 
 def class_table(rows: DataFrame) -> DataFrame:
