@@ -62,7 +62,7 @@ def test_equal_rules_with_two_verdicts_block(spark):
     assert url_rules.judged(pages, rules).collect()[0].verdict == "block"
 
 
-@pytest.mark.parametrize("module", [url_rules])
+@pytest.mark.parametrize("module", [url_rules, main_text, byte_shards])
 def test_query_equals_its_sql(spark, sample, module):
     assert oracle_check.compare(spark, oracle_check.connect(sample), module.NAME, sample).startswith("ok")
 

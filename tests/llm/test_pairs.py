@@ -147,5 +147,6 @@ def test_winnowing_finds_every_shared_window(spark, monkeypatch):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
-def test_decontamination_equals_its_sql(spark, sample):
-    assert oracle_check.compare(spark, oracle_check.connect(sample), decontaminate.NAME, sample).startswith("ok")
+@pytest.mark.parametrize("module", [decontaminate, jaccard_join])
+def test_queries_equal_their_sql(spark, sample, module):
+    assert oracle_check.compare(spark, oracle_check.connect(sample), module.NAME, sample).startswith("ok")

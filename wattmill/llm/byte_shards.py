@@ -19,7 +19,24 @@ from wattmill.llm.common import range_bucket, read_table, shuffle_width, written
 
 NAME = "op10_byte_shards"
 SHARDS = 8
-SQL = None
+# DuckDB has no crc32: the table of bytes follows from the polynomial, and each text is folded byte by byte.
+SQL = f"""
+WITH t AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY i) AS crc FROM range(256) AS r (i)),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size
+      FROM documents),
+s AS (SELECT *, sum(size) OVER () AS total,
+             coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+p AS (SELECT *, least({SHARDS - 1}, (2 * before + size) * {SHARDS} // (2 * total))::INTEGER AS shard FROM s)
+SELECT doc_id, size, xor(list_reduce(
+         [4294967295::BIGINT] || list_transform(range(0, length(h) // 2),
+                                                lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+         lambda c, b: xor(c >> 8, t.crc[xor(c & 255, b) + 1])), 4294967295) AS text_crc32,
+       'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot,
+       NULL::INTEGER AS grown_shard
+FROM p, t
+"""
 
 
 def byte_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

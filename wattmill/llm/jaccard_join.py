@@ -36,7 +36,25 @@ from wattmill.llm.signature_tree import tree_links
 from wattmill.llm.word_codes import mixed, set_code, shingle_sets
 
 NAME = "op7_jaccard_join"
-SQL = None  # components need a fixpoint over all links; the tests compare with brute force
+# All links by a join on shingles, components by walking along them.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+           lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+           ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
+  FROM w),
+t AS (SELECT rid, len(g) AS n, unnest(g) AS g FROM s),
+l AS (
+  SELECT a.rid AS x, b.rid AS y FROM t AS a JOIN t AS b ON a.g = b.g AND a.rid <> b.rid
+  GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT rid, rid AS y FROM s UNION SELECT r.rid, l.y FROM r JOIN l ON l.x = r.y)
+SELECT any_value(s.doc_id) AS doc_id, any_value(len(s.g)) AS n_shingles, min(e.doc_id) AS component_id
+FROM s JOIN r USING (rid) JOIN s AS e ON e.rid = r.y GROUP BY s.rid
+"""
 P, Q = 3, 4  # least similarity P / Q
 GROUP = 512  # classes in a task's group
 GROUP_CODES = 2_000_000  # codes in a task's group

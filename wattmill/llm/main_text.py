@@ -26,7 +26,18 @@ from pyspark.sql import functions as F
 from wattmill.llm.common import read_table
 
 NAME = "op6_main_text"
-SQL = None  # needs an HTML scanner
+# For the markup of the given pages alone: the blocks of the article.
+SQL = r"""
+WITH b AS (
+  SELECT page_id, url, list_transform(
+    string_split_regex(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' ', 'g'),
+                       '</?(?:p|h1)>'),
+    lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'),
+      '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks
+  FROM pages)
+SELECT page_id, url, text, length(text) AS n_chars
+FROM (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b)
+"""
 WINDOW = 3  # lines of a block
 SURGE = 80  # characters in a window that begin a region on pages without a marked main part
 
