@@ -40,6 +40,7 @@ class WordEncoder:
         self.blank_first = np.zeros(self.vocab_size, bool)
         self.blank_first[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.cache: dict[str, bytes | int] = {}
+        self.any_uncut = False
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -72,7 +73,7 @@ class WordEncoder:
                 continue
             words = ("\0" + text).replace("\n", " \n").split(" ")
             found = list(map(get, words))
-            gaps = [i for i, v in enumerate(found) if v is None] if None in found else []
+            gaps = [i for i, v in enumerate(found) if v is None]
             lost = [words[i] for i in gaps]
             new.update(lost)
             cut.append((found, gaps, lost))
@@ -85,7 +86,7 @@ class WordEncoder:
             found, gaps, lost = parts
             for i, w in zip(gaps, lost):
                 found[i] = self.cache[w]
-            out.append(self.whole(text) if UNCUT in found else b"".join(found))
+            out.append(self.whole(text) if self.any_uncut and UNCUT in found else b"".join(found))
         return out
 
     def _learn(self, words: Iterable[str]) -> None:
@@ -102,6 +103,7 @@ class WordEncoder:
                     parts.add(tail)
             elif not text or text[0].isspace() or text[-1].isspace():
                 cache[w] = UNCUT
+                self.any_uncut = True
                 continue
             else:
                 first, tail = text if text is w else "\0" + text, ""
