@@ -19,6 +19,12 @@ class ParsedSheets:
     report: DataFrame
     issues: DataFrame
     mapping: DataFrame
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give back what was kept for the branches; call it once the results are written."""
+        for table in self.kept:
+            table.unpersist()
 
 
 def parse_sheets(
@@ -29,7 +35,8 @@ def parse_sheets(
 ) -> ParsedSheets:
     """Detect or take the mapping, clean, check and add features; all results are lazy DataFrames.
 
-    `edited_mapping` has the `*_col` names per file and replaces detection.
+    `edited_mapping` has the `*_col` names per file and replaces detection. The mapping and the clean rows are kept
+    (in memory and on disk, rebuilt where an executor is lost), as all branches read them, until `release`.
     """
     if edited_mapping is None:
         chosen = mapping.build_mapping(mapping.detect_columns(rows, headers))
@@ -38,7 +45,7 @@ def parse_sheets(
     # One small row per file, used by every branch below.
     validated = mapping.validate_mapping(chosen, headers).persist()
     parsed = cleaning.parse_rows(cleaning.rename_columns(rows, validated))
-    deduped = cleaning.drop_duplicates(parsed)
+    deduped = cleaning.drop_duplicates(parsed).persist()
     counts = cleaning.row_counts(parsed, deduped)
     # Files with a bad mapping have raw rows but no parsed ones.
     rejected = (
@@ -64,4 +71,5 @@ def parse_sheets(
         report=quality.quality_report(totals, checks, issues),
         issues=issues,
         mapping=validated,
+        kept=(validated, deduped),
     )
