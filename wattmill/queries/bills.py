@@ -123,7 +123,8 @@ PRORATED = ", ".join(f"sum({c} * days / (period_end - period_start)) AS {c}" for
             total_cost / days_covered AS cost_per_day, total_kwh / days_covered AS kwh_per_day
             FROM (SELECT client_id, month, {PRORATED}, sum(days)::BIGINT AS days_covered FROM segments
                   GROUP BY client_id, month)""",
-        ", ".join([*bl.PRORATED, "cost_per_day", "kwh_per_day"]), f"{BILLS_SQL},{SEGMENTS_SQL}"),
+        ", ".join([*bl.PRORATED, "cost_per_day", "kwh_per_day"]), f"{BILLS_SQL},{SEGMENTS_SQL}", digits=9),
+    digits=9,
 )
 def bill_monthly(spark, sf):
     return bl.monthly_prorated(compared(spark, sf), BY)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 Query = Callable[[SparkSession, str], DataFrame]
-DIGITS = 9
+DIGITS = 8
 MODULES = ("meter", "quality", "bills", "verify", "extract", "spatial", "sources")
 
 _QUERIES: dict[str, Query] = {}
@@ -36,11 +36,12 @@ def rounded_sql(body: str, doubles: str, ctes: str = "", digits: int = DIGITS) -
     return f"{head}SELECT * REPLACE ({items}) FROM (\n{body}\n) AS r"
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, digits: int = DIGITS) -> Callable[[Query], Query]:
+    """Register a query; `digits` where results often end on half a unit of the usual last digit."""
     def add(fn: Query) -> Query:
         if name in _QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        _QUERIES[name] = lambda spark, sf: rounded(fn(spark, sf))
+        _QUERIES[name] = lambda spark, sf: rounded(fn(spark, sf), digits)
         if sql is not None:
             _SQL[name] = sql
         return fn
