@@ -16,8 +16,9 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES = 600_000  # words kept by a Python worker
-CHUNK_CHARS = 1 << 22  # text handled between two looks at the cache
+CACHE_ENTRIES = 400_000  # words kept by a Python worker
+CHUNK_CHARS = 1 << 20  # text handled between two looks at the cache
+ROWS = 512  # documents of a batch that are Python objects at once
 JOIN_CHARS = 1 << 16  # new words given to the tokenizer at once
 MARKS = ",.!?;:#$%&*|"  # marks that always start a pre-token after a letter
 UNCUT = 0  # cache value of a word with white space at an end: its text is encoded whole

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattmill.llm.bpe import encoder
+from wattmill.llm.bpe import ROWS, encoder
 from wattmill.llm.common import range_bucket, read_table, shuffle_width, written
 
 NAME = "op3_packing"
@@ -41,7 +41,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end: int, width: int) -> DataFr
         words, part, fulls = encoder(vocabulary), TaskContext.get().partitionId(), 0
         step = words.dtype.itemsize
         tail = np.array([end], words.dtype).tobytes()
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             rows: list[list] = [[] for _ in range(7)]
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1).to_pylist())):
                 ids += tail

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattmill.llm.bpe import encoder
+from wattmill.llm.bpe import ROWS, encoder
 from wattmill.llm.common import dealt_by_range, read_table, scratch_path, shuffle_width, written
 
 NAME = "op1_token_files"
@@ -68,10 +68,12 @@ def tokenized(docs: DataFrame, vocabulary: str, end: int | None) -> DataFrame:
         words = encoder(vocabulary)
         tail = b"" if end is None else np.array([end], words.dtype).tobytes()
         for batch in batches:
-            ids = [x + tail for x in words.encode_all(batch.column(1).to_pylist())]
-            counts = [len(x) // words.dtype.itemsize for x in ids]
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int32()),
-                                   pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                ids = [x + tail for x in words.encode_all(part.column(1).to_pylist())]
+                counts = [len(x) // words.dtype.itemsize for x in ids]
+                yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(counts, pa.int32()),
+                                       pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens int, ids binary")
 
