@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20  # of an Arrow batch
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, from `spark.checkpoint.dir`; local sessions without one get a temporary folder."""
@@ -44,6 +46,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding what a Python worker is sent at once: whole texts in default batches fill its memory."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+                      ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(conf.get(key, "0") or 0)
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def fits(df: DataFrame, most: int) -> bool:
     """True when df has at most `most` rows; looks at no more than that."""
     return df.limit(most + 1).count() <= most

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattmill.llm.common import checkpointed, fits, read_table, shuffle_width, written
+from wattmill.llm.common import checkpointed, fits, in_small_batches, read_table, shuffle_width, written
 from wattmill.llm.signature_tree import tree_links
 from wattmill.llm.word_codes import mixed, set_code, shingle_sets
 
@@ -197,7 +197,7 @@ def shared_counts(docs: DataFrame, whole: bool) -> DataFrame:
             none = pa.nulls(len(found), pa.int64())
             yield pa.record_batch([none, pa.array(found, pa.int64()), none, pa.array(sums, pa.int64())], out_names)
 
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, SENT)
+    sent = in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(send, SENT)
     counted = sent.repartitionById(parts, F.col("to")).mapInArrow(count, SENT)
     return counted.repartitionById(parts, F.col("to")).mapInArrow(add_up, SHARED)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattmill.llm.common import read_table
+from wattmill.llm.common import in_small_batches, read_table
 from wattmill.llm.grams import gram_counts
 from wattmill.llm.word_codes import word_codes
 
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Neighbours:
     chosen = labels.groupBy("doc_id").agg(F.min("quality").alias("label")).filter(
         F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id"))).orderBy(
         F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.col("doc_id").alias("labelled_id"), "label")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select(
+    texts = in_small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select(
         "doc_id", "label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattmill.llm.common import fits, read_table
+from wattmill.llm.common import fits, in_small_batches, read_table
 from wattmill.llm.grams import gram_buckets
 from wattmill.llm.word_codes import run_codes, word_codes
 
@@ -77,7 +77,7 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log(trusted / raw) of each bucket."""
     ids = trusted_ids(labels)
     ids = F.broadcast(ids) if fits(ids, MOST_BROADCAST) else ids
-    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left").select(
+    marked = in_small_batches(docs).select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left").select(
         "text", F.col("trusted_id").isNotNull().alias("trusted"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

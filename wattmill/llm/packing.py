@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattmill.llm.bpe import ROWS, encoder
-from wattmill.llm.common import range_bucket, read_table, shuffle_width, written
+from wattmill.llm.common import in_small_batches, range_bucket, read_table, shuffle_width, written
 
 NAME = "op3_packing"
 SQL = None  # needs a tokenizer
@@ -57,7 +57,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end: int, width: int) -> DataFr
             yield pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds)],
                                   [x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
 
 def pack_histogram(counts: dict[int, int], width: int) -> list[tuple[tuple[int, ...], int]]:

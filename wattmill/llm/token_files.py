@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattmill.llm.bpe import ROWS, encoder
-from wattmill.llm.common import dealt_by_range, read_table, scratch_path, shuffle_width, written
+from wattmill.llm.common import dealt_by_range, in_small_batches, read_table, scratch_path, shuffle_width, written
 
 NAME = "op1_token_files"
 SQL = None  # needs a tokenizer
@@ -75,7 +75,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end: int | None) -> DataFrame:
                 yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(counts, pa.int32()),
                                        pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens int, ids binary")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens int, ids binary")
 
 
 def ranked_ids(tokens: DataFrame, vocabulary: str) -> DataFrame:
