@@ -51,7 +51,7 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
                       ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(conf.get(key, "0") or 0)
+        now = int((conf.get(key, None) or "0").rstrip("b"))  # sizes read back with their unit
         if not 0 < now <= most:
             conf.set(key, str(most))
     return df
