@@ -58,7 +58,7 @@ FROM s JOIN r USING (rid) JOIN s AS e ON e.rid = r.y GROUP BY s.rid
 P, Q = 3, 4  # least similarity P / Q
 GROUP = 512  # classes in a task's group
 GROUP_CODES = 2_000_000  # codes in a task's group
-HELD_CODES = 4_000_000  # codes a task holds before it sends them
+HELD_CODES = 1_000_000  # codes a task holds before it sends them
 MOST_BROADCAST = 2_000_000  # ids that are broadcast
 SEVERAL = -1  # owner of a code that a task has seen in two classes or more
 
