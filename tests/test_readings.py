@@ -82,3 +82,11 @@ def test_negative_imports_and_missing_values(spark):
     got = rows(cleaning.parse_rows(df).select("import_kwh", "export_kwh", "cost", "mprn", "date_swapped", F.col("datetime").cast("date").cast("string")), "row_idx")
     assert got == [(0.0, 2.5, 3.0, "Unknown", False, "2025-02-01"), (1000.5, 0.0, None, "Unknown", True, "2025-02-13"),
                    (None, 0.0, None, "Unknown", False, "2025-02-03")]
+
+
+def test_every_spike_day_is_a_row_and_the_finding_shows_five(spark):
+    series = _series(spark, lambda d, h: 1.0 if d % 15 == 3 else 0.05, days=105)
+    days = rows(anomalies.spike_days(series).select(F.col("spike_date").cast("string")), "spike_date")
+    assert days == [(str(dt.date(2025, 1, 1) + dt.timedelta(days=d)),) for d in range(3, 105, 15)] and len(days) == 7
+    found, = anomalies.detect_anomalies(series, rules=["consumption_spikes"]).collect()
+    assert found["value"] == 7 and [(str(d),) for d in found["dates"]] == days[:5]

@@ -89,6 +89,24 @@ def _weekday_hours(readings: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _with_spikes(days: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Daily rows with daily_mean, daily_std, threshold and is_spike."""
+    per_meter = Window.partitionBy(*keys)
+    return days.withColumns(
+        {
+            "daily_mean": F.avg("import_kwh").over(per_meter),
+            "daily_std": F.coalesce(F.stddev_samp("import_kwh").over(per_meter), F.lit(0.0)),
+        }
+    ).withColumn("threshold", F.col("daily_mean") + SPIKE_SIGMAS * F.col("daily_std")).withColumn(
+        "is_spike", (F.col("daily_std") > 0) & (F.col("import_kwh") > F.col("threshold")))
+
+
+def spike_days(readings: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, spike_date, threshold) of every spike day; a finding prints the first SPIKE_DATES_SHOWN of them."""
+    return _with_spikes(daily_rollup(readings, keys), keys).filter("is_spike").select(
+        *keys, F.col("date").alias("spike_date"), "threshold")
+
+
 def meter_metrics(
     readings: DataFrame,
     tariffs: DataFrame | None = None,
@@ -97,14 +115,8 @@ def meter_metrics(
 ) -> DataFrame:
     """One row per meter with everything the rules need; `parts` leaves out what is not asked for."""
     days = daily_rollup(readings, keys)
-    per_meter = Window.partitionBy(*keys)
-    spread = days.withColumns(
-        {
-            "daily_mean": F.avg("import_kwh").over(per_meter),
-            "daily_std": F.coalesce(F.stddev_samp("import_kwh").over(per_meter), F.lit(0.0)),
-        }
-    ).withColumn("threshold", F.col("daily_mean") + SPIKE_SIGMAS * F.col("daily_std"))
-    is_spike = (F.col("daily_std") > 0) & (F.col("import_kwh") > F.col("threshold"))
+    spread = _with_spikes(days, keys)
+    is_spike = F.col("is_spike")
     metrics = spread.groupBy(*keys).agg(
         *meter_totals(),
         (F.min("min_kwh") * INTERVALS_PER_HOUR).alias("phantom_kw"),
@@ -113,9 +125,7 @@ def meter_metrics(
         F.count_if(is_spike).alias("spike_days"),
         F.sum(F.when(is_spike, F.col("import_kwh") - F.col("daily_mean"))).alias("spike_excess"),
         # One entry per spike date: bounded by the calendar.
-        F.slice(F.array_sort(F.collect_list(F.when(is_spike, F.col("date")))), 1, SPIKE_DATES_SHOWN).alias(
-            "spike_dates"
-        ),
+        F.array_sort(F.collect_list(F.when(is_spike, F.col("date")))).alias("spike_dates"),
         F.sum("daytime_import_kwh").alias("daytime_import_kwh"),
         F.sum("daytime_export_kwh").alias("daytime_export_kwh"),
         (ratio(F.sum("late_kwh"), F.sum("late_readings")) * INTERVALS_PER_HOUR).alias("late_kw"),
@@ -189,7 +199,7 @@ def _spikes(costed: bool = True) -> Column:
             "consumption_spikes", F.concat(days.cast("string"), F.lit(" Days with Unusual Spikes")), "info",
             "anomaly" if costed else None,
             _annual(F.col("spike_excess")) * blended_rate() if costed else None,
-            days, F.col("spike_dates"), threshold=F.col("spike_threshold"), daily_mean=F.col("daily_mean"),
+            days, F.slice("spike_dates", 1, SPIKE_DATES_SHOWN), threshold=F.col("spike_threshold"), daily_mean=F.col("daily_mean"),
         ),
     )
 

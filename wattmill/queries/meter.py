@@ -398,10 +398,7 @@ def anomaly_all(spark, sf):
         f"{READINGS_SQL},{DAILY_SQL},{SPIKES_CTE}"),
 )
 def anomaly_spike_dates(spark, sf):
-    found = an.detect_anomalies(readings(spark, sf), rules=["consumption_spikes"])
-    return found.select(
-        "mprn", F.explode("dates").alias("spike_date"), F.col("context")["threshold"].cast("double").alias("threshold")
-    )
+    return an.spike_days(readings(spark, sf))
 
 
 @query(
