@@ -3,6 +3,7 @@
 import collections
 import re
 
+import numpy as np
 from conftest import LABELS, as_docs, prose
 
 from wattmill.llm import neighbour_vote, ngram_ratio
@@ -106,3 +107,34 @@ def test_grams_cover_long_texts(monkeypatch):
     monkeypatch.setattr("wattmill.llm.grams.SLICE", 100)
     assert (gram_counts(text, 12) == whole).all() and whole.sum() == len(text) - 2
     assert not list(gram_buckets(None, 12)) and not list(gram_buckets("ab", 12))
+
+
+def test_ratio_counts_every_ngram_by_itself(spark, monkeypatch):
+    """Plain counting of byte n-grams, over many chunks: no two n-grams share a count."""
+    monkeypatch.setattr(ngram_ratio, "CHUNK_BYTES", 1)
+    clean, junk, odd = rows()
+    size, good = ngram_ratio.SIZE, set(range(39))
+
+    def grams(text):
+        raw = (text or "").encode()
+        return collections.Counter(raw[i:i + size] for i in range(len(raw) - size + 1))
+
+    raw, trusted = collections.Counter(), collections.Counter()
+    for i, t in clean + junk + odd:
+        raw += grams(t)
+        if i in good:
+            trusted += grams(t)
+    share = sum(trusted.values()) / sum(raw.values())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        docs = as_docs(spark, clean + junk + odd).repartition(3)
+        got = collections.Counter((r.doc_id, r.n_words, round(r.log_ratio, 6)) for r in ngram_ratio.judged(
+            docs, labels(spark)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = collections.Counter()
+    for i, t in clean + junk + odd:
+        n = grams(t)
+        total = sum(c * np.log((trusted[g] + share) / (raw[g] + 1) / share) for g, c in n.items())
+        want[i, base(t)[0], round(float(total / n.total()) if n else 0.0, 6)] += 1
+    assert got == want

@@ -28,3 +28,29 @@ def gram_counts(text: str | None, bits: int, size: int = 3) -> np.ndarray:
     for buckets in gram_buckets(text, bits, size):
         total += np.bincount(buckets, minlength=1 << bits)
     return total
+
+
+def gram_codes(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of `size` bytes (at most 7) of the UTF-8 text, sorted, each as one number, and their counts."""
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    for at in range(0, max(0, len(raw) - size + 1), SLICE):
+        part = raw[at:at + SLICE + size - 1].astype(np.int64)
+        n = len(part) - size + 1
+        code = part[:n].copy()
+        for k in range(1, size):
+            code = code << 8 | part[k:k + n]
+        codes, counts = added([(codes, counts), np.unique(code, return_counts=True)])
+    return codes, counts
+
+
+def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(codes, counts, ...) of several parts as one, sorted, with the counts of equal codes added up."""
+    parts = [p for p in parts if len(p[0])] or parts[:1]
+    if len(parts) < 2:
+        return parts[0]
+    codes = np.concatenate([p[0] for p in parts])
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    return codes[first], *(np.add.reduceat(np.concatenate(c)[order], first) for c in list(zip(*parts))[1:])

@@ -1,10 +1,14 @@
-"""Quality rules with a hashed n-gram likelihood ratio between trusted documents and the whole corpus.
+"""Quality rules with an n-gram likelihood ratio between trusted documents and the whole corpus.
 
-Two multinomials over hashed byte n-grams are counted: one over the trusted documents (labelled quality 1 and not
-toxic), one over all documents. The verdict of a document is the mean over its n-grams of log(trusted / raw), both
-smoothed, against a fixed threshold: a text as the trusted ones has about 0, a text of n-grams that trusted documents
-hardly use is far below. Counting keeps one vector per task and sums buckets, so what moves is bounded by tasks and
-buckets; the table of ratios has 2**BITS entries at any corpus size.
+Two multinomials over byte n-grams of SIZE bytes are counted: one over the trusted documents (labelled quality 1 and not
+toxic), one over all documents. An n-gram is its own number, so none share a count and the counted table grows with the
+corpus. The verdict of a document is the mean over its n-grams of log(trusted / raw), both smoothed towards the share of
+the trusted ones, against a fixed threshold: a text as the trusted ones has about 0, a text of n-grams that trusted
+documents hardly use is far below.
+
+The documents are written in chunks of bounded size. A task sends each n-gram of a chunk once, with its counts; counts
+are added up over all chunks, and the sums of n-grams that occur in several chunks go back to those chunks, where they
+meet the texts. All other n-grams have the chunk's own counts.
 
 Null and empty texts have no words and fail the base rules; a text without n-grams has ratio 0. Without trusted
 documents all ratios are 0 and the base rules alone decide. Repeated rows are judged alike and all counted; rows with a
@@ -17,19 +21,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
-from wattmill.llm.common import fits, in_small_batches, read_table
-from wattmill.llm.grams import gram_buckets
+from wattmill.llm.common import fits, in_small_batches, read_table, written
+from wattmill.llm.grams import added, gram_codes
 from wattmill.llm.word_codes import run_codes, word_codes
 
 NAME = "op8_ngram_ratio"
-SQL = None  # needs the hashed counts
-BITS = 16
+SQL = None  # needs the counts of byte n-grams
+SIZE = 6  # bytes of an n-gram
 SMOOTHING = 1.0
+CHUNK_BYTES = 12 << 20  # of rows that meet their n-grams together; larger ones send fewer repeats
+MERGE = 1 << 20  # n-grams of texts that are held before they are merged
+FIELDS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+          "log_ratio double, base_failed boolean, kept boolean")
 THRESHOLD = float(np.log(0.5))  # n-grams on average half as likely among trusted documents
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -73,68 +83,116 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
         "good and doc_id is not null").select(F.col("doc_id").alias("trusted_id"))
 
 
-def bucket_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """log(trusted / raw) of each bucket."""
+def in_chunks(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs as a written table with `__trusted` and `__chunk`, the same number for rows of about CHUNK_BYTES."""
     ids = trusted_ids(labels)
     ids = F.broadcast(ids) if fits(ids, MOST_BROADCAST) else ids
-    marked = in_small_batches(docs).select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left").select(
-        "text", F.col("trusted_id").isNotNull().alias("trusted"))
+    marked = in_small_batches(docs).join(ids.withColumnRenamed("trusted_id", "__id"), F.col("doc_id") == F.col("__id"),
+                                         "left").withColumn("__trusted", F.col("__id").isNotNull()).drop("__id")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            if held >= CHUNK_BYTES:
+                chunk, held = chunk + 1, 0
+            held += batch.nbytes
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), chunk, np.int64))],
+                                             names=[*batch.schema.names, "__chunk"])
+
+    schema = StructType([*marked.schema.fields, StructField("__chunk", LongType())])
+    return written(marked.mapInArrow(number, schema), "ratio-chunks")
+
+
+class Counts:
+    """n-grams of texts with their counts, merged every MERGE of them."""
 
+    def __init__(self) -> None:
+        none = np.empty(0, np.int64)
+        self.parts, self.held = [(none, none, none)], 0
+
+    def add(self, text: str | None, trusted: bool) -> None:
+        grams, n = gram_codes(text, SIZE)
+        self.parts.append((grams, n, n * trusted))
+        self.held += len(grams)
+        if self.held >= max(MERGE, len(self.parts[0][0])):
+            self.sums()
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.parts, self.held = [added(self.parts)], 0
+        return self.parts[0]
+
+
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """(chunk, gram, raw, trusted), each n-gram of a chunk once per task that reads rows of it."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 << BITS), np.int64)
+        def sent(chunk: int, counts: Counts) -> pa.RecordBatch:
+            sums = counts.sums()
+            return pa.record_batch([pa.array(np.full(len(sums[0]), chunk, np.int64)), *map(pa.array, sums)],
+                                   ["chunk", "gram", "raw", "trusted"])
+
+        chunk, counts = None, Counts()
         for batch in batches:
-            for text, trusted in zip(batch.column(0), batch.column(1)):
-                for buckets in gram_buckets(text.as_py(), BITS):
-                    n = np.bincount(buckets, minlength=1 << BITS)
-                    sums[0] += n
-                    if trusted.as_py():
-                        sums[1] += n
-        seen = np.flatnonzero(sums[0])
-        yield pa.record_batch([pa.array(seen, pa.int32()), pa.array(sums[0][seen]), pa.array(sums[1][seen])],
-                              ["bucket", "raw", "trusted"])
-
-    counts = marked.mapInArrow(count, "bucket int, raw long, trusted long").groupBy("bucket").agg(
-        F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toPandas()  # 2**BITS rows at most
-    raw, trusted = np.full((2, 1 << BITS), SMOOTHING)
-    raw[counts["bucket"]] += counts["raw"]
-    trusted[counts["bucket"]] += counts["trusted"]
-    if not counts["trusted"].sum():
-        return np.zeros(1 << BITS, np.float32)
-    return (np.log(trusted / trusted.sum()) - np.log(raw / raw.sum())).astype(np.float32)
-
-
-def quality_columns(ratios: np.ndarray) -> Column:
-    """A struct of the base counts, the mean log ratio, base_failed and kept, from the column `text`."""
-    fields = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-              "log_ratio double, base_failed boolean, kept boolean")
-
-    @F.pandas_udf(fields)
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, base in zip(texts, base_counts(list(texts))):
-            total, n = 0.0, 0
-            for buckets in gram_buckets(text, BITS):
-                total += float(ratios[buckets].sum(dtype=np.float64))
-                n += len(buckets)
-            ratio = total / n if n else 0.0
+            for at, text, trusted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                if at != chunk and chunk is not None:
+                    yield sent(chunk, counts)
+                    counts = Counts()
+                chunk = at
+                counts.add(text.as_py(), trusted)
+        if chunk is not None:
+            yield sent(chunk, counts)
+
+    return chunks.select("__chunk", "text", "__trusted").mapInArrow(
+        count, "chunk long, gram long, raw long, trusted long")
+
+
+def shared_sums(counts: DataFrame) -> DataFrame:
+    """counts of the n-grams that occur in several places, as sums over all places."""
+    everywhere = Window.partitionBy("gram")
+    return counts.select("chunk", "gram", *[F.sum(c).over(everywhere).alias(c) for c in ("raw", "trusted")],
+                         F.count("*").over(everywhere).alias("places")).filter("places > 1").drop("places")
+
+
+def with_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with `__rules`: a struct of the base counts, the mean log ratio, base_failed and kept."""
+    chunks = in_chunks(docs, labels)
+    n = F.greatest(F.octet_length("text") - (SIZE - 1), F.lit(0)).cast("long")
+    raw_all, trusted_all = chunks.agg(F.sum(n), F.sum(F.when(F.col("__trusted"), n))).first()
+    share = (trusted_all or 0) / (raw_all or 1)  # of the trusted n-grams
+    schema = StructType([*docs.schema.fields, StructField("__rules", _parse_datatype_string(FIELDS))])
+    names, fields = docs.columns, [f.split()[0] for f in FIELDS.split(", ")]
+    types = to_arrow_schema(schema)
+
+    def judge(rows: pa.Table, sums: pa.Table) -> pa.Table:
+        counts = Counts()
+        for text, good in zip(rows["text"], rows["__trusted"].to_pylist()):
+            counts.add(text.as_py(), good)
+        known, raw, trusted = (x.copy() for x in counts.sums())
+        at = np.searchsorted(known, sums["gram"].to_numpy())
+        raw[at], trusted[at] = sums["raw"].to_numpy(), sums["trusted"].to_numpy()
+        ratios = np.zeros(len(known))
+        if share:
+            ratios = np.log((trusted + SMOOTHING * share) / (raw + SMOOTHING)) - np.log(share)
+        out = []
+        for text, base in zip(rows["text"], base_counts(rows["text"].to_pylist())):
+            codes, n = gram_codes(text.as_py(), SIZE)
+            ratio = float(ratios[np.searchsorted(known, codes)] @ n / n.sum()) if len(codes) else 0.0
             failed = base[0] < MIN_WORDS or 100 * base[4] > MAX_REPEAT_PERCENT * base[0]
-            rows.append((*base, ratio, failed, not failed and ratio >= THRESHOLD))
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in fields.split(", ")])
+            out.append(dict(zip(fields, (*base, ratio, failed, not failed and ratio >= THRESHOLD))))
+        return pa.table([*(rows[c] for c in names), pa.array(out, types.field("__rules").type)], schema=types)
 
-    return judge(F.col("text"))
+    pairs = chunks.groupBy("__chunk").cogroup(shared_sums(chunk_counts(chunks)).groupBy("chunk"))
+    return pairs.applyInArrow(judge, schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with the columns of quality_columns."""
-    return docs.withColumn("rules", quality_columns(bucket_ratios(docs, labels))).withColumns(
-        {c: F.col(f"rules.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                                          "log_ratio", "base_failed", "kept")}).drop("rules")
+    """docs with the columns of FIELDS."""
+    columns = [f.split()[0] for f in FIELDS.split(", ")]
+    return with_rules(docs, labels).withColumns({c: F.col(f"__rules.{c}") for c in columns}).drop("__rules")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that pass, with their own columns alone."""
-    verdict = quality_columns(bucket_ratios(docs, labels))
-    return docs.withColumn("__rules", verdict).filter("__rules.kept").drop("__rules")
+    return with_rules(docs, labels).filter("__rules.kept").drop("__rules")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
