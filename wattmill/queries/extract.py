@@ -285,9 +285,8 @@ def external_fields(spark, sf):
 CRITICAL = ["mprn", "subtotal", "total_incl_vat", "vat_amount"]
 
 
-def _truth(spark, sf):
-    """Ground truth in long form, with the fields that do not apply per bill."""
-    v = bill_values(spark, sf).filter("NOT scanned")
+def truth_of(v):
+    """Ground truth of bill values in long form, with the fields that do not apply per bill."""
     values = {"mprn": "mprn", "subtotal": "net", "vat_amount": "vat", "total_incl_vat": "total", "day_kwh": "dk", "night_kwh": "nk"}
     expected = F.create_map(*[x for f, c in values.items() for x in (F.lit(f), F.col(c).cast("string"))])
     return v.select(
@@ -300,6 +299,10 @@ def _truth(spark, sf):
     )
 
 
+def _truth(spark, sf):
+    return truth_of(bill_values(spark, sf).filter("NOT scanned"))
+
+
 def _scored(spark, sf):
     native = extract_bills(_documents(spark, sf)).filter("is_native").withColumn("filename", F.col("bill_id").cast("string"))
     fields = ex.to_long(native, "filename")
