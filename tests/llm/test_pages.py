@@ -155,3 +155,16 @@ def test_shards_are_contiguous_and_even(spark, rows):
     for part in by_shard.values():
         assert [r.slot for r in part] == list(range(len(part)))
         assert abs(sum(r["size"] for r in part) - target) <= max(r["size"] for r in got)
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article class='overflow-hidden'><p>a</article>", "a"), ("<article aria-hidden='false'><p>a</article>", "a"),
+    ("<article><p>a</p><p hidden>b</p><p HIDDEN=''>c</p><p aria-hidden=true>d</p><p style='x:y;display: none'>e</p>"
+     "<p data-x='hidden'>f</p></article>", "a\nf"),
+    (f"<p>{LONG}</p><nav>1</nav><nav>2</nav><nav>3</nav><p>The end.</p>", f"{LONG}\nThe end."),
+    (f"<p>T</p><p>by me</p><p>2020</p><p>Town</p><p>{LONG}</p>", f"T\nby me\n2020\nTown\n{LONG}"),
+    (f"<p>{LONG} <a href=x>more</a></p><ul>" + f"<li><a href='y'>{LONG}</a></li>" * 4 + "</ul>", f"{LONG} more"),
+    (f"<ul>{'<li><a href=y>Another page</a></li>' * 9}</ul><p><a name=z>{LONG}</p>", LONG),
+])
+def test_regions_hold_short_lines_and_no_link_lists(page, want):
+    assert main_text.main_text(page) == want

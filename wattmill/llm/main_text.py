@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element. A line weighs its characters, or nothing where the markup says that
-it is no article text: menus, page headers, footers, sidebars, notices, adverts, forms, reader comments, and, on pages
-that mark their main part, all that lies outside it. Weights are summed over sliding windows of lines. A region begins
-where the sum surges (at a line that weighs something) and ends where it dives to nothing; the weighing lines between a
-surge and the next dive are the text. On pages without a marked main part a surge needs `SURGE` characters in the
-window; if no region surges so far, the one with the largest window is kept.
+Markup is stripped into lines, one per block element. Lines that the markup says are no article text (menus, page
+headers, footers, sidebars, notices, adverts, forms, reader comments, hidden elements) are set aside first and part no
+region. On pages that mark their main part (`main`, else `article`) the mark overrides the method: all lines inside are the
+text, none outside. On all other pages a line weighs its characters outside links, and weights are summed over sliding
+windows of lines: a region begins where the sum surges to `SURGE` characters, with the weighing lines that lead into it,
+and ends where it dives to nothing, at a run of links; all lines in between are the text. If no region surges, the one
+with the largest window is kept.
 
 Scripts, styles and other raw elements are skipped with their content, comments and declarations as well; an unfinished
 tag at the end is markup. Character references are decoded once; runs of white space become one blank; blocks are joined
@@ -39,14 +40,14 @@ SELECT page_id, url, text, length(text) AS n_chars
 FROM (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b)
 """
 WINDOW = 3  # lines of a block
-SURGE = 80  # characters in a window that begin a region on pages without a marked main part
+SURGE = 80  # characters outside links in a window that begin a region, on pages without a marked main part
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+NAMED = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 RAW = frozenset("script style noscript template svg math iframe object textarea select button title canvas audio video"
                 .split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,25 +71,44 @@ def words_of(attributes: str) -> set[str]:
     return set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", found).lower()))
 
 
-def lines_of(page: str) -> Iterator[tuple[str, bool, str | None]]:
-    """(text, is it set aside, innermost of main and article around it) of every block with text, in page order."""
+def is_hidden(attributes: str) -> bool:
+    """By an attribute named hidden, aria-hidden=true or a style without display; not by words inside other values."""
+    for name, value in NAMED.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or (name == "aria-hidden" and value.strip() == "true") or (
+                name == "style" and re.search(r"display\s*:\s*none", value)):
+            return True
+    return False
+
+
+def lines_of(page: str) -> Iterator[tuple[str, bool, str | None, int]]:
+    """(text, is it set aside, innermost of main and article around it, characters outside links) of every block with
+    text, in page order."""
     parts: list[str] = []
+    links: list[str] = []  # the parts inside links
+    in_link = False
     aside: list[str] = []  # the element that is set aside, then those of its name inside it
     comments = False
     main: list[str] = []
     at, end = 0, len(page)
 
-    def line() -> tuple[str, bool, str | None] | None:
+    def line() -> tuple[str, bool, str | None, int] | None:
         text = " ".join("".join(parts).split())
+        free = len(text.replace(" ", "")) - sum(len("".join(x.split())) for x in links)
         parts.clear()
-        return (text, bool(aside), "main" if "main" in main else main[-1] if main else None) if text else None
+        links.clear()
+        return (text, bool(aside), "main" if "main" in main else main[-1] if main else None, free) if text else None
 
     while at < end:
         found = MARKUP.search(page, at)
         if not found:
             parts.append(html.unescape(page[at:]))
+            if in_link:
+                links.append(parts[-1])
             break
         parts.append(html.unescape(page[at:found.start()]))
+        if in_link:
+            links.append(parts[-1])
         at = found.end()
         if not found["tag"]:
             continue
@@ -99,6 +119,10 @@ def lines_of(page: str) -> Iterator[tuple[str, bool, str | None]]:
                 yield made
         elif tag in CELLS:
             parts.append(" ")
+        if tag == "a":
+            in_link = not closing and any(name.lower() == "href" for name, _ in NAMED.findall(rest))
+        elif closing and tag in BLOCKS:  # also ends a link that was never closed
+            in_link = False
         if closing:
             if aside and tag == aside[-1]:
                 aside.pop()
@@ -120,7 +144,7 @@ def lines_of(page: str) -> Iterator[tuple[str, bool, str | None]]:
         else:
             words = words_of(rest) if rest else set()
             out = tag in ASIDE or words & ASIDE_WORDS or (
-                not main and (tag == "header" or words & HEADER_WORDS)) or HIDDEN.search(rest)
+                not main and (tag == "header" or words & HEADER_WORDS)) or is_hidden(rest)
             if out and tag not in ("html", "body", "main"):
                 if made := line():
                     yield made
@@ -149,14 +173,23 @@ def regions(weights: list[int], surge: int) -> list[tuple[int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    lines = list(lines_of(page or ""))
-    marked = next((m for m in ("main", "article") if any(part == m and not out for _, out, part in lines)), None)
-    weights = [0 if out or (marked and part is None) or (marked == "main" and part != "main") else len(text)
-               for text, out, part in lines]
-    found = regions(weights, 1 if marked else SURGE)
+    lines = [line for line in lines_of(page or "") if not line[1]]  # what is set aside parts no region
+    marked = next((m for m in ("main", "article") if any(part == m for _, _, part, _ in lines)), None)
+    if marked:
+        return "\n".join(text for text, _, part, _ in lines if part == "main" or (marked == "article" and part))
+    weights = [free for *_, free in lines]
+    if not any(weights):
+        weights = [len(text) for text, *_ in lines]
+    found = regions(weights, SURGE)
     if not found and any(weights):
         found = [max(regions(weights, 1), key=lambda r: max(sum(weights[i:i + WINDOW]) for i in range(*r)))]
-    return "\n".join(lines[i][0] for a, b in found for i in range(a, b) if weights[i])
+    kept, after = [], 0
+    for a, b in found:
+        while a > after and weights[a - 1]:  # short lines that lead into the region
+            a -= 1
+        kept += [text for text, *_ in lines[a:b]]
+        after = b
+    return "\n".join(kept)
 
 
 def main_text_column(page: Column) -> Column:
