@@ -10,7 +10,7 @@ import zlib
 import oracle_check
 import public_tokenizers
 import pytest
-from conftest import as_docs, multiset, prose
+from corpus_rows import as_docs, multiset, prose
 
 from wattmill.llm import byte_shards, chat, main_text, url_rules
 from wattmill.llm.common import read_table

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import oracle_check
 import pytest
-from conftest import as_docs, multiset, prose, words
+from corpus_rows import as_docs, multiset, prose, words
 
 from wattmill.llm import decontaminate, jaccard_join
 from wattmill.llm.signature_tree import tree_links

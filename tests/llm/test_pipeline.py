@@ -3,7 +3,7 @@
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from conftest import as_docs, prose
+from corpus_rows import as_docs, prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

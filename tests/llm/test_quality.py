@@ -4,7 +4,7 @@ import collections
 import re
 
 import numpy as np
-from conftest import LABELS, as_docs, prose
+from corpus_rows import LABELS, as_docs, prose
 
 from wattmill.llm import neighbour_vote, ngram_ratio
 from wattmill.llm.common import read_table

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import as_docs, multiset, prose
+from corpus_rows import as_docs, multiset, prose
 from tokenizers import Tokenizer
 
 from wattmill.llm import packing, token_files
