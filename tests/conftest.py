@@ -14,7 +14,3 @@ def spark():
                                     "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     session.sparkContext.setLogLevel("ERROR")
     return session
-
-
-def rows(df, *order):
-    return [tuple(r) for r in df.orderBy(*order).collect()]

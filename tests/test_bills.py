@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from wattmill.functions.dates import with_dates

@@ -1,7 +1,7 @@
 import os
 import tempfile
 
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from wattmill.sources import meter_files, spreadsheets

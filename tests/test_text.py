@@ -1,4 +1,4 @@
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from wattmill.operators import extract as ex
