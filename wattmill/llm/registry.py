@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = ("token_files", "decontaminate", "packing", "chat", "url_rules", "main_text", "jaccard_join",
-           "ngram_ratio", "neighbour_vote", "byte_shards", "best_fit", "importance")
+           "ngram_ratio", "neighbour_vote", "byte_shards", "best_fit", "importance", "alignment")
 
 
 def _modules() -> list:
