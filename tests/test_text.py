@@ -55,3 +55,49 @@ def test_value_of_the_wrong_kind_or_too_far(spark):
     wrong = _words(spark, [("MPRN", 10, 10, 1), ("hello", 100, 10, 1)])
     assert sp.spatial_fields(far).count() == 0
     assert sp.spatial_fields(wrong).count() == 0
+
+
+def test_one_pattern_counts_every_bounded_word(spark):
+    import random
+    import re
+
+    words = ["go", "go power", "go power.ie", "power", "a b a", "bord gáis", "x.y"]
+    random.seed(4)
+    texts = ["".join(random.choices([*words, " ", " ", ".", "1", "go", "á", "ie"], k=random.randint(0, 12)))
+             for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: {c.word: c.n for c in r.c} for r in df.select("i", ex.keyword_counts(F.col("t"), words).alias("c")).collect()}
+    for i, text in enumerate(texts):
+        # Overlaps of a word with itself count, as nothing is consumed.
+        want = {w: len(re.findall(f"(?<![a-z0-9])(?={re.escape(w)}(?![a-z0-9]))", text)) for w in words}
+        assert got[i] == {w: n for w, n in want.items() if n}
+
+
+def test_rules_come_from_a_table(spark):
+    """A made rule set, read beside plain Python; the plan does not grow with the rules."""
+    import re
+
+    from wattmill.operators import rules
+
+    patterns = [("first", r"Ref (\d+)"), ("first", r"No (\w+)"), ("pair", r"(\d+) to (\d+)"), ("cut", r"Sum ([\d,]+)")]
+    sets = [("k", [(f, [rules.option(p, 0.5 + i / 10, i, transform="strip_commas" if f == "cut" else None)
+                        for i, (g, p) in enumerate(patterns) if g == f]) for f in ("first", "pair", "cut")]),
+            ("m", [("days", [rules.option(r"(\d+) days @ ([\d.]+)", 0.9, 0, multi=True, groups={"days": 1, "rate": 2})]),
+                   ("after", [rules.option(r"(\d+)", 0.9, 0, anchor="Total")])])]
+    texts = [(1, "k", "no 7 Sum 1,200"), (2, "k", "Ref 12 No x"), (3, "k", "3 to 4"), (4, "k", None), (5, "none", "Ref 1"),
+             (6, "m", "9 30 days @ 0.5 and 10 days @ 0.25 total 77"), (7, "m", "5")]
+    df = spark.createDataFrame(texts, "i int, key string, text string")
+    names = ["first", "pair", "cut", "days", "after"]
+    got = {r.i: r.x and {f: r.x[f].value for f in names if r.x[f]} for r in
+           rules.with_found(df, "text", F.col("key"), names, "x", sets).collect()}
+    assert got == {1: {"first": "7", "cut": "1200"}, 2: {"first": "12"}, 3: {"pair": "3 - 4"}, 4: {}, 5: None,
+                   6: {"days": "40 - 0.4375 - 17.50", "after": "77"}, 7: {}}
+    index = rules.with_found(df, "text", F.col("key"), names, "x", sets).filter("i = 1").first().x.first
+    assert (index.confidence, index.pattern_index) == (0.6, 1) and re.match(r"no (\w+)", texts[0][2])
+
+    def size(many):
+        more = [("k", sets[0][1] + [(f"f{i}", [rules.option(r"(\d)", 0.5, 0)]) for i in range(many)])]
+        plan = rules.with_found(df, "text", F.col("key"), names, "x", more)._jdf.queryExecution().optimizedPlan()
+        return len(plan.toString())
+
+    assert abs(size(300) - size(0)) < 200

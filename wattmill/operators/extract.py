@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from wattmill import extraction_rules as R
 from wattmill.functions.numbers import PLAIN_NUMBER, to_number
 from wattmill.functions.steps import staged
+from wattmill.operators.rules import FIELD, ANY_PROVIDER, with_found
 
-FIELD = "struct<value:string,confidence:double,pattern_index:int>"
 # Every field any source can give, in the order the long form lists them.
 FIELDS = [
     "provider", "mprn", "gprn", "account_number", "invoice_number", "billing_period", "invoice_date",
@@ -25,11 +25,6 @@ FIELDS = [
     "mcc_code", "dg_code", "customer_name", "supply_address",
 ]
 UNKNOWN = "unknown"
-# Parameter of the anchored rules: a value is looked for in this many characters after its anchor.
-ANCHOR_WINDOW = 500
-
-# Flags: any case, Unicode classes, only \n ends a line; m lets ^ and $ match at lines, s lets . cross them.
-VALUE_FLAGS, ANCHOR_FLAGS, MULTI_FLAGS = "(?imdU)", "(?isdU)", "(?idU)"
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -70,31 +65,71 @@ def is_low_quality(text: Column) -> Column:
 # ---------------------------------------------------------------- provider and supplier
 
 
-def _bounded(keyword: str) -> str:
-    return rf"(?<![a-z0-9]){re.escape(keyword.lower()).replace(chr(92) + ' ', ' ')}(?![a-z0-9])"
-
+def _inner_words(word: str, words: Sequence[str]) -> list[str]:
+    """The word and all others of the list that stand bounded at its start."""
+    return [o for o in words if word.startswith(o) and not re.match("[a-z0-9]", word[len(o):])]
 
-def _best_provider(hits: Column) -> Column:
-    """STRUCT<score, rank, provider, word> of the provider whose bounded keywords occur most, from counts by keyword."""
-    position = {pk: i for i, pk in enumerate(_PROVIDER_WORDS)}
-    ranked = []
-    for rank, (provider, words) in enumerate(R.PROVIDER_KEYWORDS.items()):
-        found_at = {w: F.get(hits, F.lit(position[provider, w])) for w in words}
-        kept = []
-        for word in words:
-            longer = [o for o in words if word.lower() in o.lower() and word.lower() != o.lower()]
-            shadowed = F.greatest(F.lit(0), F.lit(0), *[found_at[o] for o in longer]) > 0
-            kept.append(F.when(shadowed, 0).otherwise(found_at[word]))
-        # First longest of the counted keywords.
-        by_length = sorted(range(len(words)), key=lambda i: (-len(words[i]), i))
-        ranked.append(F.struct(
-            sum(kept[1:], kept[0]).alias("score"), F.lit(-rank).alias("rank"), F.lit(provider).alias("provider"),
-            F.coalesce(*[F.when(kept[i] > 0, F.lit(words[i])) for i in by_length]).alias("word"),
-        ))
-    return F.array_max(F.array(*ranked))
 
+def _any_bounded(words: Sequence[str]) -> str:
+    """One pattern for all words: at each place where one may start, the longest that stands there by itself.
 
-_PROVIDER_WORDS = [(p, k) for p, ks in R.PROVIDER_KEYWORDS.items() for k in ks]
+    The words are written as a tree by their letters, so a place is given up after its first wrong letter. Nothing is
+    consumed, so words inside others are found as well, but for those at the start of a longer one (`_inner_words`).
+    """
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for letter in word:
+            at = at.setdefault(letter, {})
+        at[""] = {}
+
+    def spelt(at: dict) -> str:
+        branches = [re.escape(letter) + spelt(rest) for letter, rest in at.items() if letter]
+        if "" in at:
+            branches.append("(?![a-z0-9])")  # last, so that a longer word is taken first
+        return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+    return f"(?<![a-z0-9])(?=({spelt(tree)}))"
+
+
+def keyword_counts(text: Column, words: Sequence[str]) -> Column:
+    """ARRAY<STRUCT<word, n>> of the bounded words that occur in a lower-case text, which is read once for all words."""
+    words = list(dict.fromkeys(words))
+    inner = {w: _inner_words(w, words) for w in words if len(_inner_words(w, words)) > 1}
+    found = F.regexp_extract_all(text, F.lit(_any_bounded(words)), F.lit(1))
+    if inner:
+        table = F.create_map(*[x for w, others in inner.items() for x in (F.lit(w), F.array(*map(F.lit, others)))])
+        found = F.flatten(F.transform(found, lambda w: F.coalesce(F.try_element_at(table, w), F.array(w))))
+    return _bind(found, lambda hits: F.transform(F.array_distinct(hits), lambda w: F.struct(
+        w.alias("word"), F.size(F.filter(hits, lambda h: h == w)).alias("n"))))
+
+
+def _provider_table() -> Column:
+    """Literal ARRAY<STRUCT<rank, provider, words>>: a provider's words with those of its own that hide them."""
+    def word(w: str, words: Sequence[str]) -> Column:
+        longer = [o.lower() for o in words if w.lower() in o.lower() and w.lower() != o.lower()]
+        return F.struct(F.lit(w).alias("word"), F.lit(w.lower()).alias("lower"),
+                        F.array(*map(F.lit, longer)).cast("array<string>").alias("longer"))
+
+    return F.array(*[F.struct(
+        F.lit(-rank).alias("rank"), F.lit(provider).alias("provider"),
+        F.array(*[word(w, words) for w in sorted(words, key=len, reverse=True)]).alias("words"),  # first longest first
+    ) for rank, (provider, words) in enumerate(R.PROVIDER_KEYWORDS.items())])
+
+
+def _best_provider(counts: Column) -> Column:
+    """STRUCT<score, rank, provider, word> of the provider whose bounded keywords occur most; null without any."""
+    names = F.transform(counts, lambda c: c["word"])
+
+    def scored(provider: Column) -> Column:
+        kept = F.filter(provider["words"], lambda w: F.array_contains(names, w["lower"])
+                        & ~F.arrays_overlap(w["longer"], names))
+        score = F.aggregate(kept, F.lit(0), lambda acc, w: acc + F.aggregate(
+            counts, F.lit(0), lambda n, c: F.when(c["word"] == w["lower"], n + c["n"]).otherwise(n)))
+        return F.struct(score.alias("score"), provider["rank"].alias("rank"), provider["provider"].alias("provider"),
+                        F.get(kept, F.lit(0))["word"].alias("word"))
+
+    return F.when(F.size(counts) > 0, F.array_max(F.transform(_provider_table(), scored)))
 
 
 def detect_provider(bills: DataFrame, text: str = "text") -> DataFrame:
@@ -102,17 +137,14 @@ def detect_provider(bills: DataFrame, text: str = "text") -> DataFrame:
 
     A keyword inside a longer one of the same provider only counts when the longer one is absent.
     """
-    flat, best = F.col("_flat"), F.col("_best")
-    counts = F.array(*[
-        F.when(flat.contains(k.lower()), F.regexp_count(flat, F.lit(_bounded(k)))).otherwise(0) for _, k in _PROVIDER_WORDS
-    ])
-    lowered = staged(bills, {"_flat": F.regexp_replace(F.lower(F.col(text)), r"(?U)\s+", " ")})
-    counted = staged(lowered, {"_hits": counts}).drop("_flat")
-    return staged(counted, {"_best": _best_provider(F.col("_hits"))}).withColumns({
+    best, flat = F.col("_best"), F.regexp_replace(F.lower(F.col(text)), r"(?U)\s+", " ")
+    words = [w.lower() for ws in R.PROVIDER_KEYWORDS.values() for w in ws]
+    counted = staged(bills, {"_counts": keyword_counts(flat, words)})
+    return staged(counted, {"_best": _best_provider(F.col("_counts"))}).withColumns({
         "provider": F.when(best["score"] > 0, best["provider"]).otherwise(UNKNOWN),
         "is_known": F.coalesce(best["score"] > 0, F.lit(False)),
         "matched_keyword": F.when(best["score"] > 0, best["word"]),
-    }).drop("_hits", "_best")
+    }).drop("_counts", "_best")
 
 
 SIGNATURE_WEIGHTS = {"keyword": 3, "phone": 5, "vat": 10, "address": 4}
@@ -196,28 +228,6 @@ def clean_text(text: Column, provider: Column) -> Column:
 # ---------------------------------------------------------------- pattern extraction
 
 
-# The rule tables give hundreds of small expressions, so they are written as one SQL expression per column.
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _number(value: str) -> str:
-    return f"try_cast(regexp_extract({value}, {_quoted(PLAIN_NUMBER)}, 1) AS double)"
-
-
-def _transformed(value: str, transform: str | None) -> str:
-    if transform == "strip_commas":
-        return f"replace({value}, ',', '')"
-    if transform == "strip_spaces":
-        return f"replace({value}, ' ', '')"
-    if transform == "cents_to_euros":
-        plain = f"replace({value}, ',', '')"
-        return f"coalesce(cast(round({_number(plain)} / 100, 4) AS string), {value})"
-    return value
-
-
 def _field(value: Column, confidence: Column | float, index: int) -> Column:
     level = confidence if isinstance(confidence, Column) else F.lit(confidence)
     return F.struct(value.alias("value"), level.cast("double").alias("confidence"), F.lit(index).alias("pattern_index"))
@@ -228,61 +238,6 @@ def _if_found(value: Column, confidence: float, index: int) -> Column:
     return F.get(F.transform(F.filter(F.array(value), lambda v: v != ""), lambda v: _field(v, confidence, index)), F.lit(0))
 
 
-def _found_sql(value: str, confidence: float, index: int) -> str:
-    """The same as SQL."""
-    return (f"get(transform(filter(array({value}), v -> v <> ''), v -> named_struct('value', v, "
-            f"'confidence', {confidence}D, 'pattern_index', {index})), 0)")
-
-
-def _area(anchor: str | None) -> str:
-    """The text `t`, or its part from the anchor on; null when the anchor is absent."""
-    if anchor is None:
-        return "t"
-    at = f"regexp_instr(t, {_quoted(ANCHOR_FLAGS + anchor)})"
-    return f"get(transform(array({at}), a -> if(a > 0, substring(t, a, {ANCHOR_WINDOW}), NULL)), 0)"
-
-
-def _single(area: str, pattern: str, transform: str | None) -> str:
-    """First match; several groups are joined by ' - '."""
-    parts = [_transformed(f"regexp_extract({area}, {_quoted(VALUE_FLAGS + pattern)}, {g})", transform)
-             for g in range(1, re.compile(pattern).groups + 1)]
-    if len(parts) == 1:
-        return parts[0]
-    return f"array_join(filter(array({', '.join(parts)}), p -> p <> ''), ' - ')"
-
-
-def _multi(area: str, rule: R.Rule, pattern: str) -> str:
-    """All matches: 'days - average rate - total' when the rule names its groups, else the matches joined."""
-    def every(group: int) -> str:
-        return f"regexp_extract_all({area}, {_quoted(MULTI_FLAGS + pattern)}, {group})"
-
-    def add(values: str) -> str:
-        return f"aggregate({values}, 0D, (acc, y) -> acc + y)"
-
-    count = re.compile(pattern).groups
-    texts = ", ".join(f"m.`{g}`" for g in range(count))
-    zipped = ", ".join(every(g) for g in range(1, count + 1))
-    joined = f"array_join(transform(arrays_zip({zipped}), m -> concat_ws(' ', {texts})), '; ')"
-    if not rule.groups or not {"days", "rate"} <= set(rule.groups):
-        return joined
-    numbers = {k: f"transform({every(g)}, y -> {_number('y')})" for k, g in rule.groups.items()}
-    total = numbers.get("total") or f"zip_with({numbers['days']}, {numbers['rate']}, (d, r) -> d * r)"
-    # A number that does not parse makes its sum null, and the raw matches are kept.
-    sums = f"named_struct('days', {add(numbers['days'])}, 'rates', {add(numbers['rate'])}, 'total', {add(total)})"
-    shown = "format_string('%d - %.4f - %.2f', cast(s.days AS bigint), s.total / s.days, s.total)"
-    return (f"coalesce(get(transform(array({sums}), s -> if(s.days > 0 AND s.rates IS NOT NULL AND s.total IS NOT NULL, "
-            f"{shown}, NULL)), 0), {joined})")
-
-
-def _rule_value(rule: R.Rule) -> str:
-    options = []
-    for index, entry in enumerate(rule.patterns):
-        anchor, pattern = entry if isinstance(entry, tuple) else (None, entry)
-        value = _multi(_area(anchor), rule, pattern) if rule.multi else _single(_area(anchor), pattern, rule.transform)
-        options.append(_found_sql(value, rule.confidence, index))
-    return f"coalesce({', '.join(options)})"
-
-
 def _no_field() -> Column:
     return F.lit(None).cast(FIELD)
 
@@ -292,32 +247,15 @@ def _spread(fields: dict[str, Column]) -> Column:
     return F.struct(*[fields.get(name, _no_field()).cast(FIELD).alias(name) for name in FIELDS])
 
 
-def _scan(text: str, fields: dict[str, str]) -> str:
-    """The struct of all fields found in a text column, which is read once as `t`."""
-    entries = ", ".join(f"'{name}', cast({fields.get(name, 'NULL')} AS {FIELD})" for name in FIELDS)
-    return f"get(transform(array({text}), t -> named_struct({entries})), 0)"
-
-
-def universal_fields(text: str) -> Column:
-    """Provider-independent patterns on a text column; the first that matches gives the field."""
-    return F.expr(_scan(text, {
-        name: "coalesce(" + ", ".join(
-            _found_sql(_transformed(f"regexp_extract(t, {_quoted(VALUE_FLAGS + p)}, 1)", how), confidence, i)
-            for i, (p, confidence, how) in enumerate(patterns)) + ")"
-        for name, patterns in R.UNIVERSAL_PATTERNS.items()
-    }))
+def universal_fields(df: DataFrame, text: str, when: Column | None = None) -> DataFrame:
+    """df with `x`, the fields that provider-independent rules find in a text column where `when` holds."""
+    key = F.lit(ANY_PROVIDER) if when is None else F.when(when, ANY_PROVIDER)
+    return with_found(df, text, key, FIELDS)
 
 
-def provider_fields(text: str, provider: str) -> Column:
-    """A provider's own rules on its cleaned text column (see `clean_text`), null for providers without rules.
-
-    The branch is chosen per row, so a text is only scanned by the rules of its provider.
-    """
-    branches = " ".join(
-        f"WHEN {provider} = {_quoted(name)} THEN {_scan(text, {rule.field: _rule_value(rule) for rule in rules})}"
-        for name, rules in R.PROVIDER_RULES.items()
-    )
-    return F.expr(f"CASE {branches} END")
+def provider_fields(df: DataFrame, text: str, provider: str) -> DataFrame:
+    """df with `x`, the fields that a provider's own rules find in its cleaned text (see `clean_text`), null without rules."""
+    return with_found(df, text, F.col(provider), FIELDS)
 
 
 def has_rules(provider: Column) -> Column:
@@ -585,6 +523,20 @@ def merge_field(first: Column, second: Column, prefer_second: Column, words: boo
     )
 
 
+def merged_fields(first: Callable[[str], Column], second: Callable[[str], Column], prefer_second: Callable[[str], Column],
+                  words: bool = True) -> Column:
+    """MAP of every known field to what `merge_field` makes of its two sources: one expression runs over all fields."""
+    sources = F.array(*[F.struct(F.lit(f).alias("field"), first(f).cast(FIELD).alias("first"),
+                                 second(f).cast(FIELD).alias("second"), prefer_second(f).alias("prefer")) for f in FIELDS])
+    return F.map_from_entries(F.transform(sources, lambda e: F.struct(
+        e["field"].alias("field"), merge_field(e["first"], e["second"], e["prefer"], words).alias("merged"))))
+
+
+def from_map(column: str) -> dict[str, Column]:
+    """Field columns from a map of fields."""
+    return {f: F.try_element_at(column, F.lit(f)) for f in FIELDS}
+
+
 def reconcile(existing: DataFrame, external: DataFrame, prefer_external: bool = False, key: str = "bill_id") -> DataFrame:
     """Merge two tables of long field rows; `prefer_external` decides every conflict for the external source."""
     def packed(df: DataFrame, name: str) -> DataFrame:
@@ -597,15 +549,21 @@ def reconcile(existing: DataFrame, external: DataFrame, prefer_external: bool =
     )
 
 
-def reconcile_bills(existing: DataFrame, external: DataFrame, prefer_external: bool = False,
+def reconcile_bills(existing: DataFrame, external: DataFrame, prefer_external: bool | None = False,
                     key: str = "bill_id") -> DataFrame:
-    """As `reconcile`, for two tables of one row per bill with field columns: one join by bill, merged column by column."""
+    """As `reconcile`, for two tables of one row per bill with field columns: one join by bill, merged column by column.
+
+    With `prefer_external` None each bill gives two rows, decided for either side as `preferred` names it.
+    """
     ours = existing.select(key, *[F.col(f).alias(f"_a_{f}") for f in FIELDS])
     theirs = external.select(key, *[F.col(f).alias(f"_b_{f}") for f in FIELDS])
-    prefer = {f: F.lit(prefer_external or f in PREFERRED_EXTERNAL) for f in FIELDS}
-    joined = ours.join(theirs, key, "full_outer")
-    return staged(joined, {f: merge_field(F.col(f"_a_{f}"), F.col(f"_b_{f}"), prefer[f]) for f in FIELDS}).select(
-        key, *FIELDS)
+    joined, keys, chosen = ours.join(theirs, key, "full_outer"), [key], F.lit(prefer_external)
+    if prefer_external is None:
+        joined = joined.withColumn("preferred", F.explode(F.array(F.lit("own"), F.lit("external"))))
+        keys, chosen = ["preferred", key], F.col("preferred") == "external"
+    merged = merged_fields(lambda f: F.col(f"_a_{f}"), lambda f: F.col(f"_b_{f}"),
+                           lambda f: F.lit(True) if f in PREFERRED_EXTERNAL else chosen)
+    return staged(joined, {"_merged": merged}).withColumns(from_map("_merged")).select(*keys, *FIELDS)
 
 
 EXTERNAL_RECORD = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wattmill.functions.steps import staged
 from wattmill.operators.extract import detect_supplier
+from wattmill.operators.rules import option, with_found
 
 # Labelled patterns of the flat layout.  Case matters unless the pattern says otherwise.
 TEXT_PATTERNS = {
@@ -23,12 +24,14 @@ TEXT_PATTERNS = {
     "contract_end_date": r"Contract\s*End\s*Date\s*\n?\s*(\d{1,2}\s+\w+\s+\d{4})",
     "tariff_type": r"Tariff\s*\n?\s*(Electricity|Gas)",
 }
+# Fixed values, as above: patterns that give two fields.
 PAIR_PATTERNS = {
     ("billing_period_start", "billing_period_end"):
         r"Billing\s*Period\s*\n?\s*(\d{2}/\d{2}/\d{4})\s*-\s*(\d{2}/\d{2}/\d{4})",
     ("ceg_export_start", "ceg_export_end"):
         r"CEG\s*Export\s*Period\s*\n?\s*(\d{2}/\d{2}/\d{4})\s*-\s*(\d{2}/\d{2}/\d{4})",
 }
+# Fixed values, as above: patterns of amounts.
 NUMBER_PATTERNS = {
     ("day_units_kwh", "day_rate"): r"Day\s+([\d,]+\.\d+)\s*Units?\s*at\s*€([\d.]+)\s*per\s*Unit",
     ("night_units_kwh", "night_rate"): r"Night\s+([\d,]+\.\d+)\s*Units?\s*at\s*€([\d.]+)\s*per\s*Unit",
@@ -59,6 +62,7 @@ WEIGHTS = {
     1: ["customer_name", "premises", "meter_number", "peak_units_kwh", "peak_rate", "discount", "pso_levy",
         "export_units", "eab_current", "eab_new", "contract_end_date", "payment_due_date"],
 }
+# Bounds of the warnings.
 USUAL_VAT = [9.0, 13.5, 23.0]
 KWH_HIGH, KWH_LOW, VAT_GAP, COST_GAP = 10000, 50, 0.10, 0.50
 
@@ -69,20 +73,26 @@ def parse_euro(text: Column) -> Column:
     return F.regexp_extract(plain, r"^(-?[0-9]*\.?[0-9]+)$", 1).try_cast("double")
 
 
-def _group(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, "(?dU)" + pattern, group), F.lit(""))
+def flat_rules() -> list[tuple]:
+    """The flat layout as one rule set: a field is a group of its pattern."""
+    named = [((name,), p) for name, p in TEXT_PATTERNS.items()] + [*PAIR_PATTERNS.items(), *NUMBER_PATTERNS.items()]
+    return [("flat", [(name, [option(p, 1.0, 0, only_group=group, flags="(?dU)")])
+                      for names, p in named for group, name in enumerate(names, 1)])]
 
 
 def extract_flat(bills: DataFrame, text: str = "text") -> DataFrame:
     """All flat fields of every bill text, total units, completeness score and warnings."""
-    t = F.col(text)
-    fields = {name: F.trim(_group(t, p, 1)) for name, p in TEXT_PATTERNS.items()}
-    for names, p in PAIR_PATTERNS.items():
-        fields |= {name: _group(t, p, i) for i, name in enumerate(names, 1)}
-    for names, p in NUMBER_PATTERNS.items():
-        fields |= {name: parse_euro(_group(t, p, i)) for i, name in enumerate(names, 1)}
+    sets = flat_rules()
+    found = with_found(detect_supplier(bills, text), text, F.lit("flat"), [name for name, _ in sets[0][1]], "_x", sets)
+
+    def value(name: str) -> Column:
+        return F.col("_x")[name]["value"]
+
+    fields = {name: F.trim(value(name)) for name in TEXT_PATTERNS}
+    fields |= {name: value(name) for names in PAIR_PATTERNS for name in names}
+    fields |= {name: parse_euro(value(name)) for names in NUMBER_PATTERNS for name in names}
     fields["standing_charge_days"] = fields["standing_charge_days"].cast("int")
-    flat = staged(detect_supplier(bills, text), fields)
+    flat = staged(found, fields).drop("_x")
     units = [F.coalesce(F.col(f"{k}_units_kwh"), F.lit(0.0)) for k in ("day", "night", "peak")]
     total = sum(units[1:], units[0])
     flat = flat.withColumn("total_units_kwh", F.when(total > 0, F.round(total, 3)))

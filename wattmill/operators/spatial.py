@@ -262,11 +262,10 @@ def extract_spatial(words: DataFrame) -> DataFrame:
     joined = texts.join(labelled, "doc_id", "left").join(by_doc, "doc_id", "left")
     known = ex.detect_provider(joined, "ocr_text").drop("matched_keyword", "is_known")
     fixed = staged(known, {"fixed": ex.clean_text(F.col("ocr_text"), F.col("provider"))})
-    read = staged(fixed, {"p": F.when(F.col("has_labels"), ex.universal_fields("fixed"))}).withColumnRenamed(
-        "provider", "detected_provider")
-    merged = read.withColumns({
-        f: ex.merge_field(F.try_element_at("m", F.lit(f)), F.col("p")[f], F.lit(True), words=False) for f in ex.FIELDS
-    }).drop("m", "p", "fixed")
+    read = ex.universal_fields(fixed, "fixed", F.col("has_labels")).withColumnsRenamed(
+        {"provider": "detected_provider", "x": "p"})
+    both = ex.merged_fields(lambda f: F.try_element_at("m", F.lit(f)), lambda f: F.col("p")[f], lambda f: F.lit(True), False)
+    merged = staged(read, {"_merged": both}).withColumns(ex.from_map("_merged")).drop("_merged", "m", "p", "fixed")
     return (
         merged.withColumn("field_count", ex.found())
         .withColumn("hit_rate", F.col("field_count") / len(R.ANCHOR_LABELS))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wattmill.functions.steps import staged
 from wattmill.operators import extract as ex
+from wattmill.operators.rules import ANY_PROVIDER, with_found
 
 # Names of the steps a bill went through.
 NATIVE, SCANNED, IMAGE, SPATIAL, UNIVERSAL, EXTERNAL, NOTHING = (
@@ -47,18 +48,18 @@ def extract_bills(
     known = ex.detect_provider(docs).withColumnRenamed("provider", "provider_name")
     name, readable = F.col("provider_name"), F.col("by_words") | ~F.col("needs_words")
     scanned = known.withColumn("readable", readable).withColumn("ruled", F.col("readable") & ex.has_rules(name))
-    scanned = staged(staged(scanned, {"cleaned": ex.clean_text(F.col("text"), name)}), {
-        "own": F.when(F.col("ruled"), ex.provider_fields("cleaned", "provider_name")),
-        "any": F.when(F.col("readable") & ~F.col("ruled") & ~F.col("by_words"), ex.universal_fields("text")),
-    })
-    fields = {f: F.coalesce(F.when(F.col("by_words"), F.col("sp")[f]), F.col("own")[f], F.col("any")[f]) for f in ex.FIELDS}
+    cleaned = staged(scanned, {"body": F.when(F.col("ruled"), ex.clean_text(F.col("text"), name)).otherwise(F.col("text"))})
+    key = F.when(F.col("ruled"), name).when(F.col("readable") & ~F.col("by_words"), ANY_PROVIDER)
+    scanned = with_found(cleaned, "body", key, ex.FIELDS)
+    fields = {f: F.coalesce(F.when(F.col("by_words"), F.col("sp")[f]), F.col("x")[f]) for f in ex.FIELDS}
     wide = staged(scanned, fields)
     # Cents are repaired in a provider's own fields, and in every field of a scanned document.
     whole = F.col("by_words") & ~F.col("is_image")
     wide = ex.fix_rates(wide, {
-        f: whole | (F.col("own")[f].isNotNull() & ~(F.col("by_words") & F.coalesce(F.col("sp")[f].isNotNull(), F.lit(False))))
+        f: whole | (F.col("ruled") & F.col("x")[f].isNotNull()
+                    & ~(F.col("by_words") & F.coalesce(F.col("sp")[f].isNotNull(), F.lit(False))))
         for f in ex.RATE_FIELDS
-    }).drop("own", "any", "sp", "cleaned")
+    }).drop("x", "sp", "body")
     scored = _score(ex.heal_totals(ex.compute_costs(wide)))
     if external is None:
         final = scored.withColumn("escalated", F.lit(False))
@@ -88,9 +89,8 @@ def _escalate(scored: DataFrame, external: DataFrame) -> DataFrame:
     escalated = F.col("ext").isNotNull() & ((F.col("band") == "escalate") | ~F.col("readable"))
     joined = joined.withColumn("escalated", escalated)
     lift = F.col("escalated")
-    merged = joined.withColumns({
-        f: F.when(lift, ex.merge_field(F.col(f), F.col("ext")[f], F.lit(True))).otherwise(F.col(f)) for f in ex.FIELDS
-    })
+    both = ex.merged_fields(F.col, lambda f: F.when(lift, F.col("ext")[f]), lambda f: F.lit(True))
+    merged = staged(joined, {"_merged": both}).withColumns(ex.from_map("_merged")).drop("_merged")
     # Documents read as text keep their provider; the others take the record's when they have none.
     rename = lift & F.col("needs_words") & (F.col("provider_name") == ex.UNKNOWN)
     merged = merged.withColumn("provider_name", F.when(rename, ex.known_provider(F.col("ext")["provider"]["value"]))

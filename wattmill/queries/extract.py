@@ -92,8 +92,7 @@ def extract_config(spark, sf):
     known = ex.detect_provider(bill_texts(spark, sf)).filter(ex.has_rules(F.col("provider"))).withColumnRenamed(
         "provider", "provider_name")
     cleaned = staged(known, {"cleaned": ex.clean_text(F.col("text"), F.col("provider_name"))})
-    fields = staged(cleaned, {"x": ex.provider_fields("cleaned", "provider_name")})
-    return _read(fields.select("bill_id", "x.*"))
+    return _read(ex.provider_fields(cleaned, "cleaned", "provider_name").select("bill_id", "x.*"))
 
 
 @query(
@@ -108,7 +107,7 @@ def extract_config(spark, sf):
 )
 def extract_universal(spark, sf):
     unknown = ex.detect_provider(bill_texts(spark, sf)).filter("NOT is_known").drop("provider")
-    fields = staged(unknown, {"x": ex.universal_fields("text")}).select("bill_id", "x.*")
+    fields = ex.universal_fields(unknown, "text").select("bill_id", "x.*")
     return _read(fields, ["mprn", "account_number", "gprn"],
                  ["day_kwh", "day_rate", "night_kwh", "night_rate", "standing_charge", "pso_levy", "subtotal", "vat_rate",
                   "vat_amount", "total_incl_vat"])
@@ -253,18 +252,15 @@ def reconcile_fields(spark, sf):
     """Provider rules against external records, as long rows, with conflicts decided for either side."""
     known = ex.detect_provider(bill_texts(spark, sf)).filter(ex.has_rules(F.col("provider")))
     cleaned = staged(known, {"cleaned": ex.clean_text(F.col("text"), F.col("provider"))})
-    own = staged(cleaned, {"x": ex.provider_fields("cleaned", "provider")}).select("bill_id", "x.*")
+    own = ex.provider_fields(cleaned, "cleaned", "provider").select("bill_id", "x.*")
     other = ex.external_fields(external_records(spark, sf)).join(known.select("bill_id"), "bill_id", "left_semi")
     amount = F.col("field_name") == "subtotal"
 
-    def merged(prefer_external: bool):
-        out = ex.to_long(ex.reconcile_bills(own, other, prefer_external))
-        return out.filter(F.col("field_name").isin("mprn", "subtotal")).select(
-            F.lit("external" if prefer_external else "own").alias("preferred"), "bill_id", "field_name",
-            F.when(~amount, F.col("value")).alias("value"),
-            F.when(amount, ex.safe_float(F.col("value"))).alias("amount"), "confidence")
-
-    return merged(False).unionByName(merged(True))
+    both = ex.reconcile_bills(own, other, None)
+    keyed = both.withColumn("key", F.struct("preferred", "bill_id")).drop("preferred", "bill_id")
+    return ex.to_long(keyed, "key").filter(F.col("field_name").isin("mprn", "subtotal")).select(
+        "key.preferred", "key.bill_id", "field_name", F.when(~amount, F.col("value")).alias("value"),
+        F.when(amount, ex.safe_float(F.col("value"))).alias("amount"), "confidence")
 
 
 @query(
