@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wattmill.sources.records import join_quoted, opens_quote
+
 # Cell texts that mean "missing".
 MISSING = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
@@ -21,8 +23,8 @@ SNIFF_MARKS = ["MPRN", "Read Type", "Read Value"]
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_id, row_idx, line) of every line of every .csv file, decoded as UTF-8 or, when any line of the
-    file is not valid UTF-8, as Latin-1.  Files are split across tasks.
+    """(file_id, row_idx, line) of every record of every .csv file, decoded as UTF-8 or, when any line of the
+    file is not valid UTF-8, as Latin-1.  Files are split across tasks; line breaks inside quotes do not end a record.
 
     `row_idx` is the byte offset of the line's split plus its position in the task that reads the split.  It rises
     through the file and needs no sort: a split of n bytes holds at most n lines, and only a file's last split shares
@@ -33,15 +35,20 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("file_id"),
+            F.col("_metadata.file_block_start").alias("block"),
             (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
             .alias("row_idx"),
             F.col("value").alias("line"),
         )
     )
-    # Only the verdict per file comes from a second look at the lines, and it is joined by file.
-    files = raw.groupBy("file_id").agg(F.bool_and(F.expr("is_valid_utf8(line)")).alias("utf8"))
+    # Only the verdicts per file come from a second look at the lines, and they are joined by file.
+    files = raw.groupBy("file_id").agg(
+        F.bool_and(F.expr("is_valid_utf8(line)")).alias("utf8"), F.bool_or(opens_quote(F.col("line"))).alias("breaks"))
     text = F.when(F.col("utf8"), F.col("line")).otherwise(F.decode(F.col("line").cast("binary"), "ISO-8859-1"))
-    return raw.join(files, "file_id").select("file_id", "row_idx", text.alias("line"))
+    decoded = raw.join(files, "file_id").select("file_id", "block", "row_idx", text.alias("line"), "breaks")
+    # Without a line that leaves a quote open, every line is a record.
+    plain = decoded.filter(~F.col("breaks")).select("file_id", "row_idx", "line")
+    return plain.unionByName(join_quoted(decoded.filter("breaks").drop("breaks")))
 
 
 def file_kinds(spark: SparkSession, path: str) -> DataFrame:
