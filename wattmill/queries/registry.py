@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 8
-MODULES = ("meter", "quality", "bills", "verify", "extract", "spatial", "sources", "whole")
+MODULES = ("meter", "quality", "bills", "verify", "extract", "spatial", "sources", "whole", "intake")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
