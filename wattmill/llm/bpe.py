@@ -11,12 +11,15 @@ from __future__ import annotations
 import gc
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES = 400_000  # words kept by a Python worker
+from wattmill.llm.lower_bpe import BYTE_LETTERS
+
+CACHE_ENTRIES = 600_000  # words kept by a Python worker
 CHUNK_CHARS = 1 << 20  # text handled between two looks at the cache
 ROWS = 512  # documents of a batch that are Python objects at once
 JOIN_CHARS = 1 << 16  # new words given to the tokenizer at once
@@ -35,7 +38,9 @@ class WordEncoder:
         self.encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.vocab_size = max(vocab.values()) + 1
-        self.dtype = np.dtype("<u2") if self.vocab_size <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.vocab_size <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
+        self.merge = self.tok.model.tokenize
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.blank_first = np.zeros(self.vocab_size, bool)
@@ -113,6 +118,12 @@ class WordEncoder:
             if first is not w:
                 made += (w, first, tail)
         start, size = 0, 0
+        for k in [k for k in parts if k[k[0] == "\0":].isalpha()]:  # one run of letters: the merges alone give its ids
+            parts.remove(k)
+            core = k[1:] if k[0] == "\0" else k
+            spelt = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = [t.id for t in self.merge(spelt if core is not k else "Ġ" + spelt)]
+            cache[k] = array(self.code, ids).tobytes()
         after_blank = [k for k in parts if k[0] != "\0"]
         for i, w in enumerate(after_blank):
             size += len(w) + 1
