@@ -60,12 +60,9 @@ def reconcile_fields_all(spark, sf):
     """Every field of the extracted bills, native and scanned, against external records, decided for either side."""
     own, other = routed(spark, sf).select("bill_id", *ex.FIELDS), ex.external_fields(external_records(spark, sf))
 
-    def merged(prefer_external: bool):
-        return ex.to_long(ex.reconcile_bills(own, other, prefer_external)).select(
-            F.lit("external" if prefer_external else "own").alias("preferred"), "bill_id", "field_name", "value",
-            "confidence")
-
-    return merged(False).unionByName(merged(True))
+    both = ex.reconcile_bills(own, other, None)
+    keyed = both.withColumn("key", F.struct("preferred", "bill_id")).drop("preferred", "bill_id")
+    return ex.to_long(keyed, "key").select("key.preferred", "key.bill_id", "field_name", "value", "confidence")
 
 
 def _scored(spark, sf):
