@@ -109,32 +109,40 @@ def test_grams_cover_long_texts(monkeypatch):
     assert not list(gram_buckets(None, 12)) and not list(gram_buckets("ab", 12))
 
 
-def test_ratio_counts_every_ngram_by_itself(spark, monkeypatch):
-    """Plain counting of byte n-grams, over many chunks: no two n-grams share a count."""
-    monkeypatch.setattr(ngram_ratio, "CHUNK_BYTES", 1)
+def test_ratio_equals_plain_counting(spark, monkeypatch):
+    """n-grams counted one by one in a dict of their buckets, with slices, merges and sends in between."""
+    monkeypatch.setattr(ngram_ratio, "MERGE", 50)
+    monkeypatch.setattr(ngram_ratio, "MOST_HELD", 200)
     clean, junk, odd = rows()
-    size, good = ngram_ratio.SIZE, set(range(39))
+    every, good, size = clean + junk + odd, set(range(39)), ngram_ratio.SIZE
+    buckets = int(np.ceil(ngram_ratio.ROOT * np.sqrt(sum(len((t or "").encode()) for _, t in every))))
 
     def grams(text):
         raw = (text or "").encode()
         return collections.Counter(raw[i:i + size] for i in range(len(raw) - size + 1))
 
+    def bucket(gram):
+        code = int.from_bytes(gram, "big")
+        return ((((code ^ code >> 29) * 0x9E3779B97F4A7C15) % 2 ** 64 >> 32) * buckets) >> 32
+
     raw, trusted = collections.Counter(), collections.Counter()
-    for i, t in clean + junk + odd:
-        raw += grams(t)
-        if i in good:
-            trusted += grams(t)
+    for i, t in every:
+        for g, n in grams(t).items():
+            raw[bucket(g)] += n
+            trusted[bucket(g)] += n * (i in good)
     share = sum(trusted.values()) / sum(raw.values())
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        docs = as_docs(spark, clean + junk + odd).repartition(3)
-        got = collections.Counter((r.doc_id, r.n_words, round(r.log_ratio, 6)) for r in ngram_ratio.judged(
-            docs, labels(spark)).collect())
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = as_docs(spark, every).repartition(3)
+    got = collections.Counter((r.doc_id, r.n_words, round(r.log_ratio, 4)) for r in ngram_ratio.judged(
+        docs, labels(spark)).collect())
     want = collections.Counter()
-    for i, t in clean + junk + odd:
+    for i, t in every:
         n = grams(t)
-        total = sum(c * np.log((trusted[g] + share) / (raw[g] + 1) / share) for g, c in n.items())
-        want[i, base(t)[0], round(float(total / n.total()) if n else 0.0, 6)] += 1
+        total = sum(c * np.log((trusted[bucket(g)] + share) / (raw[bucket(g)] + 1) / share) for g, c in n.items())
+        want[i, base(t)[0], round(float(total / n.total()) if n else 0.0, 4)] += 1
     assert got == want
+
+
+def test_table_grows_with_the_corpus(spark):
+    clean = rows()[0]
+    sizes = [len(ngram_ratio.ratio_table(as_docs(spark, clean * k), labels(spark))) for k in (1, 4, 16)]
+    assert sizes[1] >= 2 * sizes[0] - 2 and sizes[2] >= 2 * sizes[1] - 2

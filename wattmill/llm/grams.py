@@ -8,6 +8,7 @@ import numpy as np
 
 SLICE = 1 << 20  # bytes of a text looked at together
 SPREAD = np.uint32(2654435769)  # odd, near 2**32 divided by the golden ratio
+SPREAD_64 = np.uint64(0x9E3779B97F4A7C15)  # the same of 2**64
 
 
 def gram_buckets(text: str | None, bits: int, size: int = 3) -> Iterator[np.ndarray]:
@@ -30,18 +31,17 @@ def gram_counts(text: str | None, bits: int, size: int = 3) -> np.ndarray:
     return total
 
 
-def gram_codes(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct runs of `size` bytes (at most 7) of the UTF-8 text, sorted, each as one number, and their counts."""
+def hashed_grams(text: str | None, size: int, buckets: int) -> Iterator[np.ndarray]:
+    """Bucket (0 to buckets - 1, below 2**32) of each run of `size` bytes (at most 8) of the UTF-8 text, slice by slice."""
     raw = np.frombuffer((text or "").encode(), np.uint8)
-    codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
     for at in range(0, max(0, len(raw) - size + 1), SLICE):
-        part = raw[at:at + SLICE + size - 1].astype(np.int64)
+        part = raw[at:at + SLICE + size - 1].astype(np.uint64)
         n = len(part) - size + 1
         code = part[:n].copy()
         for k in range(1, size):
-            code = code << 8 | part[k:k + n]
-        codes, counts = added([(codes, counts), np.unique(code, return_counts=True)])
-    return codes, counts
+            code = code << np.uint64(8) | part[k:k + n]
+        code = (code ^ code >> np.uint64(29)) * SPREAD_64
+        yield ((code >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
 
 
 def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
