@@ -1,17 +1,19 @@
 """Similarity join and decontamination against brute force."""
 
+import collections
 import hashlib
 import itertools
 import random
 
 import numpy as np
 import oracle_check
+import pyarrow as pa
 import pytest
 from corpus_rows import as_docs, multiset, prose, words
 
 from wattmill.llm import decontaminate, jaccard_join
 from wattmill.llm.signature_tree import tree_links
-from wattmill.llm.word_codes import shingle_sets, word_codes
+from wattmill.llm.word_codes import set_code, shingle_sets, word_codes
 
 
 def shingles(text):
@@ -73,6 +75,36 @@ def test_representatives_keep_one_row_of_each_group(spark):
     assert {r.doc_id for r in kept.collect() if not words(r.text)} == {400, 401, 402}
 
 
+def test_shared_codes_are_counted_over_batches(spark, monkeypatch):
+    """Counts of codes in several classes, with runs cut by sends and batches, against sets of all codes."""
+    monkeypatch.setattr(jaccard_join, "HELD_CODES", 150)
+    monkeypatch.setattr(jaccard_join, "GATHERED", 3)
+    rows = near_rows()
+    texts = [t for _, t in rows]
+
+    def runs(step, schema, table, by):
+        order = table.sort_by([(c, "ascending") for c in by])
+        return pa.Table.from_batches(list(step(iter(order.to_batches(max_chunksize=5)))), order.schema if schema is None else schema)
+
+    batches = [pa.record_batch([pa.array([i for i, _ in rows[k::4]], pa.int64()), pa.array(texts[k::4], pa.string())],
+                               ["doc_id", "text"]) for k in range(4)]
+    kinds = {name: pa.schema([pa.field(n, t) for t, n in zip(*jaccard_join._kinds(getattr(jaccard_join, name)))])
+             for name in ("SENT", "COUNTED", "SHARED")}
+    sent = pa.concat_tables(pa.Table.from_batches(list(jaccard_join.prefix_codes(iter([b]), True)), kinds["SENT"]) for b in batches)
+    counted = runs(jaccard_join.shared_codes, kinds["COUNTED"], sent, ["key", "class"])
+    got = runs(jaccard_join.class_sums, kinds["SHARED"], counted, ["class"]).to_pylist()
+
+    sets = {set_code(c): set(c.tolist()) for c in shingle_sets(texts) if len(c)}
+    often = collections.Counter(code for s in sets.values() for code in s)
+    least = {name: sum(often[c] > 1 for c in s) for name, s in sets.items()}
+    sums = {r["class"]: r["shared"] for r in got if r["shared"] is not None}
+    assert len(sums) == sum(r["shared"] is not None for r in got)
+    # A code that several sends hold twice is counted for each; none is missed, and none is made up.
+    assert all(sums.get(name, 0) >= n and (n > 0 or name not in sums) for name, n in least.items())
+    docs = collections.Counter((r["doc_id"], r["n"]) for r in got if r["n"] is not None)
+    assert docs == collections.Counter((i, len(c)) for (i, _), c in zip(rows, shingle_sets(texts)))
+
+
 def test_trees_find_all_links_of_a_group():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64))

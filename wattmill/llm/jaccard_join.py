@@ -24,10 +24,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +57,8 @@ FROM s JOIN r USING (rid) JOIN s AS e ON e.rid = r.y GROUP BY s.rid
 P, Q = 3, 4  # least similarity P / Q
 GROUP = 512  # classes in a task's group
 GROUP_CODES = 2_000_000  # codes in a task's group
-HELD_CODES = 1_000_000  # codes a task holds before it sends them
+HELD_CODES = 1_000_000  # codes, or counts of classes, a task holds before it sends them
+GATHERED = 1 << 16  # rows of an Arrow batch that are looked at together
 MOST_BROADCAST = 2_000_000  # ids that are broadcast
 SEVERAL = -1  # owner of a code that a task has seen in two classes or more
 
@@ -79,127 +79,148 @@ def _kinds(schema: str) -> tuple[list, list[str]]:
     return [kinds[t] for t in types], list(names)
 
 
-SENT = "to int, doc_ids array<long>, classes array<long>, sizes array<long>, codes binary"
+SENT = "key long, class long, doc_id long, n long"
+COUNTED = "key long, class long, doc_id long, n long, shared long"
 SHARED = "doc_id long, class long, n long, shared long"
 
 
+def _batches(schema: str, columns: list) -> Iterator[pa.RecordBatch]:
+    """Columns (None: nulls) as Arrow batches of GATHERED rows at most."""
+    kinds, names = _kinds(schema)
+    size = next(len(c) for c in columns if c is not None)
+    arrays = [pa.nulls(size, k) if c is None else c if isinstance(c, pa.Array) else pa.array(c, k)
+              for c, k in zip(columns, kinds)]
+    whole = pa.record_batch(arrays, names)
+    for at in range(0, size, GATHERED):
+        yield whole.slice(at, GATHERED)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about GATHERED rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= GATHERED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if size:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def summed(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and the sum of their counts."""
     found, at = np.unique(ids, return_inverse=True)
     return found, np.bincount(at, counts, len(found)).astype(np.int64)
 
 
-def shared_counts(docs: DataFrame, whole: bool) -> DataFrame:
-    """Rows of (doc_id, class, n) for every document, and a row of (class, shared) per class: codes in others too.
+def prefix_codes(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Rows SENT of documents (n is the size of the set), of codes (n is null) and of counts (n is negative).
 
-    whole: all codes of a set are looked at, else the prefix that the filter needs.
+    A task holds HELD_CODES codes; of these a code in two classes is counted for both and sent once, for SEVERAL.
     """
-    parts = shuffle_width(docs.sparkSession)
-    kinds, names = _kinds(SENT)
-    _, out_names = _kinds(SHARED)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        size, turn = 0, TaskContext.get().partitionId()
-
-        def rows() -> Iterator[list]:
-            owners = np.repeat(np.array(list(held), np.int64), [len(c) for c in held.values()])
-            codes = np.concatenate(list(held.values()))
-            order = np.argsort(codes, kind="stable")
-            codes, owners = codes[order], owners[order]
-            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-            often = np.diff(np.append(first, len(codes)))
-            again = np.repeat(often > 1, often)
-            ids, counts = np.unique(owners[again], return_counts=True)
-            yield [turn % parts, None, ids, counts, None]
-            codes, owners, often = codes[first], np.where(often > 1, SEVERAL, owners[first]), None
-            to = (codes >> np.uint64(32)).astype(np.int64) % parts
-            order = np.lexsort((owners, to))
-            edges = np.searchsorted(to[order], np.arange(parts + 1))
-            for part in range(parts):
-                at = order[edges[part]:edges[part + 1]]
-                if len(at):
-                    yield [part, None, owners[at], None, codes[at].astype("<u4").tobytes()]
-
-        def batch_of(rows: list[list]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            classes, sizes = [], []
-            for codes in shingle_sets(batch.column(1).to_pylist()):
-                n = len(codes)
-                name = set_code(codes) if n else None
-                classes.append(name)
-                sizes.append(n)
-                if n and name not in held:
-                    part = codes if whole else codes[:n - (P * n + Q - 1) // Q + spare(n)]
-                    held[name] = part.copy()
-                    size += len(part)
-                if size > HELD_CODES:
-                    yield batch_of(list(rows()))
-                    held, size, turn = {}, 0, turn + 1
-            yield batch_of([[turn % parts, doc_ids, classes, sizes, None]])
-            turn += 1
-        if held:
-            yield batch_of(list(rows()))
-
-    def by_class(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        """Counts packed by the task that adds up those of a class."""
-        to = ids % parts
-        order = np.argsort(to, kind="stable")
-        edges = np.searchsorted(to[order], np.arange(parts + 1))
-        filled = [k for k in range(parts) if edges[k] < edges[k + 1]]
-        cut = [order[edges[k]:edges[k + 1]] for k in filled]
-        columns = filled, [None] * len(cut), [ids[c] for c in cut], [counts[c] for c in cut], [None] * len(cut)
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners, codes, ids, counts = [], [], [], []
-        for batch in batches:
-            for i in range(len(batch)):
-                _, doc_ids, classes, sizes, raw = (c[i] for c in batch.columns)
-                if raw.is_valid:
-                    owners.append(classes.values.to_numpy())
-                    codes.append(np.frombuffer(raw.as_buffer(), "<u4"))
-                elif doc_ids.is_valid:
-                    yield batch.slice(i, 1)
-                else:
-                    ids.append(classes.values.to_numpy())
-                    counts.append(sizes.values.to_numpy())
-        if codes:
-            who, what = np.concatenate(owners), np.concatenate(codes)
-            order = np.lexsort((who, what))
-            who, what = who[order], what[order]
+    held: dict[int, np.ndarray] = {}
+    size = 0
+
+    def code_rows() -> Iterator[pa.RecordBatch]:
+        owners = np.repeat(np.array(list(held), np.int64), [len(c) for c in held.values()])
+        codes = np.concatenate(list(held.values())).view(np.int64)
+        order = np.argsort(codes, kind="stable")
+        codes, owners = codes[order], owners[order]
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        often = np.diff(np.append(first, len(codes)))
+        ids, counts = np.unique(owners[np.repeat(often > 1, often)], return_counts=True)
+        yield from _batches(SENT, [ids, ids, None, -counts])
+        yield from _batches(SENT, [codes[first], np.where(often > 1, SEVERAL, owners[first]), None, None])
+
+    for batch in batches:
+        doc_ids = batch.column(0)
+        classes, sizes = [], []
+        for codes in shingle_sets(batch.column(1).to_pylist()):
+            n = len(codes)
+            name = set_code(codes) if n else None
+            classes.append(name)
+            sizes.append(n)
+            if n and name not in held:
+                held[name] = (codes if whole else codes[:n - (P * n + Q - 1) // Q + spare(n)]).copy()
+                size += len(held[name])
+            if size > HELD_CODES:
+                yield from code_rows()
+                held, size = {}, 0
+        # Documents are dealt by class and doc_id, so that copies spread.
+        ids = np.array([c or 0 for c in classes], np.uint64) ^ mixed(
+            doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+        yield from _batches(SENT, [mixed(ids).view(np.int64), classes, doc_ids, sizes])
+    if held:
+        yield from code_rows()
+
+
+def shared_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows SENT, sorted by key and class: how many codes of each class are in another class too (rows COUNTED).
+
+    Between batches only the last code and class are kept, and whether they have been counted.
+    """
+    last_code, last_class, was_counted = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    ids, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in _gathered(batches):
+        n = batch.column("n")
+        others = batch.filter(n.is_valid())
+        docs, before = others.filter(pc.greater_equal(others["n"], 0)), others.filter(pc.less(others["n"], 0))
+        if len(docs):
+            yield from _batches(COUNTED, [*docs.columns, None])
+        rows = batch.filter(n.is_null())
+        what = np.concatenate([last_code, rows["key"].to_numpy()])
+        who = np.concatenate([last_class, rows["class"].to_numpy()])
+        found = [before["class"].to_numpy()]
+        often_each = [-before["n"].to_numpy()]
+        if len(what):
             new = np.concatenate([[True], (what[1:] != what[:-1]) | (who[1:] != who[:-1])])
-            who, what = who[new], what[new]
+            what, who = what[new], who[new]
             first = np.flatnonzero(np.concatenate([[True], what[1:] != what[:-1]]))
             often = np.diff(np.append(first, len(what)))
-            again = np.repeat(often > 1, often) & (who != SEVERAL)
-            ids.append(who[again])
-            counts.append(np.ones(len(ids[-1]), np.int64))
-        if ids:
-            yield by_class(*summed(np.concatenate(ids), np.concatenate(counts)))
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts = [], []
-        for batch in batches:
-            for i in range(len(batch)):
-                _, doc_ids, classes, sizes, _ = (c[i] for c in batch.columns)
-                if doc_ids.is_valid:
-                    yield pa.record_batch([doc_ids.values, classes.values, sizes.values,
-                                           pa.nulls(len(classes.values), pa.int64())], out_names)
-                else:
-                    ids.append(classes.values.to_numpy())
-                    counts.append(sizes.values.to_numpy())
-        if ids:
-            found, sums = summed(np.concatenate(ids), np.concatenate(counts))
-            none = pa.nulls(len(found), pa.int64())
-            yield pa.record_batch([none, pa.array(found, pa.int64()), none, pa.array(sums, pa.int64())], out_names)
-
-    sent = in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(send, SENT)
-    counted = sent.repartitionById(parts, F.col("to")).mapInArrow(count, SENT)
-    return counted.repartitionById(parts, F.col("to")).mapInArrow(add_up, SHARED)
+            shared = np.repeat(often > 1, often)
+            counted_now = shared & (who != SEVERAL)
+            if was_counted:
+                counted_now[0] = False
+            was_counted = bool(shared[-1]) or (was_counted and len(what) == 1)
+            last_code, last_class = what[-1:].copy(), who[-1:].copy()
+            found.append(who[counted_now])
+            often_each.append(np.ones(len(found[-1]), np.int64))
+        ids, counts = summed(np.concatenate([ids, *found]), np.concatenate([counts, *often_each]))
+        if len(ids) > HELD_CODES:
+            yield from _batches(COUNTED, [ids, ids, None, None, counts])
+            ids, counts = ids[:0], counts[:0]
+    if len(ids):
+        yield from _batches(COUNTED, [ids, ids, None, None, counts])
+
+
+def class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows SHARED of rows COUNTED, sorted by class: documents as they are, one row per class for its counts."""
+    last, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in _gathered(batches):
+        docs, rows = batch.filter(batch["n"].is_valid()), batch.filter(batch["n"].is_null())
+        if len(docs):
+            yield from _batches(SHARED, [docs["doc_id"], docs["class"], docs["n"], None])
+        ids, counts = summed(np.concatenate([last, rows["class"].to_numpy()]),
+                             np.concatenate([total, rows["shared"].to_numpy()]))
+        last, total = ids[-1:], counts[-1:]
+        if len(ids) > 1:
+            yield from _batches(SHARED, [None, ids[:-1], None, counts[:-1]])
+    if len(last):
+        yield from _batches(SHARED, [None, last, None, total])
+
+
+def shared_counts(docs: DataFrame, whole: bool) -> DataFrame:
+    """Rows of (doc_id, class, n) for every document, and a row of (class, shared) per class: codes in others too.
+
+    whole: all codes of a set are looked at, else the prefix that the filter needs. Codes and counts are sorted by
+    Spark, which can spill; the tasks stream over runs of equal ones.
+    """
+    parts = shuffle_width(docs.sparkSession)
+    sent = in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        lambda batches: prefix_codes(batches, whole), SENT)
+    counted = sent.repartition(parts, "key").sortWithinPartitions("key", "class").mapInArrow(shared_codes, COUNTED)
+    return counted.repartition(parts, "key").sortWithinPartitions("class").mapInArrow(class_sums, SHARED)
 
 
 def class_table(rows: DataFrame) -> DataFrame:
