@@ -102,10 +102,12 @@ def validate(bills: DataFrame, readings: DataFrame) -> DataFrame:
     )
 
 
-def running_totals(readings: DataFrame) -> DataFrame:
-    """Metered kWh since the start of each meter in a case, for every calendar date from its first to its last.
+def totals_up_to(readings: DataFrame, asked: DataFrame) -> DataFrame:
+    """(case_id, hdf_mprn, on_date, sums): metered kWh and reads of a meter up to each asked date, that date included.
 
-    Dates without readings repeat the total before them.  The window runs over one row per date.
+    An as-of lookup: the asked dates, each once, are sorted between the daily sums of their meter and take the running
+    total of the last day before them. The work follows the days with reads and the asked dates, not the calendar, so
+    a read of a wrong year is one more row. Asked dates before the first read get zeros.
     """
     tariff, kwh = F.col("tariff_period"), F.col("import_kwh")
     meter = ["case_id", "hdf_mprn"]
@@ -116,38 +118,39 @@ def running_totals(readings: DataFrame) -> DataFrame:
           for p in ("day", "night", "peak")],
         F.sum("export_kwh").cast(EXACT).alias("export"),
         F.count("*").alias("reads"),
-    )
-    so_far = Window.partitionBy(*meter).orderBy("on_date").rowsBetween(Window.unboundedPreceding, 0)
-    nxt = F.lead("on_date").over(Window.partitionBy(*meter).orderBy("on_date"))
-    totals = daily.select(
-        *meter, "on_date", nxt.alias("next_date"),
-        *[F.sum(c).over(so_far).alias(c) for c in [*METERED, "reads"]],
-    )
-    until = F.coalesce(F.date_sub("next_date", 1), F.col("on_date"))
-    return totals.withColumn("on_date", F.explode(F.sequence("on_date", until))).drop("next_date")
+    ).withColumn("asked", F.lit(False))
+    wanted = asked.filter("on_date is not null").select(*meter, "on_date").distinct().withColumns(
+        {**{c: F.lit(0).cast(EXACT) for c in METERED}, "reads": F.lit(0).cast("long"), "asked": F.lit(True)})
+    # Days and asked dates of one meter are bounded by its calendar, however many bills ask.
+    so_far = Window.partitionBy(*meter).orderBy("on_date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return daily.unionByName(wanted).select(
+        *meter, "on_date", "asked", F.struct(*[F.sum(c).over(so_far).alias(c) for c in [*METERED, "reads"]]).alias("sums"),
+    ).filter("asked").drop("asked")
 
 
 def metered(validated: DataFrame, readings: DataFrame) -> DataFrame:
-    """Valid bills with the kWh metered from their first to their last date, both included.
+    """Bills with the kWh metered from their first to their last date, both included; nulls for bills that are not valid.
 
-    Two lookups in the running totals replace a range join: work per bill does not grow with its period, and
-    the bills of one case spread over its dates.
+    Two lookups of running totals replace a range join: work per bill does not grow with its period, and the bills of
+    one case spread over its dates.
     """
-    totals = running_totals(readings)
-    meter, sums = ["case_id", "hdf_mprn"], F.struct(*METERED, "reads")
-    upto = totals.select(*meter, F.col("on_date").alias("_last"), sums.alias("_to"))
-    before = totals.select(*meter, F.date_add("on_date", 1).alias("_first"), sums.alias("_from"))
-    bounded = validated.filter("valid").withColumns({
-        "_last": F.least("bill_end", "hdf_end"), "_first": F.greatest("bill_start", "hdf_start"),
+    meter = ["case_id", "hdf_mprn"]
+    bounded = validated.withColumns({
+        "_last": F.when(F.col("valid"), F.least("bill_end", "hdf_end")),
+        "_before": F.when(F.col("valid"), F.date_sub(F.greatest("bill_start", "hdf_start"), 1)),
     })
-    joined = bounded.join(upto, [*meter, "_last"], "left").join(before, [*meter, "_first"], "left")
+    asked = bounded.select(*meter, F.explode(F.array("_last", "_before")).alias("on_date"))
+    totals = totals_up_to(readings, asked)
+    upto = totals.select(*meter, F.col("on_date").alias("_last"), F.col("sums").alias("_to"))
+    before = totals.select(*meter, F.col("on_date").alias("_before"), F.col("sums").alias("_from"))
+    joined = bounded.join(upto, [*meter, "_last"], "left").join(before, [*meter, "_before"], "left")
 
     def between(name: str) -> Column:
-        return F.coalesce(F.col("_to")[name], F.lit(0)) - F.coalesce(F.col("_from")[name], F.lit(0))
+        return F.when(F.col("valid"), F.coalesce(F.col("_to")[name], F.lit(0)) - F.coalesce(F.col("_from")[name], F.lit(0)))
 
     return joined.withColumns({f"hdf_{c}_kwh": between(c).cast("double") for c in METERED}).withColumn(
         "reads", between("reads")
-    ).drop("_to", "_from", "_last", "_first")
+    ).drop("_to", "_from", "_last", "_before")
 
 
 def verify(bills: DataFrame, readings: DataFrame) -> DataFrame:
@@ -156,8 +159,7 @@ def verify(bills: DataFrame, readings: DataFrame) -> DataFrame:
     A valid bill whose dates hold no reading gets an issue and no figures.
     """
     checked = validate(bills, readings)
-    figures = metered(checked, _cased(readings, _by_case(bills, readings))).select("bill_idx", "reads", *[f"hdf_{c}_kwh" for c in METERED])
-    joined = checked.join(figures, "bill_idx", "left")
+    joined = metered(checked, _cased(readings, _by_case(bills, readings)))
     has_reads = F.coalesce(F.col("reads") > 0, F.lit(False))
     empty = F.col("valid") & ~has_reads
     joined = joined.withColumn(
