@@ -94,6 +94,37 @@ def test_every_text_gets_a_score(spark):
     assert neighbour_vote.scored(docs.limit(0), labels(spark)).count() == 0
 
 
+def test_votes_equal_brute_force(spark):
+    """Every document against every labelled one: one cosine at a time, sorted, the nearest vote."""
+    clean, junk, odd = rows()
+    every = clean + junk + odd
+    docs = as_docs(spark, every)
+    model = neighbour_vote.fit(docs, labels(spark))
+    assert 2 * neighbour_vote.NEIGHBOURS < len(model.labels) == len(model.vectors)
+
+    def vector(text):
+        x = neighbour_vote.features([text])[0].astype(np.float64)
+        grams, repeats = x[:-neighbour_vote.PATTERNS] * model.rarity, x[-neighbour_vote.PATTERNS:]
+        size = np.sqrt(sum(g * g for g in grams))
+        if not size and not repeats.any():
+            return None
+        v = np.concatenate([grams / max(size, 1e-9), repeats]) @ model.axes
+        return v / max(np.sqrt(sum(e * e for e in v)), 1e-9)
+
+    def score(text):
+        v = vector(text)
+        if v is None:
+            return model.share
+        near = sorted(((float(v @ w), label) for w, label in zip(model.vectors, model.labels)), key=lambda x: -x[0])
+        votes = [(max(c, 0.0) ** neighbour_vote.SHARPNESS, label) for c, label in near[:neighbour_vote.NEIGHBOURS]]
+        return (sum(w * label for w, label in votes) + 0.1 * model.share) / (sum(w for w, _ in votes) + 0.1)
+
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.score) for r in neighbour_vote.scored(docs, labels(spark)).collect())
+    want = sorted((i is None, i or 0, t or "", score(t)) for i, t in every)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert max(abs(g[3] - w[3]) for g, w in zip(got, want)) < 1e-3
+
+
 def test_sample_is_bounded_and_leaves_out_held_out_rows(spark, monkeypatch):
     monkeypatch.setattr(neighbour_vote, "SAMPLE", 10)
     clean, junk, _ = rows()
