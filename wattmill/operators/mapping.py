@@ -202,6 +202,7 @@ def looks_like_cost(value: Column) -> Column:
 def content_flags(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """What the first 50 filled cells of each wanted column look like; wanted(file_id, wanted ARRAY<INT>).
 
+    `datetime` counts dates with the day first, `dated` all dates that cleaning reads: the rest with the month first.
     The rank limit is applied before the shuffle, so a file that owns most rows sends 50 cells per column and task.
     """
     cells = (
@@ -213,8 +214,11 @@ def content_flags(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     first = Window.partitionBy("file_id", "col_idx").orderBy("row_idx")
     sample = cells.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= SAMPLE_ROWS)
     value = F.col("value")
-    return with_dates(sample, {"parsed": "value"}, "day_first").groupBy("file_id", "col_idx").agg(
+    parsed = with_dates(sample, {"parsed": "value"}, "day_first")
+    parsed = parsed.withColumn("rest", F.when(F.col("parsed").isNull(), value))
+    return with_dates(parsed, {"month_first": "rest"}, "month_first").groupBy("file_id", "col_idx").agg(
         looks_like_datetime(F.col("parsed")).alias("datetime"),
+        looks_like_datetime(F.coalesce("parsed", "month_first")).alias("dated"),
         looks_like_mprn(value).alias("mprn"),
         looks_like_kwh(value).alias("import_kwh"),
         looks_like_cost(value).alias("cost"),
@@ -260,7 +264,7 @@ def detect_columns(rows: DataFrame, headers: DataFrame) -> DataFrame:
     wanted = names.select("file_id", unclaimed.alias("wanted"), missing.alias("missing")).filter(
         (F.col("missing") > 0) & (F.size("wanted") > 0)
     )
-    flags = content_flags(rows, wanted.drop("missing")).groupBy("file_id").agg(
+    flags = content_flags(rows, wanted.drop("missing")).withColumn("datetime", F.col("dated")).groupBy("file_id").agg(
         F.array_sort(F.collect_list(F.struct("col_idx", *CONTENT_CONFIDENCE))).alias("flagged")
     )
     joined = names.join(flags, "file_id", "left").withColumn(
