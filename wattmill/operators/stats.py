@@ -61,20 +61,39 @@ def _zero(expr: Column) -> Column:
     return F.coalesce(expr, F.lit(0.0))
 
 
+EXACT = "decimal(28,9)"
+
+
+def exact_sum(*parts: Column) -> Column:
+    """Sum of the first column less those of the others, in decimals, so that a figure on half a printed unit does not
+    depend on the order of adding; in doubles where a value has no such decimal.
+    """
+    def less(sums: list[Column]) -> Column:
+        return sum((-x for x in sums[1:]), sums[0])
+
+    exact = less([F.coalesce(F.sum(p.try_cast(EXACT)), F.lit(0).cast(EXACT)) for p in parts]).cast("double")
+    whole = F.bool_and(sum(((p.isNull() | p.try_cast(EXACT).isNotNull()).cast("int") for p in parts), F.lit(0)) == len(parts))
+    return F.when(whole, exact).otherwise(less([_zero(F.sum(p)) for p in parts]))
+
+
+def exact_avg(value: Column) -> Column:
+    return F.try_divide(exact_sum(value), F.count(value))
+
+
 def meter_totals() -> list[Column]:
     """Aggregates over daily rows that the summary and the anomaly rules share."""
     weekend = F.col("is_weekend")
     return [
-        _zero(F.sum("import_kwh")).alias("total_import_kwh"),
-        _zero(F.sum("export_kwh")).alias("total_export_kwh"),
-        F.avg("import_kwh").alias("avg_daily_import_kwh"),
+        _zero(exact_sum(F.col("import_kwh"))).alias("total_import_kwh"),
+        _zero(exact_sum(F.col("export_kwh"))).alias("total_export_kwh"),
+        exact_avg(F.col("import_kwh")).alias("avg_daily_import_kwh"),
         _zero(F.avg("night_min_kwh") * INTERVALS_PER_HOUR).alias("baseload_kw"),
         (F.max("max_kwh") * INTERVALS_PER_HOUR).alias("peak_kw"),
         _zero(F.sum("day_kwh")).alias("tariff_day_kwh"),
         _zero(F.sum("night_kwh")).alias("tariff_night_kwh"),
         _zero(F.sum("peak_kwh")).alias("tariff_peak_kwh"),
-        F.avg(F.when(~weekend, F.col("import_kwh"))).alias("weekday_avg_kwh"),
-        F.avg(F.when(weekend, F.col("import_kwh"))).alias("weekend_avg_kwh"),
+        exact_avg(F.when(~weekend, F.col("import_kwh"))).alias("weekday_avg_kwh"),
+        exact_avg(F.when(weekend, F.col("import_kwh"))).alias("weekend_avg_kwh"),
         F.min("first_at").alias("start_date"),
         F.max("last_at").alias("end_date"),
         whole_days(F.min("first_instant"), F.max("last_instant")).alias("date_range_days"),
@@ -92,8 +111,7 @@ def summary_stats(readings: DataFrame, keys: Sequence[str] = KEYS, with_peak_tim
     totals = (
         daily_rollup(readings, keys)
         .groupBy(*keys)
-        .agg(*meter_totals())
-        .withColumn("net_import_kwh", F.col("total_import_kwh") - F.col("total_export_kwh"))
+        .agg(*meter_totals(), exact_sum(F.col("import_kwh"), F.col("export_kwh")).alias("net_import_kwh"))
         .withColumn("has_solar", F.col("total_export_kwh") > 0)
     )
     return totals.join(peak_times(readings, keys), list(keys), "left") if with_peak_time else totals
