@@ -29,3 +29,22 @@ def test_totals_of_values_beyond_the_decimals_are_plain_sums(spark):
     series = with_features(spark.createDataFrame(rows, "mprn string, datetime timestamp_ntz, import_kwh double, export_kwh double"))
     (row,) = stats.summary_stats(series).collect()
     assert row.total_import_kwh == 2e30
+
+
+def test_rows_of_one_file_meet_their_file_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from wattmill.sources import spreadsheets
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1000).select(F.lit("f").alias("file_id"), F.col("id").alias("row_idx"))
+        files = spark.createDataFrame([("f", 7)], "file_id string, top int")
+        met = spreadsheets.join_per_file(rows, files).select("row_idx", "top", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert sorted(r.row_idx for r in met) == list(range(1000)) and {r.top for r in met} == {7}
+    assert len({r.task for r in met}) > 4

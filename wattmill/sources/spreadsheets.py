@@ -22,6 +22,17 @@ SNIFF_BYTES = 2048
 SNIFF_MARKS = ["MPRN", "Read Type", "Read Value"]
 
 
+# Parts of a file's rows that tables of one row per file are joined to, so that no task gets a whole file.
+FILE_PARTS = 64
+
+
+def join_per_file(rows: DataFrame, per_file: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with the columns of a table of one row per file; the rows of a file are dealt to `FILE_PARTS` keys."""
+    part = F.pmod(F.xxhash64("row_idx"), F.lit(FILE_PARTS)).cast("int")
+    copied = per_file.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(FILE_PARTS - 1))))
+    return rows.withColumn("_part", part).join(copied, ["file_id", "_part"], how).drop("_part")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file_id, row_idx, line) of every record of every .csv file, decoded as UTF-8 or, when any line of the
     file is not valid UTF-8, as Latin-1.  Files are split across tasks; line breaks inside quotes do not end a record.
@@ -45,7 +56,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     files = raw.groupBy("file_id").agg(
         F.bool_and(F.expr("is_valid_utf8(line)")).alias("utf8"), F.bool_or(opens_quote(F.col("line"))).alias("breaks"))
     text = F.when(F.col("utf8"), F.col("line")).otherwise(F.decode(F.col("line").cast("binary"), "ISO-8859-1"))
-    decoded = raw.join(files, "file_id").select("file_id", "block", "row_idx", text.alias("line"), "breaks")
+    decoded = join_per_file(raw, files).select("file_id", "block", "row_idx", text.alias("line"), "breaks")
     # Without a line that leaves a quote open, every line is a record.
     plain = decoded.filter(~F.col("breaks")).select("file_id", "row_idx", "line")
     return plain.unionByName(join_quoted(decoded.filter("breaks").drop("breaks")))
@@ -102,7 +113,7 @@ def sheets_from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First line of each file becomes its header; columns without a name are called `Unnamed: i`."""
     rows = split_cells(lines)
     tops = rows.groupBy("file_id").agg(F.min("row_idx").alias("top"))
-    marked = rows.join(tops, "file_id")
+    marked = join_per_file(rows, tops)
     width = (
         rows.select("file_id", F.array_max(
             F.transform("cells", lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(F.lit(0)))
@@ -145,7 +156,7 @@ def recover_headers(rows: DataFrame, headers: DataFrame) -> tuple[DataFrame, Dat
     # Blank lines are gone already, so positions count rows and not lines; the limit is applied before the shuffle.
     from_top = Window.partitionBy("file_id").orderBy("row_idx")
     scanned = (
-        rows.join(suspects, "file_id")
+        join_per_file(rows, suspects)
         .withColumn("row_no", F.row_number().over(from_top))
         .filter(F.col("row_no") <= HEADER_SCAN_ROWS)
         .withColumn("position", F.col("row_no") - 1)
@@ -166,7 +177,7 @@ def recover_headers(rows: DataFrame, headers: DataFrame) -> tuple[DataFrame, Dat
             F.col("header_row").isNotNull(), F.coalesce(F.trim(F.get("header_cells", F.col("col_idx"))), F.lit("nan"))
         ).otherwise(F.col("column_name")).alias("column_name"),
     )
-    kept = rows.join(best.drop("header_cells"), "file_id", "left").filter(
+    kept = join_per_file(rows, best.drop("header_cells"), "left").filter(
         F.col("header_row").isNull() | (F.col("row_idx") > F.col("header_row"))
     )
     return kept.drop("header_row"), found
