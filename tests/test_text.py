@@ -101,3 +101,41 @@ def test_rules_come_from_a_table(spark):
         return len(plan.toString())
 
     assert abs(size(300) - size(0)) < 200
+
+
+def test_words_never_hide_a_match(spark):
+    """A text is searched by the options whose words it holds; each pattern is compiled once, not for every text."""
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from wattmill.operators import flat_extract, rules
+
+    assert rules.fixed_words(r"(?im)(?:Billing|Bill)\s*Period\s+Units?\s{2}(\d+)x{0,3} (at (?:the )?end)(?=no)") == ["period", "unit", "end", "at"]
+    assert rules.fixed_words("one|two") == [] and rules.first_word("(?im)VATs?") == "" and rules.first_word(r"(?im)VAT\s*(\d)") == "vat"
+    ready = [rules._ready(o) for sets in (rules.rule_sets(), flat_extract.flat_rules()) for _, fields in sets
+             for _, options in fields for o in options]
+    pieces = ["Total", "due", "VAT", "@", "9%", "€12.50", "\n", " ", "10000000001", "Account", "Number", "MCC", "3 May 2024", "to",
+              "Standing Charge", "30 days", "KEROSENE", "İnvoice", "no", "Day", "Night", "Units at", "Date of this Bill", "DG1"]
+    random.seed(3)
+    texts = [random.choice([str, str.upper, str.lower])(" ".join(random.choices(pieces, k=25))).replace("k", "K")
+             for _ in range(120)]
+    hits = 0
+    for text in texts:
+        lower = rules.folded(text)
+        for o in ready:
+            want = o.pattern.search(text)
+            seen = rules._search(text, lower, o) if all(w in lower for w in o.words) else None
+            if not o.anchor:
+                assert (want and want.span()) == (seen and seen.span()), (o, text)
+                hits += want is not None
+    assert hits > 500
+    compiled, plain = [], re.compile
+    find = rules._finder(rules.rule_sets(), ["mprn", "subtotal"])
+    try:
+        re.compile = lambda *a: compiled.append(a[0]) or plain(*a)
+        find(pa.array(texts), pa.array(["Energia"] * len(texts)))
+    finally:
+        re.compile = plain
+    assert len(compiled) == len(set(compiled)) > 0

@@ -17,8 +17,8 @@ TEXT_PATTERNS = {
     "meter_number": r"Meter\s+(\d{7,8})",
     "dg_code": r"\b(DG\d)\b",
     "mcc_code": r"\b(MCC\d+)\b",
-    "customer_name": r"((?:Mr|Mrs|Ms|Dr|Miss)\s+(?:.+?))(?:\n|\z)",
-    "premises": r"Premises\s*Supplied:\s*\n?\s*(.+?)(?:\n|\z)",
+    "customer_name": r"((?:Mr|Mrs|Ms|Dr|Miss)\s+(?:.+?))(?:\n|\Z)",
+    "premises": r"Premises\s*Supplied:\s*\n?\s*(.+?)(?:\n|\Z)",
     "bill_date": r"Date\s*of\s*this\s*Bill\s*\n?\s*(\d{1,2}\s+\w+\s+\d{4})",
     "payment_due_date": r"Payment\s*Due\s*Date\s*\n?\s*(\d{1,2}\s+\w+\s+\d{4})",
     "contract_end_date": r"Contract\s*End\s*Date\s*\n?\s*(\d{1,2}\s+\w+\s+\d{4})",
@@ -76,7 +76,7 @@ def parse_euro(text: Column) -> Column:
 def flat_rules() -> list[tuple]:
     """The flat layout as one rule set: a field is a group of its pattern."""
     named = [((name,), p) for name, p in TEXT_PATTERNS.items()] + [*PAIR_PATTERNS.items(), *NUMBER_PATTERNS.items()]
-    return [("flat", [(name, [option(p, 1.0, 0, only_group=group, flags="(?dU)")])
+    return [("flat", [(name, [option(p, 1.0, 0, only_group=group, flags="")])
                       for names, p in named for group, name in enumerate(names, 1)])]
 
 
