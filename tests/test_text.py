@@ -139,3 +139,12 @@ def test_words_never_hide_a_match(spark):
     finally:
         re.compile = plain
     assert len(compiled) == len(set(compiled)) > 0
+
+
+def test_provider_words_of_a_made_list():
+    import pyarrow as pa
+
+    find = ex._provider_finder({"A": ["go", "go power"], "B": ["Go Power", "x.ie"]})
+    texts = ["Go\n\tPower", "go x.ie go power x.ie", "agog go1", "GO go", None, ""]
+    got = [(r["provider"], r["word"]) for r in find(pa.array(texts)).to_pylist()]
+    assert got == [("A", "go power"), ("B", "Go Power"), (None, None), ("A", "go"), (None, None), (None, None)]
