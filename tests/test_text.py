@@ -148,3 +148,11 @@ def test_provider_words_of_a_made_list():
     texts = ["Go\n\tPower", "go x.ie go power x.ie", "agog go1", "GO go", None, ""]
     got = [(r["provider"], r["word"]) for r in find(pa.array(texts)).to_pylist()]
     assert got == [("A", "go power"), ("B", "Go Power"), (None, None), ("A", "go"), (None, None), (None, None)]
+
+
+def test_words_stand_for_labels_and_values():
+    assert sp.label_words_like("MPRM:") == {"mprn"} and "vat" in sp.label_words_like("(VAT") and not sp.label_words_like("10.50")
+    hits = sorted((h["label"], h["start"], h["span"]) for h in sp._labels_of(["x", "Tota1", "due", "VAT", "@", "9%"]))
+    assert hits == [("Total due", 1, 2), ("VAT", 3, 1), ("VAT @", 3, 2)]
+    assert "subtotal" in sp.fitting_fields("€1,055.00") and "mprn" not in sp.fitting_fields("€1,055.00")
+    assert {"mprn", "day_kwh"} <= set(sp.fitting_fields("10000000001")) and sp.fitting_fields("€ ") == ()
