@@ -105,6 +105,31 @@ def test_shared_codes_are_counted_over_batches(spark, monkeypatch):
     assert docs == collections.Counter((i, len(c)) for (i, _), c in zip(rows, shingle_sets(texts)))
 
 
+def test_counts_of_many_classes_leave_a_task_in_few_rows():
+    """Twelve tasks that each meet codes of all classes send a row for a bucket of classes, not for each class."""
+    classes, buckets = np.arange(1, 1001), 7
+    sums = collections.Counter()
+    for task in range(12):
+        codes = task * 1000 + np.arange(20)
+        sent = pa.record_batch([pa.array([0], pa.int32()), *[pa.nulls(1, pa.int64())] * 3, pa.array([np.repeat(codes, 1000).tobytes()]),
+                                pa.array([np.tile(classes, 20).tobytes()])], list(jaccard_join._kinds(jaccard_join.SENT)[1]))
+        counted = list(jaccard_join.shared_codes(iter([sent]), buckets))
+        assert sum(len(b) for b in counted) <= buckets
+        for r in itertools.chain.from_iterable(b.to_pylist() for b in jaccard_join.class_sums(iter(counted))):
+            sums[r["class"]] += r["shared"]
+    assert sums == {c: 240 for c in range(1, 1001)}
+
+
+def test_codes_leave_a_task_in_few_rows():
+    """The codes of a range are one row; 59 shingles of each of 100 texts were 5,900 rows."""
+    batch = pa.record_batch([pa.array(range(100), pa.int64()), pa.array([prose(i, 63) for i in range(100)])], ["doc_id", "text"])
+    sent = pa.Table.from_batches(list(jaccard_join.prefix_codes(iter([batch]), True, 16)))
+    codes = sent.filter(sent["codes"].is_valid())
+    assert codes["key"].to_pylist() == sorted(set(codes["key"].to_pylist())) and len(codes) <= 16
+    sets = [c for c in shingle_sets(batch["text"].to_pylist())]
+    assert sum(len(c) // 8 for c in codes["codes"].to_pylist()) == len(set().union(*[c.tolist() for c in sets]))
+
+
 def test_trees_find_all_links_of_a_group():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64))

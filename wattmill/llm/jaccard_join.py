@@ -3,8 +3,8 @@
 Equal sets are one class, known by a code of 63 bits; all else works on classes.
 
 1. Filter. Of a set of n codes the lowest n - ceil(0.75 n) + l can be chosen so that two linked sets share at least l of
-   them (l grows with n). Tasks send these codes to tasks by code, each once (a code that a task has seen in two classes
-   needs no more than one row), and a class is dropped unless enough of its codes are in another class too. A second
+   them (l grows with n). Tasks send these codes to tasks by range of codes, a range in one row, each code once (one that a
+   task has seen in two classes needs no more), get the counts of a bucket of classes in one row, and a class is dropped unless enough of its codes are in another class too. A second
    round over the classes left asks for 0.75 n shared codes among all n. Both rounds drop only what cannot be linked.
 2. Signature trees. Classes left meet in bounded groups by minimum codes, and a tree of signatures (signature_tree.py)
    joins each group. Connected components of these links come next.
@@ -58,6 +58,7 @@ P, Q = 3, 4  # least similarity P / Q
 GROUP = 512  # classes in a task's group
 GROUP_CODES = 2_000_000  # codes in a task's group
 HELD_CODES = 1_000_000  # codes, or counts of classes, a task holds before it sends them
+RANGES = 1 << 12  # of codes, at least; a task looks at the codes of one range together
 GATHERED = 1 << 16  # rows of an Arrow batch that are looked at together
 MOST_BROADCAST = 2_000_000  # ids that are broadcast
 SEVERAL = -1  # owner of a code that a task has seen in two classes or more
@@ -74,13 +75,14 @@ def spare(n: int) -> int:
 
 
 def _kinds(schema: str) -> tuple[list, list[str]]:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
+             "array<int>": pa.list_(pa.int32())}
     names, types = zip(*[f.split(" ") for f in schema.split(", ")])
     return [kinds[t] for t in types], list(names)
 
 
-SENT = "key long, class long, doc_id long, n long"
-COUNTED = "key long, class long, doc_id long, n long, shared long"
+SENT = "key int, class long, doc_id long, n long, codes binary, owners binary"
+COUNTED = "bucket int, doc_id long, class long, n long, classes array<long>, counts array<int>"
 SHARED = "doc_id long, class long, n long, shared long"
 
 
@@ -114,24 +116,39 @@ def summed(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return found, np.bincount(at, counts, len(found)).astype(np.int64)
 
 
-def prefix_codes(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+def range_of(codes: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each code, from 0 to ranges - 1, ascending with the codes."""
+    return ((codes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+
+
+def pieces(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """64-bit values from each cut to the next as one binary value."""
+    offsets = np.append(cuts, len(values)).astype(np.int32) * np.int32(8)
+    return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def prefix_codes(batches: Iterator[pa.RecordBatch], whole: bool, ranges: int = RANGES) -> Iterator[pa.RecordBatch]:
     """Rows SENT of documents (n is the size of the set), of codes (n is null) and of counts (n is negative).
 
-    A task holds HELD_CODES codes; of these a code in two classes is counted for both and sent once, for SEVERAL.
+    A task holds HELD_CODES codes; of these a code in two classes is counted for both and sent once, for SEVERAL. The
+    codes of a range go in one row, with the class of each.
     """
     held: dict[int, np.ndarray] = {}
     size = 0
 
     def code_rows() -> Iterator[pa.RecordBatch]:
         owners = np.repeat(np.array(list(held), np.int64), [len(c) for c in held.values()])
-        codes = np.concatenate(list(held.values())).view(np.int64)
+        codes = mixed(np.concatenate(list(held.values())))
         order = np.argsort(codes, kind="stable")
         codes, owners = codes[order], owners[order]
         first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
         often = np.diff(np.append(first, len(codes)))
         ids, counts = np.unique(owners[np.repeat(often > 1, often)], return_counts=True)
-        yield from _batches(SENT, [ids, ids, None, -counts])
-        yield from _batches(SENT, [codes[first], np.where(often > 1, SEVERAL, owners[first]), None, None])
+        yield from _batches(SENT, [range_of(mixed(ids.view(np.uint64)), ranges), ids, None, -counts, None, None])
+        codes, owners = codes[first], np.where(often > 1, SEVERAL, owners[first])
+        place = range_of(codes, ranges)
+        cuts = np.flatnonzero(np.diff(place, prepend=-1))
+        yield from _batches(SENT, [place[cuts], None, None, None, pieces(codes, cuts), pieces(owners, cuts)])
 
     for batch in batches:
         doc_ids = batch.column(0)
@@ -150,77 +167,115 @@ def prefix_codes(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.
         # Documents are dealt by class and doc_id, so that copies spread.
         ids = np.array([c or 0 for c in classes], np.uint64) ^ mixed(
             doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        yield from _batches(SENT, [mixed(ids).view(np.int64), classes, doc_ids, sizes])
+        yield from _batches(SENT, [range_of(mixed(ids), ranges), classes, doc_ids, sizes, None, None])
     if held:
         yield from code_rows()
 
 
-def shared_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows SENT, sorted by key and class: how many codes of each class are in another class too (rows COUNTED).
-
-    Between batches only the last code and class are kept, and whether they have been counted.
+def buckets_of(names: np.ndarray, parts: int) -> np.ndarray:
+    """A bucket from 0 to parts - 1 for each name."""
+    return (mixed(names.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+
+
+def packed_counts(ids: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows COUNTED of classes and their counts: those of a bucket in one row, of GATHERED classes at most."""
+    bucket = buckets_of(ids, parts)
+    order = np.argsort(bucket, kind="stable")
+    bucket, ids, counts = bucket[order], ids[order], counts[order].astype(np.int32)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    cuts = np.unique(np.concatenate([first, np.arange(0, len(ids), GATHERED)]))
+    for at in range(0, len(cuts), 256):
+        starts = cuts[at:at + 256]
+        end = cuts[at + 256] if at + 256 < len(cuts) else len(ids)
+        inside = slice(starts[0], end)
+        offsets = np.append(starts, end) - starts[0]
+        yield from _batches(COUNTED, [bucket[starts], None, None, None,
+                                      pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[inside])),
+                                      pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(counts[inside]))])
+
+
+def shared_classes(codes: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """The class of each code that is in another class too, once for each of its codes."""
+    order = np.lexsort((owners, codes))
+    codes, owners = codes[order], owners[order]
+    new = np.concatenate([[True], (codes[1:] != codes[:-1]) | (owners[1:] != owners[:-1])])
+    codes, owners = codes[new], owners[new]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    often = np.diff(np.append(first, len(codes)))
+    return owners[np.repeat(often > 1, often) & (owners != SEVERAL)]
+
+
+def shared_codes(batches: Iterator[pa.RecordBatch], parts: int = 1) -> Iterator[pa.RecordBatch]:
+    """Of rows SENT, sorted by key: how many codes of each class are in another class too (rows COUNTED).
+
+    A task meets codes of most classes, so a row for each class would make classes times tasks; a row here holds the
+    counts of a bucket of classes. The codes of one range are held at a time.
     """
-    last_code, last_class, was_counted = np.zeros(0, np.int64), np.zeros(0, np.int64), False
     ids, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in _gathered(batches):
+    key, codes, owners = None, [], []
+
+    def held_classes() -> np.ndarray:
+        return shared_classes(np.frombuffer(b"".join(codes), np.uint64), np.frombuffer(b"".join(owners), np.int64))
+
+    for batch in batches:
         n = batch.column("n")
-        others = batch.filter(n.is_valid())
+        others, rows = batch.filter(n.is_valid()), batch.filter(n.is_null())
         docs, before = others.filter(pc.greater_equal(others["n"], 0)), others.filter(pc.less(others["n"], 0))
         if len(docs):
-            yield from _batches(COUNTED, [*docs.columns, None])
-        rows = batch.filter(n.is_null())
-        what = np.concatenate([last_code, rows["key"].to_numpy()])
-        who = np.concatenate([last_class, rows["class"].to_numpy()])
+            names = docs["doc_id"].fill_null(0).to_numpy() ^ docs["class"].fill_null(0).to_numpy()
+            yield from _batches(COUNTED, [buckets_of(names, parts), docs["doc_id"], docs["class"], docs["n"], None, None])
         found = [before["class"].to_numpy()]
         often_each = [-before["n"].to_numpy()]
-        if len(what):
-            new = np.concatenate([[True], (what[1:] != what[:-1]) | (who[1:] != who[:-1])])
-            what, who = what[new], who[new]
-            first = np.flatnonzero(np.concatenate([[True], what[1:] != what[:-1]]))
-            often = np.diff(np.append(first, len(what)))
-            shared = np.repeat(often > 1, often)
-            counted_now = shared & (who != SEVERAL)
-            if was_counted:
-                counted_now[0] = False
-            was_counted = bool(shared[-1]) or (was_counted and len(what) == 1)
-            last_code, last_class = what[-1:].copy(), who[-1:].copy()
-            found.append(who[counted_now])
-            often_each.append(np.ones(len(found[-1]), np.int64))
+        for place, some, whose in zip(rows["key"].to_pylist(), rows["codes"].to_pylist(), rows["owners"].to_pylist()):
+            if place != key and codes:
+                found.append(held_classes())
+                often_each.append(np.ones(len(found[-1]), np.int64))
+                codes, owners = [], []
+            key = place
+            codes.append(some)
+            owners.append(whose)
         ids, counts = summed(np.concatenate([ids, *found]), np.concatenate([counts, *often_each]))
         if len(ids) > HELD_CODES:
-            yield from _batches(COUNTED, [ids, ids, None, None, counts])
+            yield from packed_counts(ids, counts, parts)
             ids, counts = ids[:0], counts[:0]
+    if codes:
+        last = held_classes()
+        ids, counts = summed(np.concatenate([ids, last]), np.concatenate([counts, np.ones(len(last), np.int64)]))
     if len(ids):
-        yield from _batches(COUNTED, [ids, ids, None, None, counts])
+        yield from packed_counts(ids, counts, parts)
 
 
 def class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows SHARED of rows COUNTED, sorted by class: documents as they are, one row per class for its counts."""
-    last, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Rows SHARED of rows COUNTED: documents as they are, and for its counts one row per class (more where a task
+    meets more than HELD_CODES classes; `enough` adds them up)."""
+    ids, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in _gathered(batches):
-        docs, rows = batch.filter(batch["n"].is_valid()), batch.filter(batch["n"].is_null())
+        docs, rows = batch.filter(batch["classes"].is_null()), batch.filter(batch["classes"].is_valid())
         if len(docs):
             yield from _batches(SHARED, [docs["doc_id"], docs["class"], docs["n"], None])
-        ids, counts = summed(np.concatenate([last, rows["class"].to_numpy()]),
-                             np.concatenate([total, rows["shared"].to_numpy()]))
-        last, total = ids[-1:], counts[-1:]
-        if len(ids) > 1:
-            yield from _batches(SHARED, [None, ids[:-1], None, counts[:-1]])
-    if len(last):
-        yield from _batches(SHARED, [None, last, None, total])
+        if len(rows):
+            ids, counts = summed(np.concatenate([ids, rows["classes"].flatten().to_numpy()]),
+                                 np.concatenate([counts, rows["counts"].flatten().to_numpy()]))
+        if len(ids) > HELD_CODES:
+            yield from _batches(SHARED, [None, ids, None, counts])
+            ids, counts = ids[:0], counts[:0]
+    if len(ids):
+        yield from _batches(SHARED, [None, ids, None, counts])
 
 
 def shared_counts(docs: DataFrame, whole: bool) -> DataFrame:
     """Rows of (doc_id, class, n) for every document, and a row of (class, shared) per class: codes in others too.
 
-    whole: all codes of a set are looked at, else the prefix that the filter needs. Codes and counts are sorted by
-    Spark, which can spill; the tasks stream over runs of equal ones.
+    whole: all codes of a set are looked at, else the prefix that the filter needs. Rows are sorted by range by Spark,
+    which can spill; the tasks go from range to range.
     """
     parts = shuffle_width(docs.sparkSession)
+    ranges = max(RANGES, 4 * parts)
     sent = in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        lambda batches: prefix_codes(batches, whole), SENT)
-    counted = sent.repartition(parts, "key").sortWithinPartitions("key", "class").mapInArrow(shared_codes, COUNTED)
-    return counted.repartition(parts, "key").sortWithinPartitions("class").mapInArrow(class_sums, SHARED)
+        lambda batches: prefix_codes(batches, whole, ranges), SENT)
+    counted = sent.repartitionById(parts, F.pmod("key", F.lit(parts))).sortWithinPartitions("key").mapInArrow(
+        lambda batches: shared_codes(batches, parts), COUNTED)
+    return counted.repartitionById(parts, F.col("bucket")).mapInArrow(class_sums, SHARED)
 
 
 def class_table(rows: DataFrame) -> DataFrame:
