@@ -3,9 +3,10 @@
 Equal sets are one class, known by a code of 63 bits; all else works on classes.
 
 1. Filter. Of a set of n codes the lowest n - ceil(0.75 n) + l can be chosen so that two linked sets share at least l of
-   them (l grows with n). Tasks send these codes to tasks by range of codes, a range in one row, each code once (one that a
-   task has seen in two classes needs no more), get the counts of a bucket of classes in one row, and a class is dropped unless enough of its codes are in another class too. A second
-   round over the classes left asks for 0.75 n shared codes among all n. Both rounds drop only what cannot be linked.
+   them (l grows with n). Tasks send these codes to tasks by range of codes, a range in one row, each code once (a code
+   that a task has seen in two classes needs no more); the counts of a bucket of classes come back in one row. A class is
+   dropped unless enough of its codes are in another class too. A second round over the classes left asks for 0.75 n
+   shared codes among all n. Both rounds drop only what cannot be linked.
 2. Signature trees. Classes left meet in bounded groups by minimum codes, and a tree of signatures (signature_tree.py)
    joins each group. Connected components of these links come next.
 3. Completion. With the rarest codes first, two linked classes share a code among the first n - ceil(0.75 n) + 1 of each.
